@@ -63,7 +63,7 @@ def _covered(starts: Column) -> Column:
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the measurements and ``failed``, the bits of failed rules."""
+    """``id_col``, the measurements and ``failed``, the bits of failed rules. ``id_col`` may be a struct of a whole row."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     without = lambda some: F.length(F.col("_text")) - F.length(F.translate(F.col("_text"), some, ""))
     rows = rows.select(
@@ -99,12 +99,18 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = lambda x, other: F.coalesce(other["h"] == x["h"], F.lit(False))
     twice = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
     rows = rows.select(id_col, *measured, F.sort_array(F.transform(twice, lambda x: x["at"])).alias("_starts"))
-    rows = rows.select(id_col, *measured, F.coalesce(_covered(F.col("_starts")), F.lit(0).cast("long")).alias("n_repeat_words"))
+    # a filter on the bits must not be pushed below and evaluate all this again; it can't pass a row number
+    rows = rows.select(
+        id_col,
+        *measured,
+        F.coalesce(_covered(F.col("_starts")), F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
     bits = [F.when(fails, F.lit(1 << BITS[rule])).otherwise(F.lit(0)) for rule, fails in _failing().items()]
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return rows.withColumn("failed", failed.cast("long"))
+    return rows.withColumn("failed", F.when(F.col("_row") >= 0, failed.cast("long"))).drop("_row")
 
 
 def apply_policy(rows: DataFrame, policy: str = "web-1", into: str = "kept") -> DataFrame:
@@ -112,6 +118,12 @@ def apply_policy(rows: DataFrame, policy: str = "web-1", into: str = "kept") ->
     return rows.withColumn(into, F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def kept_rows(df: DataFrame, text_col: str = "text", policy: str = "web-1") -> DataFrame:
+    """The rows of ``df`` that a policy keeps, as they are."""
+    rows = ledger(df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text")), "row", "text")
+    return apply_policy(rows, policy).where("kept").select("row.*")
+
+
 def ablation(rows: DataFrame, policy: str = "web-1") -> DataFrame:
     """A row per rule of a policy: ``rule, n_failed, n_only`` (rows that this rule alone rejects), ``n_kept_without``."""
     held = F.lit(mask(policy))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, chat, quality_rules, token_counts
+from evenkeel.llm import bpe, chat, decontaminate, katz, quality_classifier, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,22 @@ OP4_SQL = (
 )
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    rows = katz.katz_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", train=remainder != 2)
+    return rows.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, threshold=3, seed=42)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).select(
@@ -94,10 +110,27 @@ from f group by conv_id
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality_classifier.trained(docs, labels, learn=remainder != 0)
+    rows = quality_classifier.score(docs, model, "doc_id", "text")
+    return rows.select(
+        "doc_id",
+        F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= quality_classifier.CUT, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_katz": op5_katz,
+    "op6_decontamination": op6_decontamination,
+    "op7_simhash": op7_simhash,
     "op9_chat_format": op9_chat_format,
+    "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op6_decontamination": decontaminate.sql(), "op9_chat_format": OP9_SQL}
