@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, chat, decontaminate, katz, quality_classifier, quality_rules, simhash, token_counts
+from evenkeel.llm import bpe, chat, decontaminate, katz, quality_classifier, quality_rules, simhash, token_counts, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, threshold=3, seed=42)
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence as it is read back from the shards, with the number it had before it was given its slot."""
+    import numpy as np
+    import pandas as pd
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    folder, manifest, total = training_order.materialise(
+        _table(spark, sf_dir, "documents"), "text", ranks, public_tokenizers.PATTERN, length=512, per_shard=8192, key=20
+    )
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "slot long, shard long, number long, n_bytes long, ids_sha256 string")
+
+    order = training_order.Permutation(total, 20)
+
+    @F.pandas_udf("long")
+    def number(slots: pd.Series) -> pd.Series:
+        return pd.Series(order.numbers(slots.to_numpy(np.int64)), dtype="int64")
+
+    rows = training_order.read(spark, folder)
+    return rows.select(
+        "slot", "shard", number("slot").alias("number"), F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("ids_sha256")
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).select(
@@ -130,6 +155,7 @@ QUERIES = {
     "op5_katz": op5_katz,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_training_order": op8_training_order,
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
 }
