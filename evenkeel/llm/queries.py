@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence as it is read back from the shards, with the number it had before it was given its slot."""
-    import numpy as np
-    import pandas as pd
     import public_tokenizers
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
