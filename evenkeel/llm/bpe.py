@@ -78,7 +78,6 @@ def encoder(path: str, pattern: str):
     model = models.BPE(
         vocab={shown(token): rank for token, rank in ranks.items()},
         merges=[(shown(a), shown(b)) for a, b in recovered_merges(ranks)],
-        cache_capacity=200_000,
     )
     out = Tokenizer(model)
     out.pre_tokenizer = pre_tokenizers.Sequence(
