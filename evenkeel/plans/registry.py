@@ -1,4 +1,568 @@
 """Named queries over the test tables, with DuckDB SQL for each that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from evenkeel.functions import measures as ms
+from evenkeel.functions import rolling as ro
+from evenkeel.operators import models, select, summaries
+from evenkeel.operators.scorecard import Scorecard
+from evenkeel.sources import simulate
+from evenkeel.sources.panels import market_returns, melted, number, pivoted
+
+PPY = 12
+DIGITS = 6
+
+
+def rounded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rounded, with negative zero as zero, so that engines agree."""
+    return df.withColumns({c: F.round(F.col(c), DIGITS) + 0.0 for c in columns})
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market_returns(spark, sf_dir, ("l_returnflag",)).where("ret is not null")
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market_returns(spark, sf_dir, ()).where("ret is not null").select("ts", "ret")
+
+
+#: The returns of each flag and of the whole market, as ``rr`` and ``mk``.
+RETURNS = """
+px as (select l_returnflag as series, date_trunc('month', l_shipdate)::date as ts, avg(l_extendedprice) as px from lineitem group by all),
+rr as (select * from (select series, ts, px / nullif(lag(px) over (partition by series order by ts), 0) - 1 as r from px) where r is not null),
+mpx as (select date_trunc('month', l_shipdate)::date as ts, avg(l_extendedprice) as px from lineitem group by all),
+mk as (select * from (select ts, px / nullif(lag(px) over (order by ts), 0) - 1 as b from mpx) where b is not null)
+"""
+
+
+def r_sql(expression: str, name: str) -> str:
+    return f"round({expression}, {DIGITS}) + 0.0 as {name}"
+
+
+CAGR = f"pow(exp(sum(ln(1 + r))), {PPY}.0 / count(r)) - 1"
+DOWN = f"sqrt(avg(pow(least(r, 0), 2))) * sqrt({PPY})"
+SHARPE = f"avg(r) * sqrt({PPY}) / nullif(stddev_samp(r), 0)"
+MOMENT = lambda k: f"avg(pow(r - m, {k}))"
+VALUES = {
+    "total_return": "exp(sum(ln(1 + r))) - 1", "cagr": CAGR, "ann_return": f"avg(r) * {PPY}", "ann_vol": f"stddev_samp(r) * sqrt({PPY})",
+    "downside_vol": DOWN, "sharpe": SHARPE, "sortino": f"avg(r) * {PPY} / nullif({DOWN}, 0)", "var_hist": "-quantile_disc(r, 0.05)",
+    "hit_rate": "count(*) filter (where r > 0) / count(r)", "gain_to_pain": "sum(greatest(r, 0)) / nullif(abs(sum(least(r, 0))), 0)",
+    "best_period": "max(r)", "worst_period": "min(r)",
+}
+SHAPES = {"skewness": f"{MOMENT(3)} / nullif(pow({MOMENT(2)}, 1.5), 0)", "kurtosis": f"{MOMENT(4)} / nullif(pow({MOMENT(2)}, 2), 0) - 3"}
+PATH = """
+wealth as (select *, sum(ln(1 + r)) over (partition by series order by ts) as w from rr),
+path as (select *, exp(w - max(w) over (partition by series order by ts)) - 1 as dd from wealth)
+"""
+STATS = """
+st as (select series, avg(r) as mr, quantile_disc(r, 0.05) as q from rr group by series),
+mo as (select avg(b) as mb, var_pop(b) as vb, count(*) filter (where b > 0) as n_up, count(*) filter (where b < 0) as n_down,
+  exp(sum(ln(1 + b)) filter (where b > 0) / count(*) filter (where b > 0)) - 1 as g_up,
+  exp(sum(ln(1 + b)) filter (where b < 0) / count(*) filter (where b < 0)) - 1 as g_down from mk),
+jo as (select * from rr left join mk using (ts) join st using (series) cross join mo)
+"""
+BETA = "avg((r - mr) * (b - mb)) / nullif(first(vb), 0)"
+RELATIVE = {
+    "active_return": f"avg(r - b) * {PPY}", "tracking_error": f"stddev_samp(r - b) * sqrt({PPY})",
+    "information_ratio": f"avg(r - b) * sqrt({PPY}) / nullif(stddev_samp(r - b), 0)", "beta": BETA,
+    "alpha": f"(avg(r) - {BETA} * first(mb)) * {PPY}",
+    "up_capture": "(exp(sum(ln(1 + r)) filter (where b > 0) / first(n_up)) - 1) / nullif(first(g_up), 0)",
+    "down_capture": "(exp(sum(ln(1 + r)) filter (where b < 0) / first(n_down)) - 1) / nullif(first(g_down), 0)",
+    "correlation": "avg((r - mr) * (b - mb)) / nullif(sqrt(var_pop(r) * first(vb)), 0)",
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, dates: Sequence[str] = ()):
+    """Register a query; ``dates`` are given as text, which every engine writes alike."""
+
+    def keep(f):
+        QUERIES[name] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
+        if sql is not None:
+            text = ", ".join(f'"{c}"::varchar as "{c}"' for c in dates)
+            ORACLE_SQL[name] = f"select * replace ({text}) from ({sql})" if dates else sql
+        return f
+
+    return keep
+
+
+def _measures(names: Sequence[str], relative: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = ms.measure_table(flags(spark, sf_dir), market(spark, sf_dir) if relative else None, names, PPY)
+        return rounded(table, names)
+
+    return run
+
+
+# measures
+
+query("measures_core", f"with {RETURNS} select series, {', '.join(r_sql(e, n) for n, e in VALUES.items())} from rr group by series")(_measures(list(VALUES)))
+query(
+    "measures_shape",
+    f"with {RETURNS}, c as (select *, avg(r) over (partition by series) as m from rr) select series, {', '.join(r_sql(e, n) for n, e in SHAPES.items())} from c group by series",
+)(_measures(list(SHAPES)))
+query(
+    "measures_drawdown",
+    f"with {RETURNS}, {PATH} select series, {r_sql('min(dd)', 'max_drawdown')}, {r_sql(f'({CAGR}) / nullif(abs(min(dd)), 0)', 'calmar')} from path group by series",
+)(_measures(["max_drawdown", "calmar"]))
+query("measures_cvar", f"with {RETURNS}, {STATS} select series, {r_sql('-avg(r) filter (where r <= q)', 'cvar_hist')} from jo group by series")(_measures(["cvar_hist"]))
+query("measures_relative", f"with {RETURNS}, {STATS} select series, {', '.join(r_sql(e, n) for n, e in RELATIVE.items())} from jo group by series")(
+    _measures(list(RELATIVE), relative=True)
+)
+
+
+@query("drawdown_path", f"with {RETURNS}, {PATH} select series, ts, {r_sql('dd', 'drawdown')} from path", dates=["ts"])
+def drawdown_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ms.prepared(flags(spark, sf_dir), needs=frozenset(("path",)))
+    return rounded(rows.select("series", "ts", F.col("dd").alias("drawdown")), ["drawdown"])
+
+
+W = 12
+
+
+@query(
+    "rolling_measures",
+    f"""with {RETURNS}, n as (select *, row_number() over (partition by series order by ts) as k,
+    avg(r) over w as m, stddev_samp(r) over w as s from rr window w as (partition by series order by ts rows {W - 1} preceding))
+    select series, ts, round(case when k >= {W} then m end, 6) + 0.0 as mean, round(case when k >= {W} then s * sqrt({PPY}) end, 6) + 0.0 as vol,
+    round(case when k >= {W} then m * sqrt({PPY}) / nullif(s, 0) end, 6) + 0.0 as sharpe from n""", dates=["ts"])
+def rolling_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, g, x = flags(spark, sf_dir), ["series"], F.col("ret")
+    found = rows.select(
+        "series", "ts", ro.rolling_mean(x, g, "ts", W).alias("mean"), ro.rolling_vol(x, g, "ts", W, PPY).alias("vol"),
+        ro.rolling_sharpe(x, g, "ts", W, 0.0, PPY).alias("sharpe"),
+    )
+    return rounded(found, ["mean", "vol", "sharpe"])
+
+
+@query(
+    "rolling_beta",
+    f"""with {RETURNS}, n as (select series, ts, row_number() over (partition by series order by ts) as k, covar_samp(r, b) over w / nullif(var_samp(b) over w, 0) as beta
+    from rr join mk using (ts) window w as (partition by series order by ts rows {W - 1} preceding))
+    select series, ts, round(case when k >= {W} then beta end, 6) + 0.0 as beta from n""", dates=["ts"])
+def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir).join(market(spark, sf_dir).withColumnRenamed("ret", "b"), "ts")
+    return rounded(rows.select("series", "ts", ro.rolling_beta(F.col("ret"), F.col("b"), ["series"], "ts", W).alias("beta")), ["beta"])
+
+
+@query(
+    "simple_returns",
+    f"""select series, ts, {r_sql("px / nullif(lag(px) over (partition by series order by ts), 0) - 1", "ret")} from
+    (select l_returnflag as series, date_trunc('month', l_shipdate)::date as ts, avg(l_extendedprice) as px from lineitem group by all)""", dates=["ts"])
+def simple_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market_returns(spark, sf_dir).select("series", "ts", "ret"), ["ret"])
+
+
+# scorecard
+
+BATTERY_SQL = {
+    "cagr": CAGR, "sharpe": SHARPE, "sortino": VALUES["sortino"], "calmar": f"({CAGR}) / nullif(abs(min(dd)), 0)", "max_drawdown": "min(dd)",
+    "ann_vol": VALUES["ann_vol"], "cvar_95": "-avg(r) filter (where r <= q)", "skewness": "avg(pow(r - mr, 3)) / nullif(pow(avg(pow(r - mr, 2)), 1.5), 0)",
+    "hit_rate": VALUES["hit_rate"],
+}
+RELATIVE_SQL = {n: RELATIVE[n] for n in ("information_ratio", "tracking_error", "up_capture", "down_capture")}
+LESS_IS_BETTER = ("ann_vol", "cvar_95", "tracking_error", "down_capture")
+SCORES = f"""with {RETURNS},
+al as (select series, ts, r from rr union all select '~', ts, b from mk),
+w1 as (select *, sum(ln(1 + r)) over (partition by series order by ts) as w from al),
+w2 as (select *, exp(w - max(w) over (partition by series order by ts)) - 1 as dd from w1),
+w3 as (select * from w2 join (select series, avg(r) as mr, quantile_disc(r, 0.05) as q from al group by series) using (series)),
+ab as (unpivot (select series, {", ".join(f"({e})::double as {n}" for n, e in BATTERY_SQL.items())} from w3 group by series) on columns(* exclude series) into name measure value value),
+{STATS},
+re as (unpivot (select series, {", ".join(f"({e})::double as {n}" for n, e in RELATIVE_SQL.items())} from jo group by series) on columns(* exclude series) into name measure value value),
+va as (select a.series as asset, a.measure, a.value, t.value as target_value from ab a left join ab t on t.series = '~' and t.measure = a.measure where a.series <> '~'
+  union all select series, measure, value, case when measure in ('up_capture', 'down_capture') then 1.0 else 0.0 end from re),
+sp as (select *, avg(abs(value)) over (partition by measure) as spread from va),
+sc as (select asset, measure, value, target_value, case when measure in {LESS_IS_BETTER} then -1 else 1 end * (value - target_value)
+  / case when abs(target_value) >= 1e-12 then abs(target_value) when spread >= 1e-12 then spread else 1.0 end as score, 1 / 13.0::double as weight from sp)
+"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[Scorecard, DataFrame]:
+    card = Scorecard(ppy=PPY)
+    return card, card.values(flags(spark, sf_dir), market(spark, sf_dir))
+
+
+@query("scorecard_values", SCORES + f"select asset, measure, {', '.join(r_sql(c, c) for c in ('value', 'target_value', 'score', 'weight'))} from sc")
+def scorecard_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_scores(spark, sf_dir)[1], ["value", "target_value", "score", "weight"])
+
+
+@query(
+    "scorecard_rank",
+    SCORES
+    + f""", co as (select asset, sum(weight * score) / sum(weight) as composite from sc where score is not null group by asset),
+di as (select asset, composite, sqrt(sum(weight * pow(score - composite, 2)) / sum(weight)) as dispersion from sc join co using (asset) where score is not null group by all)
+select asset, {r_sql("composite", "composite")}, {r_sql("dispersion", "dispersion")}, row_number() over (order by composite desc nulls last, asset) as rank from di""",
+)
+def scorecard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card, values = _scores(spark, sf_dir)
+    return rounded(card.summary(values), ["composite", "dispersion"])
+
+
+@query("scorecard_frame")
+def scorecard_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card, values = _scores(spark, sf_dir)
+    return card.frame(values, "score")
+
+
+# features
+
+EVENTS = "select user_id, date_trunc('day', ts)::date as day, count(*)::double as n, avg(value) as mean, max(value) as top from events group by all"
+
+
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return events.groupBy("user_id", F.date_trunc("day", "ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top")
+    )
+
+
+@query(
+    "cross_section_zscore",
+    f"""with p as ({EVENTS}) select user_id, day, {r_sql("(mean - avg(mean) over (partition by day)) / nullif(stddev_pop(mean) over (partition by day), 0)", "z")} from p""", dates=["day"])
+def cross_section_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(user_days(spark, sf_dir).select("user_id", "day", ro.zscore(F.col("mean"), ["day"]).alias("z")), ["z"])
+
+
+@query("period_ends", f"with p as ({EVENTS}) select user_id, max(day) as day, {r_sql('arg_max(mean, day)', 'mean')} from p group by user_id, date_trunc('week', day)", dates=["day"])
+def period_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = ro.period_ends(user_days(spark, sf_dir), ["user_id"], "day", "week")
+    return rounded(ends.select("user_id", "day", "mean"), ["mean"])
+
+
+def wide_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Days by event types: mean values. A dense feature matrix."""
+    events = _table(spark, sf_dir, "events")
+    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    days = events.groupBy(F.date_trunc("day", "ts").cast("date").alias("ts"), "event_type").agg(F.avg("value").alias("v"))
+    wide = pivoted(days, "ts", "event_type", "v", names)
+    return wide.select(F.lit("all").alias("g"), "ts", *(F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names))), [f"f{i}" for i in range(len(names))]
+
+
+@query("exposure", f"with {RETURNS} select series, ts, round(case when before is not null then least(greatest(0.35 + 0.65 * before, 0), 1) end, 6) + 0.0 as exposure from (select *, lag(abs(r)) over (partition by series order by ts) as before from rr)", dates=["ts"])
+def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir)
+    return rounded(rows.select("series", "ts", ro.scaled_exposure(F.abs("ret"), ["series"], "ts").alias("exposure")), ["exposure"])
+
+
+@query(
+    "ew_volatility",
+    f"""with recursive {RETURNS}, n as (select *, row_number() over (partition by series order by ts) as k from rr),
+    e as (select series, k, ts, 1.0::double as w, 1.0::double as w2, r as s1, r * r as s2 from n where k = 1
+      union all select n.series, n.k, n.ts, w * (9 / 11.0::double) + 1, w2 * pow(9 / 11.0::double, 2) + 1, s1 * (9 / 11.0::double) + r, s2 * (9 / 11.0::double) + r * r from e join n on n.series = e.series and n.k = e.k + 1)
+    select series, ts, round(sqrt(greatest((s2 / w - pow(s1 / w, 2)), 0) / nullif(1 - w2 / (w * w), 0)), 6) + 0.0 as ew_vol from e""", dates=["ts"])
+def ew_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ro.ew_volatility(flags(spark, sf_dir), ["series"], "ts", "ret")
+    return rounded(rows.select("series", "ts", number("ew_vol").alias("ew_vol")), ["ew_vol"])
+
+
+# principal components
+
+
+def two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market_returns(spark, sf_dir).where("series in ('A', 'R') and ret is not null")
+    return pivoted(rows, "ts", "series", "ret", ["A", "R"]).select(F.lit("all").alias("g"), "ts", "A", "R")
+
+
+PAIR = f"""with {RETURNS}, ab as (select ts, max(r) filter (where series = 'A') as a, max(r) filter (where series = 'R') as b2 from rr where series in ('A', 'R') group by ts),
+n as (select ts, count(a) over w as na, count(b2) over w as nb, var_samp(a) over w as va, var_samp(b2) over w as vb, covar_samp(a, b2) over w as c from ab window w as (order by ts rows 23 preceding)),
+m as (select *, na = 24 and nb = 24 as ok, (va + vb) / 2 as h, sqrt(pow((va - vb) / 2, 2) + c * c) as g from n)
+"""
+
+
+@query(
+    "pca_eigenvalues",
+    PAIR + "select ts, round(case when ok then h + g end, 6) + 0.0 as e1, round(case when ok then h - g end, 6) + 0.0 as e2, round(case when ok then (h + g) / (2 * h) end, 6) + 0.0 as share from m", dates=["ts"])
+def pca_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = models.rolling_pca(two_series(spark, sf_dir), ["g"], "ts", ["A", "R"], window=24, n_components=2, align=False)
+    found = steps.select("ts", F.get("eigenvalues", 0).alias("e1"), F.get("eigenvalues", 1).alias("e2"), F.get("explained_variance_ratio", 0).alias("share"))
+    return rounded(found, ["e1", "e2", "share"])
+
+
+@query(
+    "pca_correlation",
+    PAIR + "select ts, round(case when ok then 1 + abs(c / sqrt(va * vb)) end, 6) + 0.0 as e1, round(case when ok then 1 - abs(c / sqrt(va * vb)) end, 6) + 0.0 as e2 from m", dates=["ts"])
+def pca_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = models.rolling_pca(two_series(spark, sf_dir), ["g"], "ts", ["A", "R"], window=24, n_components=2, corr=True, align=False)
+    return rounded(steps.select("ts", F.get("eigenvalues", 0).alias("e1"), F.get("eigenvalues", 1).alias("e2")), ["e1", "e2"])
+
+
+@query("pca_active", PAIR + "select ts, na = 24 as active_a, nb = 24 as active_r from m", dates=["ts"])
+def pca_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = two_series(spark, sf_dir)
+    return rows.select("ts", ro.active(F.col("A"), ["g"], "ts", 24).alias("active_a"), ro.active(F.col("R"), ["g"], "ts", 24).alias("active_r"))
+
+
+@query("rolling_covariance", PAIR + "select ts, round(case when row_number() over (order by ts) >= 24 then c end, 6) + 0.0 as cov from m", dates=["ts"])
+def rolling_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = two_series(spark, sf_dir)
+    return rounded(rows.select("ts", ro.rolling_covariance(F.col("A"), F.col("R"), ["g"], "ts", 24).alias("cov")), ["cov"])
+
+
+def daily_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Daily returns of flag and status series beside each other: gaps make the universe vary."""
+    rows = market_returns(spark, sf_dir, ("l_returnflag", "l_linestatus"), "day")
+    names = [r[0] for r in rows.select("series").distinct().orderBy("series").collect()]
+    wide = pivoted(rows, "ts", "series", "ret", names)
+    return wide.select(F.lit("all").alias("g"), "ts", *(F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names))), [f"f{i}" for i in range(len(names))]
+
+
+@query("pca_variable_universe")
+def pca_variable_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = daily_series(spark, sf_dir)
+    return models.rolling_pca(rows, ["g"], "ts", names, window=20, n_components=2).select("ts", "valid", "eigenvalues", "similarity", "projections", "n_flips", "n_reorders")
+
+
+@query("pca_steps")
+def pca_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = wide_events(spark, sf_dir)
+    return models.rolling_pca(rows, ["g"], "ts", names, window=10, n_components=3).drop("g")
+
+
+@query("pca_exponential")
+def pca_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = wide_events(spark, sf_dir)
+    return models.rolling_pca(rows, ["g"], "ts", names, window=8, n_components=2, halflife=6.0).drop("g")
+
+
+@query("pca_panel")
+def pca_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    rows = events.groupBy(F.lit("all").alias("g"), "event_type", F.date_trunc("day", "ts").cast("date").alias("ts")).agg(
+        F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.max("value").alias("c")
+    )
+    return models.panel_pca(rows, ["g"], "event_type", "ts", ["a", "b", "c"], window=10, n_components=2).drop("g")
+
+
+@query("pca_project")
+def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = wide_events(spark, sf_dir)
+    steps = models.rolling_pca(rows, ["g"], "ts", names, window=10, n_components=2)
+    return models.project(steps, rows, ["g"], names).select("ts", "projections")
+
+
+# clusters
+
+
+def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("long").alias("label"))
+
+
+CENTRES = "select label as k, list(v order by i) as c from (select label, i, avg(embedding[i]::double) as v from embeddings, range(1, 65) t(i) group by all) group by label"
+
+
+def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of each label."""
+    items = cross_section(spark, sf_dir).select("label", F.posexplode("features").alias("i", "v"))
+    means = items.groupBy("label", "i").agg(F.avg("v").alias("v"))
+    return means.groupBy(F.col("label").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centre"))
+
+
+@query(
+    "kmeans_predict",
+    f"""with c as ({CENTRES}), d as (select vec_id, k, list_sum(list_transform(list_zip(embedding::double[], c), lambda z: pow(z[1] - z[2], 2))) as d from embeddings, c)
+    select vec_id, arg_min(k, (d, k))::bigint as label, round(min(d), 4) + 0.0 as dist2 from d group by vec_id""",
+)
+def kmeans_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.nearest(cross_section(spark, sf_dir).drop("label"), centres(spark, sf_dir))
+    return found.select("vec_id", "label", (F.round("dist2", 4) + 0.0).alias("dist2"))
+
+
+@query(
+    "kmeans_distances",
+    f"""with c as ({CENTRES}) select vec_id, k::bigint as k, round(sqrt(list_sum(list_transform(list_zip(embedding::double[], c), lambda z: pow(z[1] - z[2], 2)))), 4) + 0.0 as distance from embeddings, c""",
+)
+def kmeans_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.centroid_distances(cross_section(spark, sf_dir).drop("label"), centres(spark, sf_dir))
+    return found.select("vec_id", F.col("k").cast("long").alias("k"), (F.round("distance", 4) + 0.0).alias("distance"))
+
+
+@query(
+    "silhouette",
+    """with v as (select vec_id, label::bigint as label, embedding::double[] as e from embeddings),
+    m as (select a.vec_id, a.label, b.label as l, avg(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))))) as m from v a join v b on a.vec_id <> b.vec_id group by all),
+    s as (select vec_id, label, min(m) filter (where l = label) as a, min(m) filter (where l <> label) as b from m group by all)
+    select vec_id, label, round(case when a is null then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end, 6) + 0.0 as silhouette from s""",
+)
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.silhouette(cross_section(spark, sf_dir), "vec_id"), ["silhouette"])
+
+
+@query(
+    "kmeans_inertia",
+    f"""with c as ({CENTRES}), d as (select vec_id, min(list_sum(list_transform(list_zip(embedding::double[], c), lambda z: pow(z[1] - z[2], 2)))) as d from embeddings, c group by all)
+    select round(sum(d), 3) as inertia from d""",
+)
+def kmeans_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summaries.nearest(cross_section(spark, sf_dir).drop("label"), centres(spark, sf_dir))
+    return summaries.inertia(found).select(F.round("inertia", 3).alias("inertia"))
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_days(spark, sf_dir).select(F.lit("all").alias("g"), "day", "user_id", "n", "mean", "top")
+    return models.rolling_kmeans(rows, ["g"], "day", "user_id", ["n", "mean", "top"], n_clusters=3, centroid_memory=2)
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, sf_dir).select("period", "entity", "label", "switched", "dist2")
+
+
+@query("kmeans_steps")
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.kmeans_steps(clustered(spark, sf_dir))
+
+
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed rule's labels of users by day: how many events they have."""
+    return user_days(spark, sf_dir).select(F.col("day").alias("period"), F.col("user_id").cast("string").alias("entity"), F.least(F.col("n"), F.lit(3.0)).cast("long").alias("label"))
+
+
+@query(
+    "cluster_summary",
+    f"""with p as ({EVENTS}), l as (select day, user_id, least(n, 3)::bigint as label, dense_rank() over (order by day) as k from p),
+    b as (select l.*, o.label as before, max(l.k) over () as last from l left join l o on o.user_id = l.user_id and o.k = l.k - 1)
+    select label, round(count(*) / (sum(count(*)) over ()), 6) + 0.0 as share, count(*) filter (where k = last) as n_final,
+    count(*) filter (where k > 1 and (before is null or before <> label)) as moves_in, round(count(*) filter (where before <> label) / count(*), 6) + 0.0 as switch_rate from b group by label""",
+)
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.cluster_summary(sized(spark, sf_dir)), ["share", "switch_rate"])
+
+
+@query(
+    "cluster_switches",
+    f"""with p as ({EVENTS}), l as (select day, user_id, least(n, 3)::bigint as label, dense_rank() over (order by day) as k from p)
+    select l.day as period, l.user_id::varchar as entity, coalesce(o.label <> l.label, false) as switched from l left join l o on o.user_id = l.user_id and o.k = l.k - 1""", dates=["period"])
+def cluster_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.moves(sized(spark, sf_dir)).select("period", "entity", F.coalesce(F.col("before") != F.col("label"), F.lit(False)).alias("switched"))
+
+
+@query("labels_frame")
+def labels_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.labels_frame(sized(spark, sf_dir))
+
+
+@query("select_n_clusters")
+def select_n_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
+    return select.select_n_clusters(users, "user_id", ["n", "mean", "top"], (2, 3, 4))
+
+
+# embeddings and regimes
+
+
+@query("embedding_coords")
+def embedding_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_days(spark, sf_dir).select(F.lit("all").alias("g"), "day", "user_id", "n", "mean", "top")
+    return models.rolling_embedding(rows, ["g"], "day", "user_id", ["n", "mean", "top"], n_components=2).drop("g")
+
+
+@query("regime_steps")
+def regime_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir).select("series", "ts", "ret")
+    return models.rolling_regimes(rows, ["series"], "ts", ["ret"], n_regimes=2, window=36, reg_covar=1e-8)
+
+
+@query("regime_predict")
+def regime_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir).select("series", "ts", "ret")
+    steps = models.rolling_regimes(rows, ["series"], "ts", ["ret"], n_regimes=2, window=36, reg_covar=1e-8)
+    return models.predict_regimes(steps, rows, ["series"], ["ret"], reg_covar=1e-8)
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("series", "ts", "ret", (F.col("ret") < 0).cast("long").alias("label"))
+
+
+SPELLS = f"""with {RETURNS}, l as (select series, ts, r, (r < 0)::bigint as label from rr),
+n as (select *, row_number() over (partition by series order by ts) - row_number() over (partition by series, label order by ts) as island from l),
+s as (select series, label, min(ts) as start, max(ts) as "end", count(*) as length from n group by series, label, island)
+"""
+
+
+@query("regime_spells", SPELLS + 'select series, label, start, "end", length from s', dates=["start", "end"])
+def regime_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.spells(signed(spark, sf_dir), ["series"], "ts")
+
+
+@query(
+    "regime_summary",
+    SPELLS
+    + f"""select f.series, f.label, round(share, 6) + 0.0 as share, round(avg_spell, 6) + 0.0 as avg_spell, n_spells, round(mean_ret, 6) + 0.0 as mean_ret, round(std_ret, 6) + 0.0 as std_ret
+    from (select series, label, count(*) / sum(count(*)) over (partition by series) as share, avg(r) as mean_ret, stddev_samp(r) as std_ret from l group by series, label) f
+    join (select series, label, avg(length) as avg_spell, count(*) as n_spells from s group by series, label) g using (series, label)""",
+)
+def regime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.regime_summary(signed(spark, sf_dir), ["series"], "ts", ["ret"]), ["share", "avg_spell", "mean_ret", "std_ret"])
+
+
+@query(
+    "select_one_regime",
+    f"""with {RETURNS}, f as (select count(*) as n, var_pop(b * 100) as v, stddev_pop(b) as s from mk), g as (select *, v + 2e-4 as w from f),
+    h as (select n, -0.5 * n * (ln(2 * pi() * w) + v / w) as ll from g)
+    select 1::bigint as n_regimes, round(ll, 3) + 0.0 as log_likelihood, 2::bigint as n_params, round(4 - 2 * ll, 3) + 0.0 as aic, round(2 * ln(n) - 2 * ll, 3) + 0.0 as bic from h""",
+)
+def select_one_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market(spark, sf_dir).select("ts", (F.col("ret") * 100).alias("x"))
+    found = select.select_n_regimes(rows, "ts", ["x"], (1,), reg_covar=1e-4)
+    return found.withColumns({c: F.round(c, 3) + 0.0 for c in ("log_likelihood", "aic", "bic")})
+
+
+@query("select_n_regimes")
+def select_n_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market(spark, sf_dir).select("ts", (F.col("ret") * 100).alias("x"))
+    return select.select_n_regimes(rows, "ts", ["x"], (1, 2, 3))
+
+
+# shapes and generators
+
+
+@query(
+    "melted_returns",
+    f"with {RETURNS} select ts, series, {r_sql('r', 'ret')} from rr", dates=["ts"])
+def melted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market_returns(spark, sf_dir)
+    wide = pivoted(rows, "ts", "series", "ret")
+    return rounded(melted(wide, ["ts"]).where("ret is not null"), ["ret"])
+
+
+@query("latest_universe", f"with p as ({EVENTS}) select user_id, min(day) as first_day, max(day) as last_day, count(*) as n_days from p group by user_id", dates=["first_day", "last_day"])
+def latest_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_days(spark, sf_dir).groupBy("user_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_days"))
+
+
+@query(
+    "shared_universe",
+    f"""with p as ({EVENTS}), k as (select user_id, day, dense_rank() over (order by day) as k from p)
+    select a.day as day, count(*) as n_shared from k a join k b on a.user_id = b.user_id and a.k = b.k + 1 group by a.day""", dates=["day"])
+def shared_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summaries.moves(sized(spark, sf_dir)).where("before is not null")
+    return rows.groupBy(F.col("period").alias("day")).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+@query("simulate_rotating_cloud")
+def simulate_rotating_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.rotating_cloud(spark, 200, seed=1)
+
+
+@query("simulate_regime_returns")
+def simulate_regime_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.regime_returns(spark, 300, seed=1)
+
+
+@query("simulate_drifting_blobs")
+def simulate_drifting_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.drifting_blobs(spark, 20, seed=1)
