@@ -44,13 +44,9 @@ def seeds(rows: DataFrame, array: str, at: str) -> DataFrame:
 
 
 def _best_window(equal: Column, width: Column) -> Column:
-    """The most equal words in any window of ``width``, from running sums."""
-    sums = F.aggregate(
-        equal,
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    return F.array_max(F.transform(F.slice(sums, width + 1, F.size(sums)), lambda x, i: x - F.get(sums, i)))
+    """The most equal words in any window of ``width``."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.size(equal) - width + 1), lambda s: total(F.slice(equal, s, width))))
 
 
 def leaks(
@@ -68,23 +64,22 @@ def leaks(
     ``n_matched``: equal words over the whole item on the best diagonal; ``best_window``: in its best window.
     """
     items = hashed(benchmark, item_id, item_text, ("item", "item_hashes"))
-    known = seeds(items, "item_hashes", "item_at")
+    known = seeds(items, "item_hashes", "item_at").select("seed", "item", "item_at", F.size("item_hashes").alias("item_words"))
     size = items.agg(F.coalesce(F.sum(F.size("item_hashes")), F.lit(0)).alias("n")).first()["n"]
+    own = hashed(docs, doc_id, doc_text, ("doc", "doc_hashes"))
+    at = seeds(own, "doc_hashes", "doc_at")
+    diagonal = (F.col("doc_at") - F.col("item_at")).alias("diagonal")
+    first = F.greatest(F.col("diagonal"), F.lit(0))
+    passage = F.slice("doc_hashes", first + 1, F.col("item_words") + F.least(F.col("diagonal"), F.lit(0))).alias("passage")
     if size <= BROADCAST_WORDS:
-        known = F.broadcast(known.select("seed", "item", "item_at", F.size("item_hashes").alias("item_words")))
+        # no exchange between a document and its hits: its words are at hand
         items = F.broadcast(items)
+        hits = at.join(F.broadcast(known), "seed").select("doc", "item", diagonal, "item_words", "doc_hashes")
+        hits = hits.select("doc", "item", "diagonal", passage).distinct()
     else:
-        known = known.select("seed", "item", "item_at", F.size("item_hashes").alias("item_words"))
-    own = hashed(docs, doc_id, doc_text, ("doc", "doc_hashes"))
-    hits = seeds(own, "doc_hashes", "doc_at").join(known, "seed")
-    diagonal = F.col("doc_at") - F.col("item_at")
-    first = F.greatest(diagonal, F.lit(0))
-    hits = hits.select(
-        "doc",
-        "item",
-        diagonal.alias("diagonal"),
-        F.slice("doc_hashes", first + 1, F.col("item_words") + F.least(diagonal, F.lit(0))).alias("passage"),
-    ).distinct()
+        # seeds are exchanged alone; the words of documents with hits are fetched afterwards
+        hits = at.select("doc", "doc_at", "seed").join(known, "seed").select("doc", "item", diagonal, "item_words").distinct()
+        hits = hits.join(own.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "item", "diagonal", passage)
     found = hits.join(items, "item")
     # the item's words before the document's start, or after its end, are not there
     padded = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("diagonal"), F.lit(0))), F.col("passage"))

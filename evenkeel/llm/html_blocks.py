@@ -115,9 +115,11 @@ class Reader:
             return
         if name in VOID:
             return
-        self.cut()
         if any(n == name for n, _ in self.stack):
+            self.cut()
             self._pop((name,), frozenset())
+        elif name == "p":
+            self.cut()
 
 
 @lru_cache(maxsize=4096)
