@@ -37,7 +37,7 @@ from evenkeel.llm.storage import release, remove, written
 #: Counts up to K are discounted.
 K = 5
 #: Characters of a block; distinct words or bigrams that one partition merges, roughly.
-BLOCK_CHARS, MERGED = 1 << 25, 1 << 21
+BLOCK_CHARS, MERGED = 1 << 24, 1 << 21
 #: A history is split if it has more than 1/(HOT * partitions) of all tokens.
 HOT = 4
 END, START = b"", 0
@@ -72,7 +72,8 @@ def unpacked(data: bytes) -> list[np.ndarray]:
         dtype = np.dtype("<" + kind.decode().strip())
         raw = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, length * dtype.itemsize))
         planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, length) if length else np.empty((dtype.itemsize, 0), np.uint8)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(length))
+        own = np.ascontiguousarray(planes.T).view(dtype).reshape(length)
+        out.append(own if own.flags.writeable else own.copy())
         at += size
     return out
 
@@ -276,7 +277,9 @@ class Pairs:
         before = np.empty(len(tokens), np.int64)
         before[1:] = tokens[:-1]
         before[self.starts] = start
-        key, self.of_token, _ = np.unique(before * (start + 1) + tokens, return_inverse=True, return_counts=True)
+        key, of_token = np.unique(before * (start + 1) + tokens, return_inverse=True)
+        self.of_token = of_token.astype(np.int32)
+        del before, of_token
         own = np.bincount(self.of_token[np.repeat(self.train, self.lengths)], minlength=len(key)).astype(np.int64)
         history, word = key // (start + 1), key % (start + 1)
         self.ids, self.counts = np.append(ids, START), np.append(counts, 0)
@@ -299,7 +302,7 @@ class Pairs:
 
 
 def _of_block(table: pa.Table) -> tuple[dict, dict[str, list[dict]]]:
-    rows = table.to_pylist()
+    rows = table.select([c for c in table.column_names if c not in ("n_words", "n_tokens", "size")]).to_pylist()
     row = next(r for r in rows if r["kind"] == "block")
     return row, {k: [r for r in rows if r["kind"] == k] for k in ("words", "bigrams")}
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,5 +45,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of plans that are finished; they otherwise stay until the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of plans, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
