@@ -79,9 +79,9 @@ def rolling_pca(
         return np.array([[np.nan if v is None else v for v in row] for row in pdf["x"]], float).reshape(len(pdf), d)
 
     def emitted(pdf: pd.DataFrame, values, vectors, means, total) -> pd.DataFrame:
-        flat = vectors.reshape(len(pdf), -1)
-        own = {"values": [listed(v) for v in values], "vectors": [listed(v) for v in flat], "means": [listed(m) for m in means], "total": total}
-        return pdf[[*group, "ts", "step", "x"]].assign(**own)
+        flat = vectors.reshape(len(pdf), d * p)
+        lists = lambda rows: pd.Series([listed(v) for v in rows], index=pdf.index, dtype=object)
+        return pdf[[*group, "ts", "step", "x"]].assign(values=lists(values), vectors=lists(flat), means=lists(means), total=total)
 
     if halflife is None:
         size = max(block, window)
