@@ -95,42 +95,46 @@ def anchored(fps: DataFrame) -> DataFrame:
 
 
 class Comparer:
-    """Links among rows sorted by anchor with homes first. Holds the homes of one anchor between batches."""
+    """Links among rows sorted by anchor with homes first. Holds the homes of one anchor between batches.
+
+    ``fps`` has a row of 64-bit words per fingerprint; distances are over all of them.
+    """
 
     def __init__(self, threshold: int) -> None:
         self.threshold = threshold
-        self.anchor, self.homes = None, np.empty(0, np.uint64)
+        self.anchor = self.homes = self.home_ids = None
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
-        near = (a != b) & (np.bitwise_count(a ^ b) <= self.threshold)
+    def _keep(self, ids: np.ndarray, fps: np.ndarray, to_ids: np.ndarray, to_fps: np.ndarray) -> None:
+        near = (ids != to_ids) & (np.bitwise_count(fps ^ to_fps).sum(axis=1, dtype=np.int64) <= self.threshold)
         if near.any():
-            self.links.append((a[near], b[near]))
+            self.links.append((ids[near], to_ids[near]))
             self.held += int(near.sum())
             if self.held > LINKS:
                 self.links = [forest(*(np.concatenate(x) for x in zip(*self.links, strict=True)))]
                 self.held = len(self.links[0][0])
 
-    def _against(self, rows: np.ndarray) -> None:
+    def _against(self, ids: np.ndarray, fps: np.ndarray) -> None:
         step = max(1, LINKS // max(1, len(self.homes)))
-        for i in range(0, len(rows), step):
-            part = rows[i : i + step]
+        for i in range(0, len(ids), step):
+            part = np.arange(i, min(i + step, len(ids)))
             for j in range(0, len(self.homes), LINKS):
-                homes = self.homes[j : j + LINKS]
-                self._keep(np.repeat(part, len(homes)), np.tile(homes, len(part)))
+                homes = np.arange(j, min(j + LINKS, len(self.homes)))
+                left, right = np.repeat(part, len(homes)), np.tile(homes, len(part))
+                self._keep(ids[left], fps[left], self.home_ids[right], self.homes[right])
 
-    def add(self, anchor: np.ndarray, home: np.ndarray, fp: np.ndarray) -> None:
+    def add(self, anchor: np.ndarray, home: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> None:
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         ends = np.r_[starts[1:], len(anchor)]
         first, last = 0, len(starts) - 1
         if self.anchor is not None and anchor[0] == self.anchor:  # the group goes on
-            rows, own = fp[: ends[0]], home[: ends[0]]
-            self.homes = np.concatenate([self.homes, rows[own]])
-            self._against(rows)
+            at = slice(0, ends[0])
+            self.homes = np.concatenate([self.homes, fps[at][home[at]]])
+            self.home_ids = np.concatenate([self.home_ids, ids[at][home[at]]])
+            self._against(ids[at], fps[at])
             first = 1
         if last >= first:
-            at = slice(starts[last], ends[last])
             n_homes = np.add.reduceat(home.astype(np.int64), starts)
             # groups that end in this batch: every row against the homes of its group, in pieces of bounded size
             inner = np.arange(first, last)
@@ -144,41 +148,45 @@ class Comparer:
                     group = np.repeat(part, sizes[part])
                     times = n_homes[group]
                     left = np.repeat(rows, times)
-                    offset = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-                    self._keep(fp[left], fp[np.repeat(starts[group], times) + offset])
-            for g in np.setdiff1d(inner, small):
-                rows = fp[starts[g] : ends[g]]
-                self.homes = rows[home[starts[g] : ends[g]]]
-                self._against(rows)
-            self.anchor, self.homes = anchor[starts[last]], fp[at][home[at]]
-            self._against(fp[at])
+                    right = np.repeat(starts[group], times) + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+                    self._keep(ids[left], fps[left], ids[right], fps[right])
+            for g in [*np.setdiff1d(inner, small), last]:
+                at = slice(starts[g], ends[g])
+                self.homes, self.home_ids = fps[at][home[at]], ids[at][home[at]]
+                self._against(ids[at], fps[at])
+            self.anchor = anchor[starts[last]]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.links:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         return forest(*(np.concatenate(x) for x in zip(*self.links, strict=True)))
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links ``a, b`` that join what is within ``threshold`` bits among distinct ``fps (fp)``: a forest per task."""
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError(f"the covering is for thresholds up to {THRESHOLD}")
-    rows = anchored(fps)
+def compared(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links ``a, b`` among ``rows (anchor, home, id, fp…)`` that meet at an anchor: a forest per task."""
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(threshold)
         for batch in batches:
             if batch.num_rows:
-                anchor, fp = (batch.column(i).to_numpy() for i in (0, 2))
-                comparer.add(anchor, batch.column(1).to_numpy(zero_copy_only=False), fp.view(np.uint64))
+                anchor, home, ids, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                comparer.add(anchor, home, ids, np.stack(fps, axis=1).view(np.uint64))
         a, b = comparer.result()
         for i in range(0, len(a), HASHES):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HASHES].view(np.int64)) for x in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HASHES]) for x in (a, b)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links ``a, b`` that join what is within ``threshold`` bits among distinct ``fps (fp)``: a forest per task."""
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError(f"the covering is for thresholds up to {THRESHOLD}")
+    rows = anchored(fps)
+    return compared(rows.select("anchor", "home", F.col("fp").alias("id"), "fp"), threshold)
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, seed: int = 42
 ) -> DataFrame:
@@ -195,10 +203,91 @@ def near_duplicates(
     return rows.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``df`` whose id is that of their component, once each."""
-    found = near_duplicates(df, id_col, text_col, **settings)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    chosen = df.join(kept, df[id_col].eqNullSafe(kept[id_col]), "left_semi")
-    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+# Similar texts rather than nearly equal fingerprints
+
+
+#: Blocks of 31 bits of the words' fingerprint; bits of the shingles' fingerprint.
+BLOCKS, SHINGLE_BITS = 8, 128
+
+
+def _majority(digests: bytes, n: int, width: int) -> np.ndarray:
+    """Bits that more than half of ``n`` digests of ``width`` bytes have."""
+    rows = np.frombuffer(digests, np.uint8).reshape(n, width)
+    ones = np.zeros(8 * width, np.int64)
+    for i in range(0, n, HASHES):
+        ones += np.unpackbits(rows[i : i + HASHES], axis=1).sum(axis=0, dtype=np.int64)
+    return 2 * ones > n
+
+
+def wide_fingerprint(text: str, shingle: int = 5) -> tuple[list[int], list[int]]:
+    """Blocks of a fingerprint of the set of words, and the words of one of the set of shingles."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return [0] * BLOCKS, [0] * (SHINGLE_BITS // 64)
+    distinct = list(dict.fromkeys(words))
+    low = b"".join(map(partial(xxhash.xxh3_128_digest, seed=1), distinct))
+    high = b"".join(map(partial(xxhash.xxh3_128_digest, seed=2), distinct))
+    bits = np.concatenate([_majority(x, len(distinct), 16) for x in (low, high)])[: BLOCKS * CODE].reshape(BLOCKS, CODE)
+    blocks = bits @ (1 << np.arange(CODE, dtype=np.int64))
+    if len(words) < shingle:
+        shingles = [b" ".join(words)]
+    else:
+        shingles = list(dict.fromkeys(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))))
+    whole = np.packbits(_majority(b"".join(map(xxhash.xxh3_128_digest, shingles)), len(shingles), 16)).tobytes()
+    return blocks.tolist(), np.frombuffer(whole, "<i8").tolist()
+
+
+def widest(similarity: float) -> int:
+    """Bits that fingerprints of shingle sets as similar as this differ in, and a deviation more."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(SHINGLE_BITS * angle + np.sqrt(SHINGLE_BITS * angle * (1 - angle)))
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col, component_id`` of every row: components of texts whose shingle sets have about this Jaccard similarity.
+
+    Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: the set of their words,
+    which a few changes leave nearly as it was, has a fingerprint of eight blocks of 31 bits; each block is covered by
+    the anchors of the Hamming code, and texts that are at most one bit apart in any block meet at one. There, the
+    similarity is taken from fingerprints of their shingles. It is an estimate, as every SimHash is.
+    """
+    spark = df.sparkSession
+    source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_to_hash"))
+    schema = T.StructType([source.schema[id_col], T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("fp0", T.LongType()), T.StructField("fp1", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)]
+            arrays = [pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[1][i] for f in found], pa.int64()) for i in range(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "blocks", "fp0", "fp1"])
+
+    rows, rows_path = written(source.mapInArrow(run, schema), "wide-fingerprints")
+    same = ["blocks", "fp0", "fp1"]
+    nodes, nodes_path = written(rows.groupBy(*same).agg(F.min(id_col).alias("id")), "wide-nodes")
+    placed = nodes.where("id is not null").select("id", "fp0", "fp1", F.posexplode("blocks").alias("block", "v"))
+    syndrome: Column = F.lit(0)
+    for j in range(5):
+        mask = sum(1 << (i - 1) for i in range(1, HALF) if i >> j & 1)
+        syndrome = syndrome + F.pmod(F.bit_count(F.col("v").bitwiseAND(F.lit(mask))), F.lit(2)) * (1 << j)
+    # without the last bit there is no anchor that differs in it
+    table = F.array(*(F.array(*(F.lit(x).cast("long") for x in p if x < 1 << CODE)) for p in _patterns()))
+    placed = placed.select("id", "fp0", "fp1", "block", "v", F.posexplode(F.get(table, syndrome)).alias("at", "added"))
+    anchor = F.col("block").cast("long") * (1 << HALF) + F.col("v").bitwiseXOR(F.col("added"))
+    placed = placed.select(anchor.alias("anchor"), (F.col("at") == 0).alias("home"), F.col("id").cast("long").alias("id"), "fp0", "fp1")
+    roots = components(compared(placed, widest(similarity)))
+    release(spark)
+    found = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("root", "id").alias("component_id"))
+    found, _ = written(found, "wide-classes")
+    remove(spark, nodes_path)
+    return rows.join(found, same).select(id_col, "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar_documents, **settings) -> DataFrame:
+    """The rows of ``df`` whose id is that of their component, once each; rows without an id stay."""
+    found = find(df, id_col, text_col, **settings)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull()).select(F.col(id_col).alias("_kept")).distinct()
+    chosen = df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col])

@@ -129,7 +129,7 @@ def test_every_link_meets_at_an_anchor(spark):
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
     links = simhash.links(df.repartition(3)).collect()
     assert len(links) < 4 * 2 * len(fps)
-    nodes, roots = components.forest(*(np.array([r[c] for r in links], np.int64).view(np.uint64) for c in ("a", "b")))
+    nodes, roots = components.forest(*(np.array([r[c] for r in links], np.int64).view(np.uint64) for c in ("a", "b")))  # as unsigned, so that roots agree
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == want
 
 
@@ -146,11 +146,42 @@ def test_near_duplicates(spark):
         own = [j for j in range(len(texts)) if root.get(int(x[j]), int(x[j])) == root.get(int(x[i]), int(x[i]))]
         assert found[100 + i]["component_id"] == 100 + min(own)
         assert found[100 + i]["fingerprint"] == f"{int(x[i]):016x}"
-    kept = {r["doc_id"] for r in simhash.representatives(df).collect()}
+    kept = {r["doc_id"] for r in simhash.representatives(df, find=simhash.near_duplicates).collect()}
     assert kept == {r["component_id"] for r in found.values()}
     assert simhash.near_duplicates(df.where("false")).count() == 0
     twice = df.union(df)
-    assert simhash.representatives(twice).count() == len(kept)
+    assert simhash.representatives(twice, find=simhash.near_duplicates).count() == len(kept)
+
+
+def test_similar_documents(spark):
+    """Copies with a few words changed are one group, texts that share half of their words are not."""
+    rng = random.Random(14)
+    say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(n)]
+    texts, family = [], []
+    for k in range(60):
+        base = say(rng.randint(120, 600))
+        for c in range(3):
+            words = list(base)
+            for _ in range(c * len(base) // 130):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+            family.append(k)
+        texts.append(" ".join(base[: len(base) // 2] + say(len(base) // 2)))
+        family.append(100 + k)
+    texts += [None, "", "a", texts[0]]
+    family += [300, 300, 301, 0]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, id int").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert len(found) == len(texts)
+    wrong = sum((found[i] == found[j]) != (family[i] == family[j]) for i in range(len(texts)) for j in range(i))
+    pairs = sum(family[i] == family[j] for i in range(len(texts)) for j in range(i))
+    assert wrong <= 0.05 * pairs
+    assert not any(found[i] == found[j] and family[i] != family[j] for i in range(len(texts)) for j in range(i))
+    kept = {r["doc_id"] for r in simhash.representatives(df).collect()}
+    assert kept == set(found.values())
+    ids = df.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    assert simhash.representatives(ids).where("doc_id is null").count() == 1
+    assert simhash.similar_documents(df.where("false")).count() == 0
 
 
 def labelled(n: int) -> tuple[list, list]:
