@@ -26,33 +26,33 @@ def posterior(x: np.ndarray, means: np.ndarray, covs: np.ndarray, weights: np.nd
 
 
 def _products(m: np.ndarray) -> np.ndarray:
-    """Running products of matrices, each up to a factor: doubling steps instead of a loop over time."""
-    out, reach = m.copy(), 1
-    while reach < len(out):
-        out[reach:] = out[:-reach] @ out[reach:]
-        out /= out.max(axis=(1, 2), keepdims=True)
+    """Running products of matrices ``(K, K, n)``, each up to a factor: doubling steps instead of a loop over time."""
+    k, _, n = m.shape
+    out, reach = m, 1
+    while reach < n:
+        out = np.concatenate([out[:, :, :reach], np.einsum("ijn,jkn->ikn", out[:, :, :-reach], out[:, :, reach:])], axis=2)
+        out /= out.reshape(k * k, n).max(axis=0)
         reach *= 2
     return out
 
 
 def forward(b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filtered probabilities, scale factors, and the steps ``a * b[t]`` between them."""
+    """Filtered probabilities, scale factors, and the steps ``a * b[t]`` between them, time last."""
     first = pi * b[0]
-    moves = a[None] * b[1:, None, :]
-    rows = np.concatenate([first[None], first @ _products(moves)]) if len(moves) else first[None]
+    moves = a[:, :, None] * np.ascontiguousarray(b[1:].T)[None]
+    rows = np.concatenate([first[None], np.einsum("i,ijn->nj", first, _products(moves))]) if len(b) > 1 else first[None]
     alpha = rows / rows.sum(axis=1, keepdims=True)
-    scale = np.concatenate([[first.sum()], np.einsum("ti,tij->t", alpha[:-1], moves)])
+    scale = np.concatenate([[first.sum()], np.einsum("ni,ijn->n", alpha[:-1], moves)])
     return alpha, scale, moves
 
 
 def backward(alpha: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Backward factors, scaled so that they average to one under ``alpha``."""
-    k = alpha.shape[1]
     beta = np.ones_like(alpha)
-    if len(moves):
-        # products from the right: transposed, they run from the end
-        tail = _products(moves[::-1].swapaxes(1, 2)).swapaxes(1, 2)[::-1]
-        beta[:-1] = tail @ np.ones(k)
+    if moves.shape[2]:
+        # products from the end: transposed and turned round, they run forward
+        tail = _products(np.ascontiguousarray(moves.swapaxes(0, 1)[:, :, ::-1]))
+        beta[:-1] = tail.sum(axis=0)[:, ::-1].T
         beta /= (alpha * beta).sum(axis=1, keepdims=True)
     return beta
 
@@ -69,7 +69,7 @@ def fit(x, means, covs, a, pi, *, iterations, tol, reg, pseudo, least_mass, a_pr
         mean_log = float((np.log(scale) + shift).sum() / n)
         beta = backward(alpha, moves)
         gamma = alpha * beta * (1 - SMOOTH) + SMOOTH / k
-        xi = (alpha[:-1, :, None] * moves * (beta[1:] / scale[1:, None])[:, None, :]).sum(axis=0) + SMOOTH + pseudo * a_prior
+        xi = np.einsum("ni,ijn,nj->ij", alpha[:-1], moves, beta[1:] / scale[1:, None]) + SMOOTH + pseudo * a_prior
         a = xi / xi.sum(axis=1, keepdims=True)
         a = np.maximum(a, FLOOR)
         a = a / a.sum(axis=1, keepdims=True)
@@ -77,9 +77,9 @@ def fit(x, means, covs, a, pi, *, iterations, tol, reg, pseudo, least_mass, a_pr
         mass = gamma.sum(axis=0)
         below = (mass + strength)[:, None]
         new_means = (gamma.T @ x + strength * prior_means) / below
-        z = x[None] - new_means[:, None]
+        z = (x[None] - new_means[:, None]).swapaxes(1, 2)
         off = prior_means - new_means
-        scatter = np.einsum("nk,kni,knj->kij", gamma, z, z) + strength * (prior_covs + off[:, :, None] * off[:, None, :])
+        scatter = (z * gamma.T[:, None]) @ z.swapaxes(1, 2) + strength * (prior_covs + off[:, :, None] * off[:, None, :])
         new_covs = scatter / below[:, :, None] + reg * np.eye(d)
         own = mass >= least_mass
         means = np.where(own[:, None], new_means, means)
@@ -139,7 +139,7 @@ class RegimeStepper:
         self.rate = 2.0 / (window + 1) if anchor_rate is None else anchor_rate
         self.apart, self.strength, self.pseudo, self.least = anchor_min_separation, anchor_strength, trans_pseudo, min_state_mass
         self.reference = sticky(n_regimes, p_switch)
-        self.rows: list[np.ndarray] = []
+        self.rows: np.ndarray | None = None
         self.at, self.label = -1, -1
 
     def _fit(self, x: np.ndarray, iterations: int, prior: tuple, strength: float) -> None:
@@ -153,10 +153,11 @@ class RegimeStepper:
 
     def add(self, row: np.ndarray) -> dict | None:
         """The step's result, or None while the window fills."""
-        self.rows = [*self.rows[-(self.window - 1) :], np.asarray(row, float)] if self.window > 1 else [row]
+        row = np.asarray(row, float)[None]
+        self.rows = row if self.rows is None else np.concatenate([self.rows[-(self.window - 1) :], row])
         if len(self.rows) < self.window:
             return None
-        x = np.stack(self.rows)
+        x = self.rows
         self.at += 1
         relabels = 0
         if self.at == 0:

@@ -32,11 +32,18 @@ BLOCK = 1024
 def listed(x: np.ndarray):
     """Nested lists with NULL for NaN."""
     x = np.asarray(x, float)
+    if not np.isnan(x).any():
+        return x.tolist()
     if x.ndim > 1:
         return [listed(row) for row in x]
     return [None if v != v else v for v in x.tolist()]
 
 
+def unlisted(column: pd.Series, width: int) -> np.ndarray:
+    """Rows of lists as a matrix, NaN for NULL."""
+    return np.array([np.asarray(row, float) for row in column], float).reshape(len(column), width)
+
+
 def _schema(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
 
@@ -76,11 +83,11 @@ def rolling_pca(
     raw = _schema(rows, [*group, "ts", "step", "x"], [("values", VECTOR), ("vectors", VECTOR), ("means", VECTOR), ("total", T.DoubleType())])
 
     def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        return np.array([[np.nan if v is None else v for v in row] for row in pdf["x"]], float).reshape(len(pdf), d)
+        return unlisted(pdf["x"], d)
 
     def emitted(pdf: pd.DataFrame, values, vectors, means, total) -> pd.DataFrame:
         flat = vectors.reshape(len(pdf), d * p)
-        lists = lambda rows: pd.Series([listed(v) for v in rows], index=pdf.index, dtype=object)
+        lists = lambda rows: pd.Series(list(rows), index=pdf.index, dtype=object)
         return pdf[[*group, "ts", "step", "x"]].assign(values=lists(values), vectors=lists(flat), means=lists(means), total=total)
 
     if halflife is None:
@@ -129,11 +136,10 @@ def rolling_pca(
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step", kind="stable")
         aligner, made = Chain(matching), []
-        for row in pdf.itertuples(index=False):
-            values = np.array([np.nan if v is None else v for v in row.values], float)
-            vectors = np.array([np.nan if v is None else v for v in row.vectors], float).reshape(d, p)
-            means = np.array([np.nan if v is None else v for v in row.means], float)
-            x = np.array([np.nan if v is None else v for v in row.x], float)
+        all_values, all_vectors = unlisted(pdf["values"], p), unlisted(pdf["vectors"], d * p).reshape(-1, d, p)
+        all_means, all_x = unlisted(pdf["means"], d), unlisted(pdf["x"], d)
+        for t, row in enumerate(pdf[["step", "total"]].itertuples(index=False)):
+            values, vectors, means, x = all_values[t], all_vectors[t], all_means[t], all_x[t]
             valid = not np.isnan(values[0])
             similarity, flips, moves, shares, seen = np.full(p, np.nan), 0, 0, np.full(p, np.nan), np.full(p, np.nan)
             if valid:

@@ -86,17 +86,52 @@ def labels_frame(labels: DataFrame, entities: Sequence[str] | None = None) -> Da
     return wide.fillna(-1)
 
 
+#: Points in a side of the grid of distances.
+SIDE = 2048
+
+
 def silhouette(points: DataFrame, key: str, label: str = "label", features: str = "features") -> DataFrame:
     """``key, label, silhouette`` of every point, by distances to all points; a lone member has zero.
 
-    The sums are over pairs, so this is for cross-sections; pairs are aggregated before anything is exchanged.
+    The distances are a grid of blocks of points, one matrix at a time; only their sums per point and cluster leave a
+    task. This is quadratic in the points by definition, so it is for cross-sections.
     """
-    other = points.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(features).alias("_x"))
-    far = points.join(other, F.col(key) != F.col("_k")).withColumn("_d", F.sqrt(squared(F.col(features), F.col("_x"))))
-    mean = far.groupBy(key, label, "_l").agg(F.avg("_d").alias("_m"))
-    sides = mean.groupBy(key, label).agg(F.min(F.when(F.col("_l") == F.col(label), F.col("_m"))).alias("a"), F.min(F.when(F.col("_l") != F.col(label), F.col("_m"))).alias("b"))
+    import numpy as np
+    import pandas as pd
+
+    rows = points.select(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), F.col(features).cast("array<double>").alias("x"))
+    sides = max(1, -(-rows.count() // SIDE))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("k"), F.lit(sides)).cast("int"))
+    all_sides = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    left = rows.withColumnRenamed("side", "i").withColumn("j", all_sides)
+    right = rows.withColumnRenamed("side", "j").withColumn("i", all_sides)
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"k": a["k"][:0], "l": a["l"][:0], "other": a["l"][:0], "total": np.empty(0), "n": a["l"][:0]})
+        x, y = np.array(a["x"].tolist(), float), np.array(b["x"].tolist(), float)
+        names, of = np.unique(b["l"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(x), len(names)))
+        for start in range(0, len(x), 16):  # exact differences: no cancellation between points that are close
+            part = np.sqrt(((x[start : start + 16, None] - y[None]) ** 2).sum(axis=2))
+            for c in range(len(names)):
+                sums[start : start + 16, c] = part[:, of == c].sum(axis=1)
+        size = np.bincount(of, minlength=len(names))
+        return pd.DataFrame(
+            {
+                "k": np.repeat(a["k"].to_numpy(), len(names)), "l": np.repeat(a["l"].to_numpy(), len(names)), "other": np.tile(names, len(x)),
+                "total": sums.ravel(), "n": np.tile(size, len(x)),
+            }
+        )
+
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, l long, other long, total double, n long"
+    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, schema)
+    sums = sums.groupBy("k", "l", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    own = F.col("other") == F.col("l")
+    mean = F.col("total") / nonzero((F.col("n") - F.when(own, 1).otherwise(0)).cast("double"))
+    ends = sums.groupBy("k", "l").agg(F.min(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     score = F.coalesce((F.col("b") - F.col("a")) / nonzero(F.greatest("a", "b")), F.lit(0.0))
-    return sides.select(key, label, F.when(F.col("a").isNull(), 0.0).otherwise(score).alias("silhouette"))
+    return ends.select(F.col("k").alias(key), F.col("l").alias(label), F.when(F.col("a").isNull(), 0.0).otherwise(score).alias("silhouette"))
 
 
 def inertia(assigned: DataFrame, group: Sequence[str] = ()) -> DataFrame:
