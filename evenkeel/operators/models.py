@@ -268,6 +268,23 @@ def predict_regimes(steps: DataFrame, rows: DataFrame, group: Sequence[str], fea
     return found.select(*rows.columns, F.col("_f.probs").alias("probs"), F.col("_f.label").alias("label"))
 
 
+def filter_regimes(df: DataFrame, group: Sequence[str], ts: str, features: Sequence[str], means, covariances, transition, initial, reg_covar: float = 0.0) -> DataFrame:
+    """``probs``: filtered probabilities under fixed parameters, each from all rows of the group up to its own."""
+    from evenkeel.kernels.hmm import forward, log_densities
+
+    group = list(group)
+    m, c, a, pi = (np.array(v, float) for v in (means, covariances, transition, initial))
+    rows = df.select(*group, F.col(ts).alias("ts"), *(F.col(f).cast("double") for f in features))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        logs = log_densities(pdf[list(features)].to_numpy(float), m, c, reg_covar)
+        probs = forward(np.exp(logs - logs.max(axis=1, keepdims=True)), a, pi)[0]
+        return pdf[[*group, "ts"]].assign(probs=pd.Series(probs.tolist(), index=pdf.index, dtype=object))
+
+    return rows.groupBy(*group).applyInPandas(run, _schema(rows, [*group, "ts"], (("probs", VECTOR),)))
+
+
 def _periods(pdf: pd.DataFrame, features: Sequence[str]) -> Iterator[tuple[object, pd.DataFrame, np.ndarray]]:
     for period, part in pdf.sort_values(["period", "entity"], kind="stable").groupby("period", sort=True):
         yield period, part, part[list(features)].to_numpy(float)

@@ -134,5 +134,24 @@ def silhouette(points: DataFrame, key: str, label: str = "label", features: str
     return ends.select(F.col("k").alias(key), F.col("l").alias(label), F.when(F.col("a").isNull(), 0.0).otherwise(score).alias("silhouette"))
 
 
+def rotation(pairs: DataFrame, group: Sequence[str], reference: tuple[str, str], current: tuple[str, str]) -> DataFrame:
+    """The turn that brings points of a plane onto others, about their means, and what is left: ``angle, disparity``.
+
+    The closed form of a Procrustes fit without mirroring: sums only, so it is one aggregation at any size.
+    """
+    (rx, ry), (cx, cy) = ((F.col(a).cast("double"), F.col(b).cast("double")) for a, b in (reference, current))
+    cov = lambda a, b: F.covar_pop(a, b)
+    sums = pairs.groupBy(*group).agg(
+        (cov(cx, rx) + cov(cy, ry)).alias("_c"), (cov(cx, ry) - cov(cy, rx)).alias("_s"), (F.var_pop(cx) + F.var_pop(cy)).alias("_v"), (F.var_pop(rx) + F.var_pop(ry)).alias("_w")
+    )
+    left = F.col("_v") + F.col("_w") - 2 * F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s"))
+    return sums.select(*group, F.atan2("_s", "_c").alias("angle"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("disparity"))
+
+
+def episodes(df: DataFrame, by: str, n: int = 10, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows with the lowest ``by``; a report, so the limit is the point."""
+    return df.where(F.col(by).isNotNull()).orderBy(by, *ties).limit(n)
+
+
 def inertia(assigned: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return assigned.groupBy(*group).agg(F.sum("dist2").alias("inertia"))

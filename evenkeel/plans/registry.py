@@ -527,6 +527,45 @@ def select_n_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.select_n_regimes(rows, "ts", ["x"], (1, 2, 3))
 
 
+@query(
+    "regime_filter",
+    f"""with recursive {RETURNS}, n as (select series, ts, r, row_number() over (partition by series order by ts) as k,
+      exp(-pow(r - 0.01, 2) / (2 * 0.0004)) / sqrt(0.0004) as b0, exp(-pow(r + 0.01, 2) / (2 * 0.0025)) / sqrt(0.0025) as b1 from rr),
+    f as (select series, k, ts, b0 / (b0 + b1) as p0 from n where k = 1
+      union all select n.series, n.k, n.ts, (p0 * 0.95 + (1 - p0) * 0.1) * b0 / ((p0 * 0.95 + (1 - p0) * 0.1) * b0 + (p0 * 0.05 + (1 - p0) * 0.9) * b1)
+      from f join n on n.series = f.series and n.k = f.k + 1)
+    select series, ts, round(p0, 6) + 0.0 as p_calm from f""",
+    dates=["ts"],
+)
+def regime_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir).select("series", "ts", "ret")
+    found = models.filter_regimes(rows, ["series"], "ts", ["ret"], [[0.01], [-0.01]], [[[0.0004]], [[0.0025]]], [[0.95, 0.05], [0.1, 0.9]], [0.5, 0.5])
+    return rounded(found.select("series", "ts", F.get("probs", 0).alias("p_calm")), ["p_calm"])
+
+
+@query(
+    "procrustes_rotation",
+    f"""with p as ({EVENTS}), k as (select *, dense_rank() over (order by day) as k from p),
+    s as (select a.day, b.n as rx, b.mean as ry, a.n as cx, a.mean as cy from k a join k b on a.user_id = b.user_id and a.k = b.k + 1),
+    t as (select day, covar_pop(cx, rx) + covar_pop(cy, ry) as c, covar_pop(cx, ry) - covar_pop(cy, rx) as s, var_pop(cx) + var_pop(cy) as v, var_pop(rx) + var_pop(ry) as w from s group by day)
+    select day, round(atan2(s, c), 6) + 0.0 as angle, round(sqrt(greatest(v + w - 2 * sqrt(c * c + s * s), 0)), 6) + 0.0 as disparity from t""",
+    dates=["day"],
+)
+def procrustes_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_days(spark, sf_dir)
+    days = rows.select("day").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")))
+    rows = rows.join(F.broadcast(days), "day")  # one row per day
+    before = rows.select("user_id", (F.col("k") + 1).alias("k"), F.col("n").alias("rx"), F.col("mean").alias("ry"))
+    pairs = rows.select("user_id", "k", "day", F.col("n").alias("cx"), F.col("mean").alias("cy")).join(before, ["user_id", "k"])
+    return rounded(summaries.rotation(pairs, ["day"], ("rx", "ry"), ("cx", "cy")), ["angle", "disparity"])
+
+
+@query("drawdown_episodes", f"with {RETURNS}, {PATH} select series, ts, {r_sql('dd', 'drawdown')} from path order by dd, series, ts limit 10", dates=["ts"])
+def drawdown_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ms.prepared(flags(spark, sf_dir), needs=frozenset(("path",))).select("series", "ts", F.col("dd").alias("drawdown"))
+    return rounded(summaries.episodes(rows, "drawdown", 10, ("series", "ts")), ["drawdown"])
+
+
 # shapes and generators
 
 
