@@ -5,9 +5,9 @@
 2. Counts per partition give every sequence a global number below N. A keyed Feistel network on the next even number
    of bits, walked along its cycle until it is below N, is a permutation: the sequence's slot. Nothing is sorted or
    drawn to get it, and it can be inverted.
-3. Sequences are exchanged by shard (a range of slots), sorted by slot and written as they stream by: a header, then
-   one sequence after another, so that slot s is at a known byte. A shard gets its name when it is complete; a task
-   that is run again writes the same bytes.
+3. Sequences are exchanged by shard (a range of slots), in compressed pieces, and put in order in a buffer of one
+   shard's size: a header, then one sequence after another, so that slot s is at a known byte. A shard gets its name
+   when it is complete; a task that is run again writes the same bytes.
 
 ``read`` starts at any slot, without reading shards before it.
 
@@ -31,8 +31,8 @@ from evenkeel.llm.storage import new_path, release, remove, written
 
 MAGIC, HEADER = b"TORDER01", "<8sIIQQ"  # magic, bytes of an id, ids of a sequence, first slot, sequences
 ROUNDS = 6
-#: Sequences in a row of the written table.
-CHUNK = 512
+#: Sequences in a row of the written table: what a shard gets of them is compressed together.
+CHUNK = 4096
 
 
 def _mix(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def sequences(df: DataFrame, text_col: str, path: str, pattern: str, length: int
 
         part, first = TaskContext.get().partitionId(), 0
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=6)
         held: list[np.ndarray] = []
         n_held = 0
 
@@ -103,7 +103,7 @@ def sequences(df: DataFrame, text_col: str, path: str, pattern: str, length: int
             for i in range(0, whole, CHUNK):
                 some = ids[i * length : min(i + CHUNK, whole) * length]
                 n = len(some) // length
-                data = packer.compress(some.view(np.uint8).reshape(-1, dtype.itemsize).T.tobytes())
+                data = packer.compress(some.tobytes())
                 values = {"part": [part], "first": [first], "n": [n], "data": [data]}
                 yield pa.RecordBatch.from_pydict(values, schema=pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
                 first += n
@@ -129,7 +129,6 @@ def materialise(
     spark = df.sparkSession
     end = max(load_ranks(path).values()) + 1
     dtype = np.dtype("<u2" if end < 1 << 16 else "<u4")
-    stride = length * dtype.itemsize
     held, held_path = written(sequences(df, text_col, path, pattern, length), "sequences")
     counts = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()}  # one row per input partition
     offsets, total = {}, 0
@@ -141,53 +140,54 @@ def materialise(
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpacker = zstandard.ZstdDecompressor()
+        packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
                 n = row["n"]
-                raw = np.frombuffer(unpacker.decompress(row["data"]), np.uint8).reshape(dtype.itemsize, -1).T
+                ids = np.frombuffer(unpacker.decompress(row["data"]), dtype).reshape(n, length)
                 slots = order.slots(offsets[row["part"]] + row["first"] + np.arange(n))
-                buffer = pa.py_buffer(np.ascontiguousarray(raw).tobytes())
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), n, [None, buffer]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), data], names=["shard", "slot", "data"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                by_shard = np.argsort(slots // per_shard, kind="stable")
+                shards = (slots // per_shard)[by_shard]
+                groups = np.split(by_shard, np.flatnonzero(np.diff(shards)) + 1)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array([int(slots[g[0]] // per_shard) for g in groups], pa.int64()),
+                        "slots": pa.array([slots[g].astype("<i8").tobytes() for g in groups], pa.binary()),
+                        "data": pa.array([packer.compress(ids[g].tobytes()) for g in groups], pa.binary()),
+                    }
+                )
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
         from pyarrow import fs
         from pyspark import TaskContext
 
+        shard = key[0].as_py()
+        first = shard * per_shard
+        n = min(per_shard, total - first)
+        whole = np.empty((n, length), dtype)
+        seen = np.zeros(n, bool)
+        unpacker = zstandard.ZstdDecompressor()
+        for at, data in zip(table.column("slots"), table.column("data"), strict=True):
+            own = np.frombuffer(at.as_py(), "<i8") - first
+            whole[own] = np.frombuffer(unpacker.decompress(data.as_py()), dtype).reshape(len(own), length)
+            if seen[own].any():
+                raise ValueError(f"a slot of shard {shard} is taken twice")
+            seen[own] = True
+        if not seen.all():
+            raise ValueError(f"shard {shard} lacks {int((~seen).sum())} sequences")
         files, base = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
-        attempt = TaskContext.get().taskAttemptId()
         files.create_dir(base, recursive=True)
-        stream, shard, done, hidden = None, None, [], ""
-
-        def finish() -> None:
-            stream.close()
-            files.move(hidden, f"{base}/{done[-1][3]}")
-
-        for batch in batches:
-            shards, slots, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for s, slot, one in zip(shards, slots, data, strict=True):
-                if s != shard:
-                    if stream is not None:
-                        finish()
-                    n = min(per_shard, total - s * per_shard)
-                    shard, expected = s, s * per_shard
-                    done.append((s, s * per_shard, n, f"shard-{s:08d}.bin"))
-                    hidden = f"{base}/.{done[-1][3]}.{attempt}"
-                    stream = files.open_output_stream(hidden)
-                    stream.write(struct.pack(HEADER, MAGIC, dtype.itemsize, length, s * per_shard, n))
-                if slot != expected:
-                    raise ValueError(f"slot {slot} where {expected} belongs")
-                stream.write(one.as_buffer())
-                expected += 1
-        if stream is not None:
-            finish()
-        columns = list(zip(*done, strict=True)) if done else [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "first_slot", "n", "file"])
-
-    rows = held.mapInArrow(placed, "shard long, slot long, data binary")
-    manifest = rows.repartition("shard").sortWithinPartitions("slot").mapInArrow(write, "shard long, first_slot long, n long, file string")
+        name = f"shard-{shard:08d}.bin"
+        hidden = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
+        with files.open_output_stream(hidden) as stream:
+            stream.write(struct.pack(HEADER, MAGIC, dtype.itemsize, length, first, n))
+            stream.write(memoryview(whole).cast("B"))
+        files.move(hidden, f"{base}/{name}")
+        return pa.table({"shard": [shard], "first_slot": [first], "n": [n], "file": [name]})
+
+    pieces = held.mapInArrow(placed, "shard long, slots binary, data binary")
+    manifest = pieces.groupBy("shard").applyInArrow(write, "shard long, first_slot long, n long, file string")
     manifest, _ = written(manifest, "shard-manifest")
     remove(spark, held_path)
     release(spark)
@@ -195,28 +195,17 @@ def materialise(
 
 
 def read(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
-    """``slot, shard, data`` of every sequence from slot ``start`` on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = content.as_buffer()
-                magic, size, length, first, n = struct.unpack(HEADER, whole[: struct.calcsize(HEADER)])
-                if magic != MAGIC or len(whole) != struct.calcsize(HEADER) + n * size * length:
-                    raise ValueError(f"{name} is not a whole shard")
-                skip = max(0, start - first)
-                for i in range(skip, n, CHUNK):
-                    m = min(CHUNK, n - i)
-                    stride = size * length
-                    some = pa.py_buffer(whole[struct.calcsize(HEADER) + i * stride : struct.calcsize(HEADER) + (i + m) * stride].to_pybytes())
-                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), m, [None, some]).cast(pa.binary())
-                    slots = pa.array(np.arange(first + i, first + i + m, dtype=np.int64))
-                    shard = pa.array([int(name.rsplit("-", 1)[1].split(".")[0])] * m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([slots, shard, data], names=["slot", "shard", "data"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).where("length > 0").select("path", "content")
-    if start:
-        sizes = spark.read.format("binaryFile").option("pathGlobFilter", "shard-00000000.bin").load(folder).select(F.substring("content", 1, struct.calcsize(HEADER)).alias("h"))
-        *_, per_shard = struct.unpack(HEADER, bytes(sizes.first()["h"]))
-        files = files.where(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long") >= start // per_shard)
-    return files.mapInArrow(run, "slot long, shard long, data binary")
+    """``slot, shard, data`` of every sequence from slot ``start`` on. Shards are cut up by Spark itself."""
+    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="shard-*.bin")
+    head = F.substring("content", 1, struct.calcsize(HEADER)).alias("head")
+    first = spark.read.format("binaryFile").load(folder, pathGlobFilter="shard-00000000.bin").select(head).first()
+    if first is None:
+        return spark.createDataFrame([], "slot long, shard long, data binary")
+    magic, size, length, _, per_shard = struct.unpack(HEADER, bytes(first["head"]))
+    stride, header = size * length, struct.calcsize(HEADER)
+    files = files.select(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long").alias("shard"), "content").where(F.col("shard") >= start // per_shard)
+    whole = (F.substring("content", 1, len(magic)) == F.lit(magic)) & (F.pmod(F.length("content") - header, F.lit(stride)) == 0)
+    n = F.when(whole, F.floor((F.length("content") - header) / stride).cast("int")).otherwise(F.raise_error(F.lit("not a whole shard")).cast("int"))
+    skip = F.greatest(F.lit(start) - F.col("shard") * per_shard, F.lit(0)).cast("int")
+    rows = files.select("shard", "content", F.explode(F.sequence(skip, n - 1)).alias("i"))
+    return rows.select((F.col("shard") * per_shard + F.col("i")).alias("slot"), "shard", F.substring("content", F.lit(header + 1) + F.col("i") * stride, F.lit(stride)).alias("data"))
