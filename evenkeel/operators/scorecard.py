@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,7 @@ NEUTRAL_ONE = ("up_capture", "down_capture")
 
 
 def default_measures() -> dict[str, Measure]:
-    found = {name: MEASURES[of] for name, of in BATTERY.items()}
-    return found | {"skewness": replace(found["skewness"]), "cvar_95": replace(found["cvar_95"])}
+    return {name: MEASURES[of] for name, of in BATTERY.items()}
 
 
 class Scorecard:
