@@ -165,7 +165,8 @@ class RollingKMeans(_Panel):
     def transform(self, df: DataFrame) -> DataFrame:
         """Distances to each cluster's nearest remembered place: ``k, distance`` for every row."""
         x = F.array(*(F.col(f).cast("double") for f in self.feature_names_in_))
-        pairs = df.join(F.broadcast(self._bank()), self.group)  # clusters times memory, per group
+        bank = self._bank()
+        pairs = df.join(bank, self.group) if self.group else df.crossJoin(F.broadcast(bank))  # one group: clusters times memory
         return pairs.groupBy(*df.columns, "k").agg(F.sqrt(F.min(summaries.squared(x, F.col("centre")))).alias("distance"))
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -554,7 +554,7 @@ def regime_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def procrustes_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user_days(spark, sf_dir)
     days = rows.select("day").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")))
-    rows = rows.join(F.broadcast(days), "day")  # one row per day
+    rows = rows.join(days, "day")
     before = rows.select("user_id", (F.col("k") + 1).alias("k"), F.col("n").alias("rx"), F.col("mean").alias("ry"))
     pairs = rows.select("user_id", "k", "day", F.col("n").alias("cx"), F.col("mean").alias("cy")).join(before, ["user_id", "k"])
     return rounded(summaries.rotation(pairs, ["day"], ("rx", "ry"), ("cx", "cy")), ["angle", "disparity"])
