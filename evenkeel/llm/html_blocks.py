@@ -15,12 +15,14 @@ input columns other than those named are not carried along.
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from importlib import resources
 from pathlib import Path
 
 import numpy as np
@@ -288,7 +290,8 @@ class Labeller:
 
 @lru_cache(maxsize=1)
 def labeller() -> Labeller:
-    with np.load(WEIGHTS) as held:
+    data = resources.files("evenkeel.llm").joinpath(WEIGHTS.name).read_bytes()  # also from a zipped package
+    with np.load(io.BytesIO(data)) as held:
         return Labeller(dict(held))
 
 
