@@ -251,7 +251,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: the set of their words,
     which a few changes leave nearly as it was, has a fingerprint of eight blocks of 31 bits; each block is covered by
     the anchors of the Hamming code, and texts that are at most one bit apart in any block meet at one. There, the
-    similarity is taken from fingerprints of their shingles. It is an estimate, as every SimHash is.
+    similarity is taken from fingerprints of their shingles. It is an estimate, as every SimHash is. Ids are whole
+    numbers; rows without one are not linked.
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_to_hash"))
