@@ -212,10 +212,13 @@ def scorecard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(card.summary(values), ["composite", "dispersion"])
 
 
-@query("scorecard_frame")
+@query(
+    "scorecard_frame",
+    SCORES + ", ro as (select asset, measure, round(score, 6) + 0.0 as score from sc) select * from (pivot ro on measure using first(score) group by asset)",
+)
 def scorecard_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     card, values = _scores(spark, sf_dir)
-    return card.frame(values, "score")
+    return rounded(card.frame(values, "score"), list(card.measures))
 
 
 # features
@@ -450,7 +453,12 @@ def cluster_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.moves(sized(spark, sf_dir)).select("period", "entity", F.coalesce(F.col("before") != F.col("label"), F.lit(False)).alias("switched"))
 
 
-@query("labels_frame")
+@query(
+    "labels_frame",
+    f"""with p as ({EVENTS}), l as (select day as period, user_id::varchar as entity, least(n, 3)::bigint as label from p)
+    select * from (pivot l on entity using coalesce(first(label), -1) group by period)""",
+    dates=["period"],
+)
 def labels_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.labels_frame(sized(spark, sf_dir))
 
