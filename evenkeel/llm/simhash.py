@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,83 +206,139 @@ def near_duplicates(
 # Similar texts rather than nearly equal fingerprints
 
 
-#: Blocks of 31 bits of the words' fingerprint; bits of the shingles' fingerprint.
-BLOCKS, SHINGLE_BITS = 8, 128
+#: Counters by which shingles are ordered, and the share of texts (one in so many) that they are counted in.
+COUNTERS, COUNTED = 1 << 18, 8
+#: Nodes up to which those to be verified are broadcast, so that no other set is exchanged; beyond, the join shuffles.
+BROADCAST_NODES = 2_000_000
 
 
-def _majority(digests: bytes, n: int, width: int) -> np.ndarray:
-    """Bits that more than half of ``n`` digests of ``width`` bytes have."""
-    rows = np.frombuffer(digests, np.uint8).reshape(n, width)
-    ones = np.zeros(8 * width, np.int64)
-    for i in range(0, n, HASHES):
-        ones += np.unpackbits(rows[i : i + HASHES], axis=1).sum(axis=0, dtype=np.int64)
-    return 2 * ones > n
-
-
-def wide_fingerprint(text: str, shingle: int = 5) -> tuple[list[int], list[int]]:
-    """Blocks of a fingerprint of the set of words, and the words of one of the set of shingles."""
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; of a shorter text, of the whole; none without words."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return [0] * BLOCKS, [0] * (SHINGLE_BITS // 64)
-    distinct = list(dict.fromkeys(words))
-    low = b"".join(map(partial(xxhash.xxh3_128_digest, seed=1), distinct))
-    high = b"".join(map(partial(xxhash.xxh3_128_digest, seed=2), distinct))
-    bits = np.concatenate([_majority(x, len(distinct), 16) for x in (low, high)])[: BLOCKS * CODE].reshape(BLOCKS, CODE)
-    blocks = bits @ (1 << np.arange(CODE, dtype=np.int64))
-    if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(dict.fromkeys(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))))
-    whole = np.packbits(_majority(b"".join(map(xxhash.xxh3_128_digest, shingles)), len(shingles), 16)).tobytes()
-    return blocks.tolist(), np.frombuffer(whole, "<i8").tolist()
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    found = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        found = (found ^ each[i : len(each) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(32)
+    return np.unique(found)
+
+
+def _node(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes())).view(np.int64))
+
+
+def _prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in an order common to all sets: sets at least this similar share one of them."""
+    if not len(shingles):
+        return shingles
+    least = int(np.ceil(similarity * len(shingles) - 1e-9))  # of the set's shingles that a similar one has too
+    order = np.lexsort((shingles, counts[(shingles % np.uint64(COUNTERS)).astype(np.int64)]))
+    return shingles[order[: len(shingles) - least + 1]]
 
 
-def widest(similarity: float) -> int:
-    """Bits that fingerprints of shingle sets as similar as this differ in, and a deviation more."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(SHINGLE_BITS * angle + np.sqrt(SHINGLE_BITS * angle * (1 - angle)))
+def _counts(source: DataFrame, shingle: int) -> np.ndarray:
+    """How common shingles are, by a counter of their hash; the order made of it bears on costs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(counts, (shingle_set(x.as_py(), shingle) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), HASHES):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + HASHES]), pa.array(counts[at[i : i + HASHES]])], names=["at", "n"])
+
+    texts = source.select("text_to_hash").where(F.pmod(F.xxhash64("text_to_hash"), F.lit(COUNTED)) == 0)
+    found = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _verified(pairs: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` of nodes whose shingle sets have this Jaccard similarity, computed in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py(), shingle) for x in batch.column("text_to_hash")]
+            arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "shingles"])
+
+    wanted, wanted_path = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    sets = source.select("text_to_hash").mapInArrow(run, "node long, shingles array<long>").join(wanted, "node", "left_semi")
+    sets, path = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    near = both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
+    near, _ = written(near, "similar")
+    remove(pairs.sparkSession, path, wanted_path)
+    return near
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id_col, component_id`` of every row: components of texts whose shingle sets have about this Jaccard similarity.
+    """``id_col, component_id`` of every row: components of texts whose shingle sets have this Jaccard similarity.
 
-    Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: the set of their words,
-    which a few changes leave nearly as it was, has a fingerprint of eight blocks of 31 bits; each block is covered by
-    the anchors of the Hamming code, and texts that are at most one bit apart in any block meet at one. There, the
-    similarity is taken from fingerprints of their shingles. It is an estimate, as every SimHash is. Ids are whole
-    numbers; rows without one are not linked.
+    Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: in an order common to all,
+    sets this similar share one of their first shingles, whatever the edit. Common shingles come last, so few texts
+    that are not similar meet. Every link is verified by its exact similarity: first neighbours, then all that meet
+    and are not yet in one component. Equal sets are one node, named by its hash. Rows without an id are not linked;
+    if no row of a component has one, its id is null.
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_to_hash"))
-    schema = T.StructType([source.schema[id_col], T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("fp0", T.LongType()), T.StructField("fp1", T.LongType())])
+    counts = spark.sparkContext.broadcast(_counts(source, shingle))
+    schema = T.StructType([source.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)]
-            arrays = [pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[1][i] for f in found], pa.int64()) for i in range(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "blocks", "fp0", "fp1"])
-
-    rows, rows_path = written(source.mapInArrow(run, schema), "wide-fingerprints")
-    same = ["blocks", "fp0", "fp1"]
-    nodes, nodes_path = written(rows.groupBy(*same).agg(F.min(id_col).alias("id")), "wide-nodes")
-    placed = nodes.where("id is not null").select("id", "fp0", "fp1", F.posexplode("blocks").alias("block", "v"))
-    syndrome: Column = F.lit(0)
-    for j in range(5):
-        mask = sum(1 << (i - 1) for i in range(1, HALF) if i >> j & 1)
-        syndrome = syndrome + F.pmod(F.bit_count(F.col("v").bitwiseAND(F.lit(mask))), F.lit(2)) * (1 << j)
-    # without the last bit there is no anchor that differs in it
-    table = F.array(*(F.array(*(F.lit(x).cast("long") for x in p if x < 1 << CODE)) for p in _patterns()))
-    placed = placed.select("id", "fp0", "fp1", "block", "v", F.posexplode(F.get(table, syndrome)).alias("at", "added"))
-    anchor = F.col("block").cast("long") * (1 << HALF) + F.col("v").bitwiseXOR(F.col("added"))
-    placed = placed.select(anchor.alias("anchor"), (F.col("at") == 0).alias("home"), F.col("id").cast("long").alias("id"), "fp0", "fp1")
-    roots = components(compared(placed, widest(similarity)))
+            found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            prefixes = [_prefix(x, counts.value, similarity).view(np.int64) for x in found]
+            arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "node", "n", "prefix"])
+
+    rows, rows_path = written(source.mapInArrow(run, schema), "prefixes")
+    nodes = rows.where(F.col(id_col).isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    placed = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
+    by_size = Window.partitionBy("shingle").orderBy("n", "node")
+    placed = placed.select("shingle", "node", "n", F.lag("node").over(by_size).alias("before"), F.lag("n").over(by_size).alias("n_before"), F.lead("node").over(by_size).alias("after"))
+    shared, shared_path = written(placed.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    rows, _ = written(rows.select(id_col, "node"), "node-ids")
+    remove(spark, rows_path)
     release(spark)
-    found = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("root", "id").alias("component_id"))
-    found, _ = written(found, "wide-classes")
-    remove(spark, nodes_path)
-    return rows.join(found, same).select(id_col, "component_id")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
+    by_hash = Window.partitionBy("shingle").orderBy(F.xxhash64("node"), "node")
+    mixed = shared.select("node", "n", F.lag("node").over(by_hash).alias("before"), F.lag("n").over(by_hash).alias("n_before"))
+    neighbours = shared.select("node", "n", "before", "n_before").unionByName(mixed).where(near_size("n", "n_before"))
+    pairs, pairs_path = written(neighbours.select(*pair("node", "before")).distinct(), "neighbours")
+    near = _verified(pairs, source, shingle, similarity)
+    roots = components(near)
+    release(spark)
+    # all others that meet, unless they are in one component already
+    at = shared.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    at, at_path = written(at.join(several, "shingle", "left_semi"), "open-shingles")
+    to = at.select("shingle", F.col("node").alias("to"), F.col("n").alias("n_to"), F.col("root").alias("root_to"))
+    others = at.join(to, "shingle").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("root_to")) & near_size("n", "n_to"))
+    others, others_path = written(others.select(*pair("node", "to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
+    more = _verified(others, source, shingle, similarity)
+    if not more.isEmpty():
+        roots = components(near.unionByName(more))
+    release(spark)
+    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    found, _ = written(nodes.join(ids, "root").select("node", "component_id"), "classes")
+    remove(spark, shared_path, pairs_path, at_path, others_path)
+    return rows.select(id_col, "node").join(found, "node").select(id_col, "component_id")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar_documents, **settings) -> DataFrame:

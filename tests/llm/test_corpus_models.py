@@ -184,6 +184,48 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(df.where("false")).count() == 0
 
 
+def edited_pairs(seed: int, low: float, high: float, n: int) -> dict[str, list[tuple[str, str]]]:
+    """Pairs of texts whose five-word shingle sets are so similar, by the shape of the edit."""
+    rng = random.Random(seed)
+    say = lambda k: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(k)]
+    out = {"appended": [], "replaced": [], "scattered": []}
+    for shape, held in out.items():
+        while len(held) < n:
+            base = say(rng.randint(100, 600))
+            changed, k = list(base), rng.randint(1, len(base) // 2)
+            if shape == "appended":
+                changed += say(k)
+            elif shape == "replaced":
+                at = rng.randrange(len(base) - k)
+                changed[at : at + k] = say(k)
+            else:
+                for _ in range(max(1, k // 5)):
+                    changed[rng.randrange(len(base))] = f"new{rng.random()}"
+            if low <= jaccard(base, changed) < high:
+                held.append((" ".join(base), " ".join(changed)))
+    return out
+
+
+def jaccard(x: list[str], y: list[str]) -> float:
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def linked(spark, pairs: dict[str, list[tuple[str, str]]]) -> dict[str, int]:
+    texts = [t for held in pairs.values() for pair in held for t in pair]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    same, at = {}, 0
+    for shape, held in pairs.items():
+        same[shape] = sum(found[i] == found[i + 1] for i in range(at, at + 2 * len(held), 2))
+        at += 2 * len(held)
+    return same
+
+
+def test_similar_documents_of_any_edit_are_linked(spark):
+    assert linked(spark, edited_pairs(21, 0.8, 0.9, 60)) == {"appended": 60, "replaced": 60, "scattered": 60}
+
+
 def labelled(n: int) -> tuple[list, list]:
     rng = random.Random(9)
     words = [f"{a}{b}" for a in "the of and in to is".split() for b in ("", "re", "on", "al")]
