@@ -226,6 +226,10 @@ def test_similar_documents_of_any_edit_are_linked(spark):
     assert linked(spark, edited_pairs(21, 0.8, 0.9, 60)) == {"appended": 60, "replaced": 60, "scattered": 60}
 
 
+def test_documents_below_the_similarity_are_not_linked(spark):
+    assert linked(spark, edited_pairs(22, 0.6, 0.8, 60)) == {"appended": 0, "replaced": 0, "scattered": 0}
+
+
 def labelled(n: int) -> tuple[list, list]:
     rng = random.Random(9)
     words = [f"{a}{b}" for a in "the of and in to is".split() for b in ("", "re", "on", "al")]
