@@ -342,9 +342,18 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar_documents, **settings) -> DataFrame:
-    """The rows of ``df`` whose id is that of their component, once each; rows without an id stay."""
-    found = find(df, id_col, text_col, **settings)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull()).select(F.col(id_col).alias("_kept")).distinct()
-    chosen = df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col])
+    """The row of each component whose id is the least, once; rows without an id stay.
+
+    Rows are told apart by id and text, so different texts of one id are rows of their own.
+    """
+    own = F.col(id_col).isNotNull()
+    keyed = df.withColumn("_row", F.when(own, F.xxhash64(id_col, text_col)))
+    found = find(keyed.select("_row", text_col), "_row", text_col, **settings).where("_row is not null").select("_row", "component_id").distinct()
+    ids = keyed.where(own).select("_row", F.col(id_col).alias("_id")).distinct()
+    best = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("best"))
+    kept = best.select(F.col("best._id").alias("_kept_id"), F.col("best._row").alias("_kept"))
+    chosen = keyed.join(kept, (F.col("_row") == F.col("_kept")) & (F.col(id_col) == F.col("_kept_id")), "left").where(F.col("_kept").isNotNull() | ~own)
+    repeated = df.where(own).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        chosen = chosen.where(own).dropDuplicates([id_col, "_row"]).unionByName(chosen.where(~own))
+    return chosen.select(*df.columns)

@@ -230,6 +230,16 @@ def test_documents_below_the_similarity_are_not_linked(spark):
     assert linked(spark, edited_pairs(22, 0.6, 0.8, 60)) == {"appended": 0, "replaced": 0, "scattered": 0}
 
 
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    rng = random.Random(23)
+    a, b, c, d = (" ".join(f"v{rng.randrange(5000)}" for _ in range(100)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, None), (7, c), (7, c), (7, d), (9, d), (8, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for find in (simhash.similar_documents, simhash.near_duplicates):
+        kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash.representatives(df, find=find).collect()))
+        assert kept == sorted([(0, a), (0, b), (0, ""), (7, c), (7, d), (8, a)])
+
+
 def labelled(n: int) -> tuple[list, list]:
     rng = random.Random(9)
     words = [f"{a}{b}" for a in "the of and in to is".split() for b in ("", "re", "on", "al")]
