@@ -5,8 +5,10 @@ replaced. Seeds of documents are joined with those of the benchmark; around each
 whole item, word by word on the hit's diagonal, and a window of ``WINDOW`` words (or the item, if shorter) has to agree
 in a stated share of its words.
 
-Words are lower-cased and compared without anything but letters and digits. Items with fewer words than a mask's span
-are too short to tell from chance and never match.
+Words are lower-cased and compared without anything but letters and digits. With ``short_items``, items below
+``WINDOW`` words, where masks miss some changes, meet by pieces instead: as many as words may differ and one more, so
+that one is left whole. Items with fewer words than a mask's span match whole and unchanged only; less than that
+can't be told from chance. Without it, items below the span never match.
 
 Defined cases: null texts have no words; repeated rows of documents give one pair, the best; null ids are kept as ids;
 empty tables give empty results; other columns are not carried along.
@@ -14,6 +16,8 @@ empty tables give empty results; other columns are not carried along.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
-def hashed(df: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
-    """The id and the words' 64-bit hashes of what is long enough for a seed."""
+def hashed(df: DataFrame, id_col: str, text_col: str, names: tuple[str, str], least: int = SPAN) -> DataFrame:
+    """The id and the words' 64-bit hashes of what has ``least`` words, enough for a seed."""
     rows = df.select(F.col(id_col).alias(names[0]), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias(names[1]))
-    return rows.where(F.size(names[1]) >= SPAN)
+    return rows.where(F.size(names[1]) >= least)
 
 
 def seeds(rows: DataFrame, array: str, at: str) -> DataFrame:
@@ -43,6 +47,29 @@ def seeds(rows: DataFrame, array: str, at: str) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*each)))
 
 
+def pieces(n: int, share: float) -> list[tuple[int, int]]:
+    """Start and length of the pieces of an item of ``n`` words, one of which every match has whole."""
+    k = 1 if n < SPAN else n - math.ceil(share * n - 1e-9) + 1
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _piece_hits(own: DataFrame, items: DataFrame, sizes: list[int], share: float) -> DataFrame:
+    """``doc, doc_hashes, item, doc_at, item_at, item_words`` where a piece of an item of one of ``sizes`` stands."""
+    seed = lambda array, at, n: F.xxhash64(F.lit(-n), *(F.get(array, at + i) for i in range(n))).alias("seed")
+    known = None
+    for n in sizes:
+        each = [F.struct(F.lit(a).alias("item_at"), seed("item_hashes", F.lit(a), k)) for a, k in pieces(n, share)]
+        part = items.where(F.size("item_hashes") == n).select("item", F.lit(n).alias("item_words"), F.inline(F.array(*each)))
+        known = part if known is None else known.unionByName(part)
+    none = F.array().cast("array<struct<doc_at:int,seed:bigint>>")
+    size = F.size("doc_hashes")
+    at = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(i.alias("doc_at"), seed("doc_hashes", i, n)))).otherwise(none)
+    lengths = sorted({k for n in sizes for _, k in pieces(n, share)})
+    found = own.select("doc", "doc_hashes", F.inline(F.flatten(F.array(*map(at, lengths)))))
+    return found.join(known, "seed")
+
+
 def _best_window(equal: Column, width: Column) -> Column:
     """The most equal words in any window of ``width``."""
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
@@ -58,6 +85,7 @@ def leaks(
     item_text: str = "text",
     window: int = WINDOW,
     share: float = SHARE,
+    short_items: bool = False,
 ) -> DataFrame:
     """``doc_id, item_id, n_matched, best_window, item_words``: a row per document and item whose passage it holds.
 
@@ -80,6 +108,14 @@ def leaks(
         # seeds are exchanged alone; the words of documents with hits are fetched afterwards
         hits = at.select("doc", "doc_at", "seed").join(known, "seed").select("doc", "item", diagonal, "item_words").distinct()
         hits = hits.join(own.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "item", "diagonal", passage)
+    if short_items:
+        every = hashed(benchmark, item_id, item_text, ("item", "item_hashes"), 1)
+        sizes = sorted(r["n"] for r in every.select(F.size("item_hashes").alias("n")).where(F.col("n") < window).distinct().collect())
+        if sizes:
+            every_own = hashed(docs, doc_id, doc_text, ("doc", "doc_hashes"), 1)
+            short = _piece_hits(every_own, every.where(F.size("item_hashes") < window), sizes, share)
+            short = short.select("doc", "item", diagonal, "item_words", "doc_hashes").select("doc", "item", "diagonal", passage)
+            hits, items = hits.unionByName(short).distinct(), every
     found = hits.join(items, "item")
     # the item's words before the document's start, or after its end, are not there
     padded = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("diagonal"), F.lit(0))), F.col("passage"))
@@ -94,7 +130,7 @@ def leaks(
         _best_window(F.col("equal"), width).cast("long").alias("best_window"),
         F.size("item_hashes").cast("long").alias("item_words"),
     )
-    enough = F.ceil(F.lit(share) * F.least(F.lit(window), F.col("item_words")))
+    enough = F.when(F.col("item_words") < SPAN, F.col("item_words")).otherwise(F.ceil(F.lit(share) * F.least(F.lit(window), F.col("item_words"))))
     return (
         found.where(F.col("best_window") >= enough)
         .groupBy(doc_id, item_id)

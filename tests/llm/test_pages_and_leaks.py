@@ -114,3 +114,36 @@ def test_leaks_equal_brute_force(spark):
     assert left.columns == d.columns
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert decontaminate.leaks(d.where("false"), b).count() == 0 and decontaminate.leaks(d, b.where("false")).count() == 0
+
+
+def test_short_items_equal_brute_force_without_seeds(spark):
+    """Every substitution of up to two words in items of 10 to 14 words; shorter items whole, also at a document's ends."""
+    from itertools import combinations
+
+    items = [(n, [f"w{n}_{i}" for i in range(n)]) for n in (1, 3, 5, 9, 10, 11, 12, 13, 14)]
+    docs = [(0, ["x", "y"]), (1, [])]
+    for _, item in items:
+        docs += [(len(docs), item), (len(docs) + 1, ["x", *item, "y"])]
+        for k in (1, 2, 3):
+            for at in combinations(range(len(item)), min(k, len(item))):
+                docs.append((len(docs), [w for w in (["z"] if at[0] % 2 else []) + ["other" if i in at else w for i, w in enumerate(item)]]))
+        docs += [(len(docs), item[1:]), (len(docs) + 1, item[:-2])]
+    want = set()
+    for i, d in docs:
+        for j, b in items:
+            width = min(decontaminate.WINDOW, len(b))
+            need = len(b) if len(b) < decontaminate.SPAN else decontaminate.SHARE * width
+            for g in range(-len(b) + 1, len(d)):
+                e = [0 <= k + g < len(d) and d[k + g] == b[k] for k in range(len(b))]
+                if max(sum(e[s : s + width]) for s in range(len(b) - width + 1)) >= need:
+                    want.add((i, j))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_WORDS, 0):
+        decontaminate.BROADCAST_WORDS, held = limit, decontaminate.BROADCAST_WORDS
+        try:
+            assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b, short_items=True).collect()} == want
+        finally:
+            decontaminate.BROADCAST_WORDS = held
+    missed = want - {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
+    print(f"{len(want)} pairs, without short items {len(missed)} missed")
