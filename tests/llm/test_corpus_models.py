@@ -18,53 +18,91 @@ def documents(n: int, seed: int) -> list[tuple]:
     return [(i, t, i % 7 != 2) for i, t in enumerate([*texts, None, "", "unseen words only", "THE The the"])]
 
 
-def brute(rows: list[tuple]) -> tuple[dict, dict]:
-    """Katz by dictionaries: scores, and every history's total probability."""
-    token = {i: [*(x.encode().lower().split() if x else []), b""] for i, x, _ in rows}
-    uni, bi = Counter(), defaultdict(Counter)
+def good_turing(values: list[int]) -> list[float]:
+    """What a count from 0 to 5 is multiplied by, after the article's formula; else an absolute discount."""
+    n = [sum(v == r for v in values) for r in range(7)]
+    try:
+        a = 6 * n[6] / n[1]
+        d = [1.0] + [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)]
+        if all(0 < x < 1 for x in d[1:]):
+            return d
+    except ZeroDivisionError:
+        pass
+    off = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    off = min(max(off, 0.05), 0.95)
+    return [1.0] + [(r - off) / r for r in range(1, 6)]
+
+
+def brute(rows: list[tuple], order: int) -> tuple[dict, list[float]]:
+    """Katz by dictionaries: scores, and the total probabilities of all histories."""
+    token = {i: [None, *(x.encode().lower().split() if x else []), b""] for i, x, _ in rows}
+    uni, grams = Counter(), [defaultdict(Counter) for _ in range(order + 1)]
     for i, _, train in rows:
         if train:
-            uni.update(token[i])
-            for h, w in zip([None, *token[i]], token[i], strict=False):
-                bi[h][w] += 1
-    total = sum(uni.values())
-    counts = lambda values: np.array([0, *(sum(v == r for v in values) for r in range(1, katz.K + 2))])
-    n_uni = counts(uni.values())
-    model = katz.Words(total, len(uni), n_uni[1:].tolist())
-    p1 = lambda w: float(model.p(np.array([uni[w]]))[0])
-    d = katz.discounts(counts([c for f in bi.values() for c in f.values()]))
-
-    def p2(h, w):
-        f = bi.get(h)
-        if not f:
-            return p1(w)
-        low = any(c <= katz.K for c in f.values())
-        below = sum(f.values()) + (0 if low else 1)
-        if w in f:
-            return (d[f[w]] if f[w] <= katz.K else 1.0) * f[w] / below
-        kept = sum((d[c] if c <= katz.K else 1.0) * c / below for c in f.values())
-        return (1 - kept) / (1 - sum(p1(x) for x in f)) * p1(w)
-
-    score = {i: sum(math.log10(p2(h, w)) for h, w in zip([None, *t], t, strict=False)) for i, t in token.items()}
-    base = {i: sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in t) for i, t in token.items()}
-    known = {i: sum(uni[w] > 0 for w in t) for i, t in token.items()}
-    sums = {h: sum(p2(h, w) for w in [*uni, b"never seen"]) for h in [*bi, b"no such history"]}
-    return {i: (len(token[i]), known[i], total, base[i], score[i]) for i in token}, sums
-
-
-@pytest.mark.parametrize("hot", [4, 400])
-def test_katz_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(katz, "HOT", hot)  # many split histories, or few
+            t = token[i]
+            uni.update(t[1:])
+            for level in range(2, order + 1):
+                for end in range(level - 1, len(t)):
+                    grams[level][tuple(t[end - level + 1 : end])][t[end]] += 1
+    total, d1 = sum(uni.values()), good_turing(list(uni.values()))
+    ds = [good_turing([c for f in g.values() for c in f.values()]) for g in grams]
+    unknown = sum(c - d1[c] * c for c in uni.values() if c <= 5) / total or 1 / (total + 1)
+    weight = lambda d, c: d[c] * c if c <= 5 else float(c)
+    scale = (1 - unknown) / sum(weight(d1, c) for c in uni.values())
+
+    def p(h: tuple, w: bytes) -> float:
+        if not h:
+            return weight(d1, uni[w]) * scale if uni[w] else unknown
+        d, followers = ds[len(h) + 1], grams[len(h) + 1].get(h)
+        if not followers:
+            return p(h[1:], w)
+        below = sum(followers.values()) + all(c > 5 for c in followers.values())
+        if w in followers:
+            return weight(d, followers[w]) / below
+        left = 1 - sum(weight(d, c) / below for c in followers.values())
+        return left / (1 - sum(p(h[1:], x) for x in followers)) * p(h[1:], w)
+
+    out = {}
+    for i, t in token.items():
+        score = sum(math.log10(p(tuple(t[max(0, end - order + 1) : end]), t[end])) for end in range(1, len(t)))
+        base = sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in t[1:])
+        out[i] = (len(t) - 1, sum(uni[w] > 0 for w in t[1:]), total, base, score)
+    histories = [h for g in grams for h in list(g)[:40]] + [(b"no such history",)] * (order > 1)
+    return out, [sum(p(h, w) for w in [*uni, b"never seen"]) for h in histories]
+
+
+@pytest.mark.parametrize(("hot", "order", "block"), [(4, 2, 1 << 22), (400, 2, 500), (400, 3, 700), (4, 4, 60), (4, 1, 200)])
+def test_katz_equals_brute_force(spark, monkeypatch, hot, order, block):
+    """Many split histories, or few; blocks that cut texts; an id of several rows and rows without one."""
+    monkeypatch.setattr(katz, "HOT", hot)
     rows = documents(250, 1)
-    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, text string, learn boolean, score string").repartition(3)
-    want, sums = brute(rows)
-    assert all(abs(s - 1) < 1e-9 for s in sums.values())
-    found = katz.katz_scores(df, "id", "text", F.col("learn")).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        n, known, total, base, score = want[r["id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert abs(r["base_score"] - base) < 1e-9 * (1 + abs(base)) and abs(r["score"] - score) < 1e-9 * (1 + abs(score))
+    rows.append((len(rows), " ".join(t or "" for _, t, _ in rows[:60]) + " " * 700 + "x" * 900 + "\tlong", True))
+    ids = {i: None if i % 50 == 3 else 7 if i % 50 == 4 else i for i, _, _ in rows}
+    df = spark.createDataFrame([(i, ids[i], t, l, "x") for i, t, l in rows], "row long, id long, text string, learn boolean, score string").repartition(3)
+    want, sums = brute(rows, order)
+    assert all(abs(s - 1) < 1e-9 for s in sums)
+    found = katz.katz_scores(df, "id", "text", F.col("learn"), order=order, block_bytes=block).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *(round(x, 6) for x in r[1:]))
+    got = sorted(((r["id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found), key=key)
+    for g, w in zip(got, sorted(((ids[i], *v) for i, v in want.items()), key=key), strict=True):
+        assert g[:4] == w[:4] and all(abs(a - b) < 1e-9 * (1 + abs(b)) for a, b in zip(g[4:], w[4:], strict=True))
+
+
+def test_katz_tables_hold_every_count(spark):
+    rows = documents(60, 3)
+    df = spark.createDataFrame(rows, "id long, text string, learn boolean")
+    tables = []
+    katz.katz_scores(df, "id", "text", F.col("learn"), order=3, block_bytes=600, keep_tables=tables)
+    grams = [Counter(), Counter()]
+    for _, x, train in rows:
+        if train:
+            t = [None, *(x.encode().lower().split() if x else []), b""]
+            for level in (2, 3):
+                grams[level - 2].update(tuple(t[e - level + 1 : e + 1]) for e in range(level - 1, len(t)))
+    for table, want in zip(tables[1:], grams, strict=True):
+        found = katz.ngrams(table)
+        assert found.select("history", "word").distinct().count() == found.count() == len(want)
+        assert sorted(r["n"] for r in found.collect()) == sorted(want.values())
 
 
 def test_katz_without_training_rows_or_rows(spark):
