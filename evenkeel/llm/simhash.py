@@ -207,7 +207,7 @@ def near_duplicates(
 
 
 #: Counters by which shingles are ordered, and the share of texts (one in so many) that they are counted in.
-COUNTERS, COUNTED = 1 << 18, 8
+COUNTERS, COUNTED = 1 << 20, 8
 #: Nodes up to which those to be verified are broadcast, so that no other set is exchanged; beyond, the join shuffles.
 BROADCAST_NODES = 2_000_000
 
@@ -243,6 +243,41 @@ def _prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.n
     return shingles[order[: len(shingles) - least + 1]]
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2**k equal ranges of hashes, four in a range as the mean; empty if one has 255."""
+    k = max(4, len(shingles).bit_length() - 3)
+    counts = np.bincount((shingles >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else b""
+
+
+def _most_common(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The most shingles that two sets can have in common, by their sketches: no range shares more than its lesser count."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for left, right in np.unique(sizes, axis=0):
+        if left and right:
+            at = np.flatnonzero((sizes == (left, right)).all(axis=1))
+            least = min(left, right)
+            for part in np.split(at, range(LINKS // least, len(at), max(1, LINKS // least))):
+                sides = (np.frombuffer(b"".join(x[i] for i in part), np.uint8).reshape(len(part), least, -1).sum(axis=2, dtype=np.int64) for x in (a, b))
+                out[part] = np.minimum(*sides).sum(axis=1)
+    return out
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` that may be this similar by ``sketches (node, n, sketch)``; it loses no similar one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+            common = np.minimum(_most_common(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()), np.minimum(n_a, n_b))
+            near = common >= (similarity - 1e-9) * (n_a + n_b - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def _counts(source: DataFrame, shingle: int) -> np.ndarray:
     """How common shingles are, by a counter of their hash; the order made of it bears on costs only."""
 
@@ -289,28 +324,33 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: in an order common to all,
     sets this similar share one of their first shingles, whatever the edit. Common shingles come last, so few texts
-    that are not similar meet. Every link is verified by its exact similarity: first neighbours, then all that meet
-    and are not yet in one component. Equal sets are one node, named by its hash. Rows without an id are not linked;
+    that are not similar meet. A sketch of each set tells what those that meet can have in common at most; most pairs
+    that are not similar go by that, the others are verified by their exact similarity: first neighbours, then all that
+    meet and are not yet in one component. Equal sets are one node, named by its hash. Rows without an id are not linked;
     if no row of a component has one, its id is null.
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_to_hash"))
     counts = spark.sparkContext.broadcast(_counts(source, shingle))
-    schema = T.StructType([source.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             prefixes = [_prefix(x, counts.value, similarity).view(np.int64) for x in found]
-            arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "node", "n", "prefix"])
+            arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+            arrays += [pa.array([_sketch(x) for x in found], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "node", "n", "sketch", "prefix"])
 
     rows, rows_path = written(source.mapInArrow(run, schema), "prefixes")
-    nodes = rows.where(F.col(id_col).isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = rows.where(F.col(id_col).isNotNull())
+    nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     placed = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
     by_size = Window.partitionBy("shingle").orderBy("n", "node")
     placed = placed.select("shingle", "node", "n", F.lag("node").over(by_size).alias("before"), F.lag("n").over(by_size).alias("n_before"), F.lead("node").over(by_size).alias("after"))
     shared, shared_path = written(placed.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    meeting = shared.select("node").distinct()
+    sketches, sketches_path = written(own.join(meeting, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     rows, _ = written(rows.select(id_col, "node"), "node-ids")
     remove(spark, rows_path)
     release(spark)
@@ -320,7 +360,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = shared.select("node", "n", F.lag("node").over(by_hash).alias("before"), F.lag("n").over(by_hash).alias("n_before"))
     neighbours = shared.select("node", "n", "before", "n_before").unionByName(mixed).where(near_size("n", "n_before"))
     pairs, pairs_path = written(neighbours.select(*pair("node", "before")).distinct(), "neighbours")
-    near = _verified(pairs, source, shingle, similarity)
+    near = _verified(written(_possible(pairs, sketches, similarity), "possible")[0], source, shingle, similarity)
     roots = components(near)
     release(spark)
     # all others that meet, unless they are in one component already
@@ -330,14 +370,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to = at.select("shingle", F.col("node").alias("to"), F.col("n").alias("n_to"), F.col("root").alias("root_to"))
     others = at.join(to, "shingle").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("root_to")) & near_size("n", "n_to"))
     others, others_path = written(others.select(*pair("node", "to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
-    more = _verified(others, source, shingle, similarity)
+    more = _verified(written(_possible(others, sketches, similarity), "possible")[0], source, shingle, similarity)
     if not more.isEmpty():
         roots = components(near.unionByName(more))
     release(spark)
     nodes = rows.groupBy("node").agg(F.min(id_col).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     found, _ = written(nodes.join(ids, "root").select("node", "component_id"), "classes")
-    remove(spark, shared_path, pairs_path, at_path, others_path)
+    remove(spark, shared_path, sketches_path, pairs_path, at_path, others_path)
     return rows.select(id_col, "node").join(found, "node").select(id_col, "component_id")
 
 
