@@ -19,9 +19,10 @@ weights ``a`` that make every conditional distribution sum to exactly one over t
 ``c'(h)`` is the history's count, plus one where no follower is discounted, so that something is always left. A text's
 first word has the history of a start; longer histories reach back to it and not further.
 
-Tables (Parquet, below the shared folder): blocks; words by partition (kind ``model``: hash, id, count) with the
-answers to each block; for each level n-grams by partition (kind ``model``: history, word id, count) with theirs. A
-history is a word's id, from three words on a 64-bit hash of ids. ``ngrams`` gives a level as plain rows.
+Tables (Parquet, below the shared folder): blocks; words by partition and, for each level, n-grams by partition, with
+the answers to each block. ``keep_tables`` keeps them, with the counts as rows of kind ``model`` (words: hash, id, count;
+n-grams: history, word id, count; a history is a word's id, from three words on a 64-bit hash of ids); ``ngrams`` gives a
+level as plain rows. Otherwise they go when the scores are written.
 
 Defined cases: null texts are empty (one token, the end); a null id trains unless ``train`` says no; repeated rows are
 documents of their own; a text longer than a block is cut at white space, with the words before the cut as context;
@@ -51,6 +52,8 @@ BLOCK_BYTES, MERGED = 1 << 22, 1 << 21
 HOT = 4
 END, START, NONE = b"", 0, -1
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: What is counted of a block: distinct words, tokens, starts of rows that train and of others.
+COUNTED = ("n_words", "n_tokens", "n_learnt", "n_rest")
 
 TABLE = "kind string, part long, block long, size long, data binary"
 
@@ -175,31 +178,32 @@ class Builder:
         starts = [int(x.sum()) for x in (flags[0] & flags[1] & (lead == 0), flags[0] & ((1 - flags[1]) | (lead > 0)))]
         binary = lambda *x: pa.array([packed(*x)], pa.binary())
         listed = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([block], pa.int64()),
-                "keys": listed(keys, pa.int64()),
-                "ids": listed([x.as_py() for x in ids], id_type),
-                "words": binary(words, counts, rest),
-                "docs": binary(lengths, lead, *flags),
-                "tokens": binary(tokens),
-                "n_words": pa.array([len(words)], pa.int64()),
-                "n_tokens": pa.array([int(own.sum())], pa.int64()),
-                "n_learnt": pa.array(starts[:1], pa.int64()),
-                "n_rest": pa.array(starts[1:], pa.int64()),
-            }
-        )
+        columns = {
+            "kind": pa.array(["block"]),
+            "block": pa.array([block], pa.int64()),
+            "keys": listed(keys, pa.int64()),
+            "ids": listed([x.as_py() for x in ids], id_type),
+            "words": pa.nulls(1, pa.binary()),
+            "docs": binary(lengths, lead, *flags),
+            "tokens": binary(tokens),
+        }
+        columns |= {c: pa.array([n], pa.int64()) for c, n in zip(COUNTED, (len(words), int(own.sum()), *starts), strict=True)}
+        row = pa.RecordBatch.from_pydict(columns)
+        asked = {"kind": pa.array(["words"]), "block": columns["block"], "words": binary(words, counts, rest)}
+        asked = pa.RecordBatch.from_arrays([asked.get(c, pa.nulls(1, row.schema.field(c).type)) for c in row.schema.names], schema=row.schema)
+        return pa.Table.from_batches([row, asked]).combine_chunks().to_batches()[0]
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, train: Column, order: int, block_bytes: int) -> DataFrame:
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     schema = T.StructType(
         [
+            T.StructField("kind", T.StringType()),
             T.StructField("block", T.LongType()),
             T.StructField("keys", T.ArrayType(T.LongType())),
             T.StructField("ids", T.ArrayType(source.schema["id"].dataType)),
             *(T.StructField(c, T.BinaryType()) for c in ("words", "docs", "tokens")),
-            *(T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_learnt", "n_rest")),
+            *(T.StructField(c, T.LongType()) for c in COUNTED),
         ]
     )
 
@@ -255,18 +259,17 @@ def word_requests(table: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words, counts, rest = unpacked(data.as_py())
-                part = (words % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                starts = _runs(part[order])
-                out = [
-                    ("ask", int(part[at[0]]), block, len(at), packed(words[at], counts[at], rest[at])) for at in np.split(order, starts[1:])
-                ]
+                # words are in order, and partitions are ranges: answers come back in the order of the block's words
+                part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                cut = _runs(part)
+                slices = [slice(a, b) for a, b in zip(cut, [*cut[1:], len(words)], strict=True)]
+                out = [("ask", int(part[at.start]), block, at.stop - at.start, packed(words[at], counts[at], rest[at])) for at in slices]
                 yield from _rows(out).to_batches()
 
     return table.select("block", "words").mapInArrow(run, TABLE)
 
 
-def word_answers(asked: DataFrame, parts: int) -> DataFrame:
+def word_answers(asked: DataFrame, parts: int, keep_tables: bool) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         named = table.column("block").to_pylist()
@@ -275,8 +278,9 @@ def word_answers(asked: DataFrame, parts: int) -> DataFrame:
         counts, rest = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for sums, i in ((counts, 1), (rest, 2)):
             np.add.at(sums, place, np.concatenate([g[i] for g in got]))
-        ids = 1 + np.arange(len(words), dtype=np.int64) * parts + part
-        out = [("model", part, -1, len(words), packed(words, ids, counts))]
+        ids = np.empty(len(words), np.int64)
+        ids[np.argsort(-counts - rest, kind="stable")] = 1 + np.arange(len(words), dtype=np.int64) * parts + part  # frequent words get small ids
+        out = [("model", part, -1, len(words), packed(words, ids, counts))] if keep_tables else []
         out.append(("sums", part, -1, 0, packed(np.r_[counts.sum(), (counts > 0).sum(), _counts_of_counts(counts)].astype(np.int64))))
         at = 0
         for block, (asked_words, *_) in zip(named, got, strict=True):
@@ -328,14 +332,9 @@ class Grams:
     each, and ``of``, the n-gram that ends at each position. ``extend`` lists those of the next level, ``settle`` makes it this one.
     """
 
-    def __init__(self, row: dict, answers: list[dict], word_parts: int, words: Words, starts: tuple[int, int]) -> None:
-        hashes, *_ = unpacked(row["words"])
-        part = (hashes % np.uint64(word_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        self.ids, self.counts, self.rest = (np.empty(len(hashes), np.int64) for _ in range(3))
-        at = {int(part[o[0]]): o for o in np.split(order, _runs(part[order])[1:])}
-        for a in answers:
-            self.ids[at[a["part"]]], self.counts[at[a["part"]]], self.rest[at[a["part"]]] = unpacked(a["data"])
+    def __init__(self, row: dict, answers: list[dict], words: Words, starts: tuple[int, int]) -> None:
+        told = [unpacked(a["data"]) for a in sorted(answers, key=lambda a: a["part"])]
+        self.ids, self.counts, self.rest = (np.concatenate(x) for x in zip(*told, strict=True))
         self.lengths, self.lead, self.start, self.train, self.whole = unpacked(row["docs"])
         (self.tokens,) = unpacked(row["tokens"])
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -413,8 +412,8 @@ class Grams:
 class Plan:
     """What every block needs to know to ask and to read its answers: a few numbers and one list of discounts per level."""
 
-    def __init__(self, words: Words, starts: tuple[int, int], word_parts: int, parts: int, tokens: int) -> None:
-        self.words, self.starts, self.word_parts, self.parts, self.tokens, self.hot = words, starts, word_parts, parts, tokens, HOT
+    def __init__(self, words: Words, starts: tuple[int, int], parts: int, tokens: int, keep_tables: bool) -> None:
+        self.words, self.starts, self.parts, self.tokens, self.keep_tables, self.hot = words, starts, parts, tokens, keep_tables, HOT
         self.d: list[np.ndarray] = []
 
     def grams(self, rows: list[dict]) -> tuple[dict, Grams]:
@@ -423,7 +422,7 @@ class Plan:
         for r in rows:
             by_kind[r["kind"]].append(r)
         (row,) = by_kind["block"]
-        out = Grams(row, by_kind["1"], self.word_parts, self.words, self.starts)
+        out = Grams(row, by_kind["1"], self.words, self.starts)
         for level, d in enumerate(self.d, 2):
             out.extend()
             out.settle({a["part"]: a["data"] for a in by_kind[str(level)]}, [a["data"] for a in by_kind[f"hot {level}"]], d, self)
@@ -432,7 +431,7 @@ class Plan:
 
 def gathered(held: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Blocks together with what they were answered, level by level."""
-    out = held.select(F.lit("block").alias("kind"), "block", "keys", "ids", "words", "docs", "tokens")
+    out = held.select("kind", "block", "keys", "ids", "docs", "tokens")
     for level, rows in enumerate(levels, 1):
         answers = rows.where("kind = 'answer'").select(F.lit(str(level)).alias("kind"), "part", "block", "data")
         out = out.unionByName(answers, allowMissingColumns=True)
@@ -441,12 +440,12 @@ def gathered(held: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def requests(rows: DataFrame, plan: Plan, keep_tables: bool) -> DataFrame:
+def requests(rows: DataFrame, plan: Plan) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         row, grams = plan.grams(table.to_pylist())
         grams.extend()
         out = [("sums", row["block"] % plan.parts, row["block"], 0, packed(grams.settled_sums()))]
-        if keep_tables:
+        if plan.keep_tables:
             out.append(("model", row["block"] % plan.parts, row["block"], 0, packed(*grams.settled_rows())))
         for part, at, heads, split in grams.asks(plan):
             runs = np.diff(np.r_[_runs(grams.head_of[at]), len(at)]).astype(np.int32)
@@ -487,7 +486,8 @@ def answers(asked: DataFrame, plan: Plan) -> DataFrame:
         heads = _runs(ph)
         seen = c > 0
         mass, small = np.add.reduceat(np.where(seen, lower, 0.0), heads), _small(c, heads)
-        out.append(("model", part, -1, int(seen.sum()), packed(ph[seen], pw[seen], c[seen])))
+        if plan.keep_tables:
+            out.append(("model", part, -1, int(seen.sum()), packed(ph[seen], pw[seen], c[seen])))
         out.append(("sums", part, -1, 0, packed(_counts_of_counts(c))))
         group_of = np.searchsorted(heads, np.arange(len(ph)), "right") - 1
         split, at = np.zeros(len(heads), bool), 0
@@ -584,32 +584,34 @@ def katz_scores(
     """``id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``train``: which rows the model learns from. Tokens are words, A-Z in lower case, and one end per row. ``order``:
-    words of the longest n-grams. ``keep_tables``: a list that gets the tables of the levels, from words on; the n-grams
-    settled in blocks are in them only then.
+    words of the longest n-grams. ``keep_tables``: a list that gets the tables of the levels, from words on.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
     spark = df.sparkSession
-    held, held_path = written(blocks(df, id_col, text_col, train, order, block_bytes), "lm-blocks")
-    sizes = held.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_learnt", "n_rest"))).first()
+    keep = keep_tables is not None
+    made, held_path = written(blocks(df, id_col, text_col, train, order, block_bytes), "lm-blocks", by=("kind",))
+    sizes = made.where("kind = 'block'").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED)).first()
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_parts, parts = (max(least, -(-sizes[c] // MERGED)) for c in ("n_words", "n_tokens"))
-    word_table, word_path = written(word_answers(word_requests(held, word_parts), word_parts), "lm-words")
+    word_table, word_path = written(word_answers(word_requests(made.where("kind = 'words'"), word_parts), word_parts, keep), "lm-words")
+    remove(spark, f"{held_path}/kind=words")
+    held = spark.read.schema(made.schema).parquet(held_path)
     total, types, *n = _sums(word_table).tolist()
-    plan = Plan(Words(total, types, n), (sizes["n_learnt"], sizes["n_rest"]), word_parts, parts, sizes["n_tokens"])
+    plan = Plan(Words(total, types, n), (sizes["n_learnt"], sizes["n_rest"]), parts, sizes["n_tokens"], keep)
     levels, paths = [word_table], [held_path, word_path]
     release(spark)
     for level in range(2, order + 1):
-        table, path = written(answers(requests(gathered(held, levels), plan, keep_tables is not None), plan), f"lm-{level}-grams")
+        table, path = written(answers(requests(gathered(held, levels), plan), plan), f"lm-{level}-grams")
         levels.append(table)
         paths.append(path)
         plan.d.append(discounts(np.array([0, *_sums(table)[: K + 1]])))
         release(spark)
     found, _ = written(scores(gathered(held, levels), plan, df.schema[id_col].dataType), "lm-scores")
-    if keep_tables is None:
-        remove(spark, *paths)
-    else:
+    if keep:
         keep_tables += levels
+    else:
+        remove(spark, *paths)
     release(spark)
     columns = ("id", "train", "n_tokens", "n_known", "base_score", "score")
     cut = found.where("not whole").groupBy("key").agg(F.first("id").alias("id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in columns[2:]))
