@@ -9,8 +9,10 @@ What is never text of a page (scripts, styles, templates, the head, controls of
 are trained by ``html_training`` on pages that it makes up, with boilerplate of many kinds.
 
 Defined cases: null and empty pages have an empty text; pages without any element are one block; unclosed and stray
-tags are read as browsers do for block and inline elements; repeated rows are kept; empty tables give empty results;
-input columns other than those named are not carried along.
+tags are read as browsers do for block and inline elements. An element that is not read ends with what is around it, and
+is read over if the page has no end tag for it; only a script, a style sheet, a comment or a quoted value without an end
+reaches to the end of the page, as in browsers. Repeated rows are kept; empty tables give empty results; input columns
+other than those named are not carried along.
 """
 
 from __future__ import annotations
@@ -37,14 +39,34 @@ WEIGHTS = Path(__file__).with_name("html_weights.npz")
 #: Pages whose blocks are labelled at a time, and blocks read per step; long pages go in smaller batches.
 PAGES, STEPS = 64, 1 << 14
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " map math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics wbr".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template noscript head title svg math iframe object audio video canvas select textarea option button map".split())
-RAW = frozenset("script style textarea title template noscript iframe svg math".split())
+#: Never read: up to their end tag whatever stands between, or as far as their element goes. None of them breaks a line.
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+UNREAD = frozenset("head template svg annotation annotation-xml object audio video canvas select datalist option optgroup".split())
+#: A head holds these only; anything else begins the body.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: An element that is opened closes open ones of these names, as browsers do.
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {
+    "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "optgroup": ("option", "optgroup"), "body": ("head",),
+}
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A button is text where words are, else a control.
+AMONG_WORDS = frozenset(("p", "li", "td", "th", "dd", "dt", "blockquote", "figcaption", "caption", *HEADINGS))
+#: End tags of elements inside don't reach beyond these.
+SCOPE = frozenset("td th caption table template object".split())
+P_SCOPE = frozenset("td th li div article section main body button".split()) | UNREAD
+TABLE = frozenset("table thead tbody tfoot tr td th caption template object html body".split())
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+|[^\s>]*+))*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAMES = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -67,44 +89,78 @@ class Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    unread: int = 0
     blocks: list[Block] = field(default_factory=list)
 
     def cut(self) -> None:
-        if self.parts:
-            text = SPACE.sub(" ", "".join(self.parts)).strip()
-            if text:
-                self.blocks.append(Block(tuple(d for _, d in self.stack if d), text, self.linked))
-            self.parts, self.linked = [], 0
+        """The end of a block, unless what is open is not read anyway."""
+        if self.parts and not self.unread:
+            self._emit(len(self.stack))
 
-    def add(self, text: str) -> None:
+    def _emit(self, depth: int) -> None:
+        text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
+            self.blocks.append(Block(tuple(d for _, d in self.stack[:depth] if d), text, self.linked))
+        self.parts, self.linked = [], 0
+
+    def add(self, text: str) -> None:
+        if text and self.unread and self.stack[-1][0] == "head" and not text.isspace():
+            self._drop(len(self.stack) - 1)  # words begin the body
+        if text and not self.unread:
             text = unescape(text)
             self.parts.append(text)
             if self.links:
                 self.linked += len(text)
 
+    def _drop(self, at: int) -> None:
+        if self.unread:
+            hidden = [i for i, (_, d) in enumerate(self.stack) if not d]
+            if at < hidden[0] and self.parts:  # a block ends that has something unread in it
+                self._emit(hidden[0])
+            self.unread -= sum(i >= at for i in hidden)
+        del self.stack[at:]
+
     def _pop(self, names: tuple[str, ...], stop: frozenset[str]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
             if name in names:
-                del self.stack[i:]
+                self._drop(i)
                 return
             if name in stop:
                 return
 
+    def skip(self, name: str) -> None:
+        """An element that isn't read, and doesn't end the block that it is in."""
+        if name in CLOSES:
+            self._pop(CLOSES[name], frozenset(("select", "datalist")))
+        self.stack.append((name, ""))
+        self.unread += 1
+
     def open(self, name: str, attributes: str) -> None:
+        if self.unread and self.stack[-1][0] == "head" and name not in IN_HEAD:
+            self._drop(len(self.stack) - 1)
         if name in ("br", "wbr"):
-            self.parts.append(" " if name == "br" else "")
+            self.parts.append(" " if name == "br" and not self.unread else "")
             return
-        if name in INLINE:
+        if name == "button" and not (self.stack and self.stack[-1][0] in AMONG_WORDS):
+            self.cut()
+            self.skip(name)
+            return
+        if name in INLINE or name == "button":
             if name == "a":
                 self.links = 1
             return
-        self.cut()
-        if name in VOID:
+        if name in VOID and name != "hr":
             return
+        self.cut()
         if name in CLOSE_P:
-            self._pop(("p",), frozenset(("td", "th", "li", "div", "article", "section", "main", "body", "button")))
+            while self.unread and self.stack[-1][0] in ("option", "optgroup"):
+                self._drop(len(self.stack) - 1)
+            self._pop(("p",), P_SCOPE)
+        if name == "hr":
+            return
+        if name in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self._drop(len(self.stack) - 1)
         if name in CLOSES and name != "p":
             self._pop(CLOSES[name], frozenset(("ul", "ol", "dl", "table")))
         self.links = 0
@@ -115,11 +171,15 @@ class Reader:
             if name == "a":
                 self.links = 0
             return
+        if name == "br":
+            self.parts.append("" if self.unread else " ")
         if name in VOID:
             return
-        if any(n == name for n, _ in self.stack):
-            self.cut()
-            self._pop((name,), frozenset())
+        names = HEADINGS if name in HEADINGS else (name,)
+        if any(n in names for n, _ in self.stack):
+            if name not in UNREAD:
+                self.cut()
+            self._pop(names, frozenset() if name in TABLE else SCOPE)
         elif name == "p":
             self.cut()
 
@@ -140,44 +200,43 @@ def described(name: str, attributes: str) -> str:
 
 
 def blocks(html: str) -> list[Block]:
-    reader, at, skip = Reader(), 0, None
-    depth = 0
+    reader, at, last = Reader(), 0, {}
     for m in TOKEN.finditer(html):
         if m.start() < at:
             continue
-        if skip is None:
-            reader.add(html[at : m.start()])
+        reader.add(html[at : m.start()])
         at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if skip is not None:
-            if name == skip:
-                depth += -1 if m[1] else (0 if m[3].endswith("/") else 1)
-                if depth == 0:
-                    skip = None
+        if not m[2] or html[at - 1] != ">":
             continue
+        name = m[2].lower()
         if m[1]:
             reader.close(name)
-        elif name in UNREAD:
-            if name not in INLINE:
-                reader.cut()
-            if m[3].endswith("/"):
-                continue
-            if name in RAW:  # its end is the next end tag of that name, whatever stands between
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            else:
-                skip, depth = name, 1
+        elif name in RAW:  # its end is the next end tag of that name, whatever stands between
+            end = _end_tag(name).search(html, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(html)
+        elif name in UNREAD or name == "button":
+            if name not in last:
+                last[name] = max((e.start() for e in _end_tag(name).finditer(html)), default=-1)
+            ends = last[name] > at or name in ("head", "option", "optgroup")
+            if name == "button" and ends:
+                reader.open(name, m[3])
+            elif ends and not m[3].endswith("/"):
+                reader.skip(name)
         else:
             reader.open(name, m[3])
-    if skip is None:
-        reader.add(html[at:])
+    reader.add(html[at:])
     reader.cut()
     return reader.blocks
 
 
+@lru_cache(maxsize=64)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I)
+
+
 @lru_cache(maxsize=1 << 16)
 def _place(kind: str, word: str, size: int) -> tuple[int, int]:
     code = zlib.crc32(f"{kind}:{word}".encode())

@@ -26,12 +26,41 @@ def test_blocks_of_malformed_pages():
     texts = lambda h: [b.text for b in html_blocks.blocks(h)]
     assert texts("") == [] and texts("plain  text") == ["plain text"]
     assert texts("<p>a<p>b</p>c<div>d<br>e</div><ul><li>f<li>g</ul>") == ["a", "b", "c", "d e", "f", "g"]
-    assert texts("<p>x</b></div> y<script>if (a<b) '</p>'</script> z") == ["x y", "z"]
+    assert texts("<p>x</b></div> y<script>if (a<b) '</p>'</script> z") == ["x y z"]
     assert texts("a < b &lt; c &#233; &nope; <unknown>d") == ["a < b < c é &nope;", "d"]
     assert texts("<p>open <!-- never closed") == ["open"]
     assert texts('<p title="a > b">t</p><form><label>l</label><select><option>no</select><textarea>no</textarea></form>') == ["t", "l"]
 
 
+def test_blocks_go_on_where_end_tags_are_missing():
+    texts = lambda h: [b.text for b in html_blocks.blocks(h)]
+    assert texts("<head><title>t</title><meta a=b><body><p>x</p>") == ["x"]
+    assert texts("<head><title>t</title><p>x</p>") == ["x"] and texts("<head> words<p>x</p>") == ["words", "x"]
+    assert texts("<head><script>for(i=0;i<n;i++){ // don't\n}</script></head><body><p>it's here</p>") == ["it's here"]
+    assert texts("<datalist><option value=a><option value=b></datalist><p>x</p>") == ["x"]
+    assert texts("<select><option>a<option>b</select><p>x</p>") == ["x"] and texts("<select><option>a<p>x</p>") == ["x"]
+    for name in ("button", "object", "svg", "select", "audio", "iframe", "textarea", "noscript", "title", "template"):
+        assert texts(f"<div><{name}></div><p>x</p><p>y") == ["x", "y"], name
+    assert texts("<div>a <select><option>b</div><p>x</p><select></select>") == ["a", "x"]
+
+
+def test_blocks_hold_what_stands_among_words():
+    texts = lambda h: [b.text for b in html_blocks.blocks(h)]
+    assert texts("<p>Energy is <math><mi>E</mi><mo>=</mo><msup><mi>m</mi></msup></math> always</p>") == ["Energy is E=m always"]
+    assert texts("<p>a <svg><g><title>no</title><text>no</text></g></svg> b <img src=x> c <input value=y> d</p>") == ["a b c d"]
+    assert texts("<p>Press <button>OK</button> now</p><div><button>Menu</button></div>") == ["Press OK now"]
+    assert texts("<p>a<script>x</script>b<style>y</style>c</p><map><area><p>in a map</p></map>") == ["abc", "in a map"]
+    assert texts("<p>a<hr>b") == ["a", "b"]
+
+
+def test_tags_with_stray_quotes():
+    texts = lambda h: [b.text for b in html_blocks.blocks(h)]
+    assert texts('<p class="x>Body</p><p class="y">more</p>') == ["more"]
+    assert texts("<p title=it's>a</p><p don't>b</p><a href=x?y='z>c</a>") == ["a", "b", "c"]
+    assert texts("<p>a</p><p title='never closed>b</p>") == ["a"]
+    assert texts('<p title = "a > b" class=c>t</p></ nothing>u<!-->v<!-- x --!>w') == ["t", "uvw"]
+
+
 def test_labels_of_unseen_made_up_pages():
     wrong = blocks = 0
     for seed in range(150):
