@@ -214,7 +214,7 @@ def scorecard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scorecard_frame",
-    SCORES + ", ro as (select asset, measure, round(score, 6) + 0.0 as score from sc) select * from (pivot ro on measure using first(score) group by asset)",
+    SCORES + "select asset, " + ", ".join(f"round(max(score) filter (where measure = '{n}'), 6) + 0.0 as {n}" for n in (*BATTERY_SQL, *RELATIVE_SQL)) + " from sc group by asset",
 )
 def scorecard_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     card, values = _scores(spark, sf_dir)
@@ -275,44 +275,62 @@ def ew_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 # principal components
 
 
-def two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = market_returns(spark, sf_dir).where("series in ('A', 'R') and ret is not null")
-    return pivoted(rows, "ts", "series", "ret", ["A", "R"]).select(F.lit("all").alias("g"), "ts", "A", "R")
+FLAGS = ("A", "N", "R")
 
 
-PAIR = f"""with {RETURNS}, ab as (select ts, max(r) filter (where series = 'A') as a, max(r) filter (where series = 'R') as b2 from rr where series in ('A', 'R') group by ts),
-n as (select ts, count(a) over w as na, count(b2) over w as nb, var_samp(a) over w as va, var_samp(b2) over w as vb, covar_samp(a, b2) over w as c from ab window w as (order by ts rows 23 preceding)),
-m as (select *, na = 24 and nb = 24 as ok, (va + vb) / 2 as h, sqrt(pow((va - vb) / 2, 2) + c * c) as g from n)
+def flag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly returns of all flags beside each other."""
+    rows = market_returns(spark, sf_dir).where("ret is not null")
+    return pivoted(rows, "ts", "series", "ret", list(FLAGS)).select(F.lit("all").alias("g"), "ts", *FLAGS)
+
+
+#: Eigenvalues of symmetric matrices of three rows, in closed form, largest first.
+EIGEN = """
+q as (select *, (xx + yy + zz) / 3 as m, sqrt((pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) as s from mat),
+t as (select *, acos(least(greatest(((xx - m) * ((yy - m) * (zz - m) - yz * yz) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / nullif(2 * s * s * s, 0), -1), 1)) / 3 as phi from q),
+eig as (select *, m + 2 * s * cos(phi) as e1, m - 2 * s * cos(phi) - 2 * s * cos(phi + 2 * pi() / 3) as e2, m + 2 * s * cos(phi + 2 * pi() / 3) as e3 from t)
 """
+TRIPLE = f"""with {RETURNS}, ab as (select ts, max(r) filter (where series = 'A') as a, max(r) filter (where series = 'N') as n, max(r) filter (where series = 'R') as f from rr group by ts),
+mo as (select ts, row_number() over (order by ts) as k, count(a) over w as na, count(n) over w as nn, count(f) over w as nf, count(a) over w = 24 and count(n) over w = 24 and count(f) over w = 24 as ok,
+  var_samp(a) over w as va, var_samp(n) over w as vn, var_samp(f) over w as vf, covar_samp(a, n) over w as can, covar_samp(a, f) over w as caf, covar_samp(n, f) over w as cnf
+  from ab window w as (order by ts rows 23 preceding))
+"""
+E123 = ", ".join(f"round(case when ok then e{i} end, 6) + 0.0 as e{i}" for i in (1, 2, 3))
 
 
 @query(
     "pca_eigenvalues",
-    PAIR + "select ts, round(case when ok then h + g end, 6) + 0.0 as e1, round(case when ok then h - g end, 6) + 0.0 as e2, round(case when ok then (h + g) / (2 * h) end, 6) + 0.0 as share from m", dates=["ts"])
+    TRIPLE + f""", mat as (select ts, ok, va as xx, vn as yy, vf as zz, can as xy, caf as xz, cnf as yz from mo), {EIGEN}
+    select ts, {E123}, round(case when ok then e1 / (3 * m) end, 6) + 0.0 as share from eig""", dates=["ts"])
 def pca_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = models.rolling_pca(two_series(spark, sf_dir), ["g"], "ts", ["A", "R"], window=24, n_components=2, align=False)
-    found = steps.select("ts", F.get("eigenvalues", 0).alias("e1"), F.get("eigenvalues", 1).alias("e2"), F.get("explained_variance_ratio", 0).alias("share"))
-    return rounded(found, ["e1", "e2", "share"])
+    steps = models.rolling_pca(flag_series(spark, sf_dir), ["g"], "ts", FLAGS, window=24, n_components=3, align=False)
+    found = steps.select("ts", *(F.get("eigenvalues", i).alias(f"e{i + 1}") for i in range(3)), F.get("explained_variance_ratio", 0).alias("share"))
+    return rounded(found, ["e1", "e2", "e3", "share"])
 
 
 @query(
     "pca_correlation",
-    PAIR + "select ts, round(case when ok then 1 + abs(c / sqrt(va * vb)) end, 6) + 0.0 as e1, round(case when ok then 1 - abs(c / sqrt(va * vb)) end, 6) + 0.0 as e2 from m", dates=["ts"])
+    TRIPLE + f""", mat as (select ts, ok, 1.0::double as xx, 1.0::double as yy, 1.0::double as zz, can / sqrt(va * vn) as xy, caf / sqrt(va * vf) as xz, cnf / sqrt(vn * vf) as yz from mo), {EIGEN}
+    select ts, {E123} from eig""", dates=["ts"])
 def pca_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = models.rolling_pca(two_series(spark, sf_dir), ["g"], "ts", ["A", "R"], window=24, n_components=2, corr=True, align=False)
-    return rounded(steps.select("ts", F.get("eigenvalues", 0).alias("e1"), F.get("eigenvalues", 1).alias("e2")), ["e1", "e2"])
+    steps = models.rolling_pca(flag_series(spark, sf_dir), ["g"], "ts", FLAGS, window=24, n_components=3, corr=True, align=False)
+    return rounded(steps.select("ts", *(F.get("eigenvalues", i).alias(f"e{i + 1}") for i in range(3))), ["e1", "e2", "e3"])
 
 
-@query("pca_active", PAIR + "select ts, na = 24 as active_a, nb = 24 as active_r from m", dates=["ts"])
+@query("pca_active", TRIPLE + "select ts, na = 24 as active_a, nn = 24 as active_n, nf = 24 as active_r from mo", dates=["ts"])
 def pca_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = two_series(spark, sf_dir)
-    return rows.select("ts", ro.active(F.col("A"), ["g"], "ts", 24).alias("active_a"), ro.active(F.col("R"), ["g"], "ts", 24).alias("active_r"))
+    rows = flag_series(spark, sf_dir)
+    return rows.select("ts", *(ro.active(F.col(c), ["g"], "ts", 24).alias(f"active_{c.lower()}") for c in FLAGS))
 
 
-@query("rolling_covariance", PAIR + "select ts, round(case when row_number() over (order by ts) >= 24 then c end, 6) + 0.0 as cov from m", dates=["ts"])
+@query(
+    "rolling_covariance",
+    TRIPLE + "select ts, " + ", ".join(f"round(case when k >= 24 then {c} end, 6) + 0.0 as {n}" for c, n in (("can", "cov_an"), ("caf", "cov_ar"), ("cnf", "cov_nr"))) + " from mo", dates=["ts"])
 def rolling_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = two_series(spark, sf_dir)
-    return rounded(rows.select("ts", ro.rolling_covariance(F.col("A"), F.col("R"), ["g"], "ts", 24).alias("cov")), ["cov"])
+    rows = flag_series(spark, sf_dir)
+    pairs = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
+    names = [f"cov_{a}{b}".lower() for a, b in pairs]
+    return rounded(rows.select("ts", *(ro.rolling_covariance(F.col(a), F.col(b), ["g"], "ts", 24).alias(n) for (a, b), n in zip(pairs, names, strict=True))), names)
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -453,14 +471,19 @@ def cluster_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.moves(sized(spark, sf_dir)).select("period", "entity", F.coalesce(F.col("before") != F.col("label"), F.lit(False)).alias("switched"))
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "labels_frame",
-    f"""with p as ({EVENTS}), l as (select day as period, user_id::varchar as entity, least(n, 3)::bigint as label from p)
-    select * from (pivot l on entity using coalesce(first(label), -1) group by period)""",
+    "with l as (select date_trunc('day', ts)::date as period, event_type as entity, count(*) % 4 as label from events group by all) select period, "
+    + ", ".join(f"coalesce(max(label) filter (where entity = '{e}'), -1) as {e}" for e in EVENT_TYPES)
+    + " from l group by period",
     dates=["period"],
 )
 def labels_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.labels_frame(sized(spark, sf_dir))
+    days = _table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("date").alias("period"), F.col("event_type").alias("entity"))
+    return summaries.labels_frame(days.agg((F.count(F.lit(1)) % 4).alias("label")), EVENT_TYPES)
 
 
 @query("select_n_clusters")
@@ -600,16 +623,40 @@ def shared_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("period").alias("day")).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-@query("simulate_rotating_cloud")
+def uniform_sql(seed: int, name: str, *keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', {', '.join(keys)})), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double"
+
+
+def normal_sql(seed: int, name: str, *keys: str) -> str:
+    return f"sqrt(-2 * ln({uniform_sql(seed, name + '.r', *keys)})) * cos(2 * pi() * ({uniform_sql(seed, name + '.a', *keys)}))"
+
+
+@query(
+    "simulate_rotating_cloud",
+    f"""with s as (select step, cos(step * 0.01::double) as c, sin(step * 0.01::double) as s, 3 * {normal_sql(1, "long", "step")} as l, 0.5::double * {normal_sql(1, "short", "step")} as h
+      from (select unnest(range(200)) as step))
+    select step, {r_sql(f"c * l - s * h + 0.05::double * {normal_sql(1, 'noise0', 'step')}", "x0")}, {r_sql(f"s * l + c * h + 0.05::double * {normal_sql(1, 'noise1', 'step')}", "x1")}, {r_sql("c", "d0")}, {r_sql("s", "d1")} from s""",
+)
 def simulate_rotating_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.rotating_cloud(spark, 200, seed=1)
+    return rounded(simulate.rotating_cloud(spark, 200, seed=1), ["x0", "x1", "d0", "d1"])
 
 
-@query("simulate_regime_returns")
+@query(
+    "simulate_regime_returns",
+    f"""with s as (select step, {uniform_sql(1, "leave", "step")} > 0.99::double as leaves, 0.7::double * {normal_sql(1, "common", "step")} as shock from (select unnest(range(300)) as step)),
+    t as (select *, coalesce(count(*) filter (where leaves) over (order by step rows between unbounded preceding and 1 preceding), 0) % 2 as state from s)
+    select step, {", ".join(r_sql(f"case state when 0 then 8e-4 else -6e-4 end::double + case state when 0 then 0.008 else 0.02 end::double * (shock + sqrt(1 - 0.49::double) * {normal_sql(1, f'asset{i}', 'step')})", f"a{i}") for i in range(5))}, state from t""",
+)
 def simulate_regime_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.regime_returns(spark, 300, seed=1)
+    return rounded(simulate.regime_returns(spark, 300, seed=1), [f"a{i}" for i in range(5)])
 
 
-@query("simulate_drifting_blobs")
+@query(
+    "simulate_drifting_blobs",
+    f"""with s as (select period, number, number % 3 as membership from (select unnest(range(20)) as period), (select unnest(range(90)) as number)),
+    t as (select *, membership * (2 * pi() / 3) + period * 0.02::double as angle, 3 / sin(pi() / 3) as far from s)
+    select period, printf('e%04d', number) as entity, {r_sql(f"far * cos(angle) + 0.5::double * {normal_sql(1, 'f0', 'period', 'number')}", "f0")},
+    {r_sql(f"far * sin(angle) + 0.5::double * {normal_sql(1, 'f1', 'period', 'number')}", "f1")}, membership from t""",
+)
 def simulate_drifting_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.drifting_blobs(spark, 20, seed=1)
+    return rounded(simulate.drifting_blobs(spark, 20, seed=1), ["f0", "f1"])
