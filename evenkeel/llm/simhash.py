@@ -358,7 +358,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
     by_hash = Window.partitionBy("shingle").orderBy(F.xxhash64("node"), "node")
     mixed = shared.select("node", "n", F.lag("node").over(by_hash).alias("before"), F.lag("n").over(by_hash).alias("n_before"))
-    neighbours = shared.select("node", "n", "before", "n_before").unionByName(mixed).where(near_size("n", "n_before"))
+    neighbours = shared.select("node", "n", "before", "n_before").unionByName(mixed).where(F.col("before").isNotNull() & near_size("n", "n_before"))
     pairs, pairs_path = written(neighbours.select(*pair("node", "before")).distinct(), "neighbours")
     near = _verified(written(_possible(pairs, sketches, similarity), "possible")[0], source, shingle, similarity)
     roots = components(near)
