@@ -25,8 +25,8 @@ from evenkeel.kernels.matching import Chain
 from evenkeel.sources.panels import number, with_step
 
 VECTOR, MATRIX = T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(T.DoubleType()))
-#: Rows of time in a block, beyond the window.
-BLOCK = 1024
+#: Rows of time in a block, beyond the window; features from which on subspace iterations beat whole solutions.
+BLOCK, MANY = 1024, 64
 
 
 def listed(x: np.ndarray):
@@ -57,13 +57,17 @@ PCA_FIELDS = (
 def rolling_pca(
     df: DataFrame, group: Sequence[str], ts: str, features: Sequence[str], window: int = 252, n_components: int = 3, *, matching: str = "hungarian",
     corr: bool = False, ddof: int = 1, halflife: float | None = None, align: bool = True, block: int = BLOCK, solver: str = "auto", solver_tol: float = 1e-8,
+    refresh_every: int = 1024,
 ) -> DataFrame:
     """A row per group and time: aligned components (rows), eigenvalues, shares, similarity, means, projections.
 
     A missing feature is absent: it is active where it is there in the whole window. ``halflife`` weighs rows
     exponentially from the first on, with ``window`` as warm-up; gaps are not allowed then. Projections are centred by
-    the window's mean and not divided by deviations, also with ``corr``. ``solver``: "exact" and "auto" solve whole
-    windows exactly; "subspace" starts each exponentially weighted step from the one before, exact where that fails.
+    the window's mean and not divided by deviations, also with ``corr``. ``solver``: "exact" (or "eigh") solves every
+    window anew; "subspace" starts each from the basis of the one before and is exact where the residual exceeds
+    ``solver_tol`` or features are absent; "auto" takes it if ``n_components`` is a quarter of the features or less, and
+    these are many enough for it to pay.
+    ``refresh_every``: steps after which sliding sums are made anew (sooner where memory asks for it).
     """
     d, p = len(features), n_components
     if not 1 <= p <= d:
@@ -72,8 +76,11 @@ def rolling_pca(
         raise ValueError(f"window must be 2 or more; got {window}")
     if ddof >= window:
         raise ValueError("ddof must be below window")
-    if solver not in ("auto", "exact", "subspace"):
+    if solver not in ("auto", "exact", "eigh", "subspace"):
         raise ValueError(f"unknown solver: {solver!r}")
+    if refresh_every < 1:
+        raise ValueError(f"refresh_every must be 1 or more; got {refresh_every}")
+    tol = solver_tol if p < d and (solver == "subspace" or solver == "auto" and 4 * p <= d and d >= MANY) else None
     if halflife is not None and halflife <= 0:
         raise ValueError("halflife must be positive")
     Chain(matching)
@@ -105,7 +112,7 @@ def rolling_pca(
             values, vectors, means, total = np.full((n, p), np.nan), np.full((n, d, p), np.nan), np.full((n, d), np.nan), np.full(n, np.nan)
             ends = np.flatnonzero(own & (steps >= window - 1))
             if len(ends):
-                values[ends], vectors[ends], m, total[ends] = moments.flat_windows(x[None], ends, window, p, corr, ddof)
+                values[ends], vectors[ends], m, total[ends] = moments.flat_windows(x[None], ends, window, p, corr, ddof, refresh_every, tol)
                 means[ends] = m[0]
             return emitted(pdf[own], values[own], vectors[own], means[own], total[own])
 
@@ -125,7 +132,7 @@ def rolling_pca(
                 if t < window - 1:
                     continue
                 cov = moments.correlation(cov) if corr else cov
-                found = moments.warm_subspace(cov, before, solver_tol) if solver == "subspace" and before is not None else None
+                found = moments.warm_subspace(cov.__matmul__, before, tol) if tol is not None and before is not None else None
                 v, w, total[t] = (*found, np.trace(cov)) if found else moments.leading(cov, p)
                 values[t], vectors[t], means[t], before = v, w, mean[0], w
             return emitted(pdf, values, vectors, means, total)

@@ -90,7 +90,7 @@ def test_warm_subspace_agrees_with_the_exact_solver():
     cov = a @ np.diag(np.r_[[900, 400, 100], np.ones(57)]) @ a.T / 60
     values, vectors, _ = moments.leading(cov, 3)
     near = np.linalg.qr(vectors + 0.02 * random.normal(size=vectors.shape))[0]
-    found = moments.warm_subspace(cov, near, 1e-6, steps=60)
+    found = moments.warm_subspace(cov.__matmul__, near, 1e-6, steps=60)
     assert found is not None and np.allclose(found[0], values, rtol=1e-5)
 
 
