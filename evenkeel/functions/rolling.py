@@ -43,6 +43,20 @@ def rolling_covariance(x: Column, y: Column, group: Sequence[str], ts: str, wind
     return full(F.covar_samp(x, y).over(rows(group, ts, window)), group, ts, window)
 
 
+def rolling_min(x: Column, group: Sequence[str], ts: str, window: int) -> Column:
+    """The least of a full window that lacks nothing."""
+    w = rows(group, ts, window)
+    return F.when(F.count(x).over(w) == window, F.min(x).over(w))
+
+
+def forward_sum(x: Column, group: Sequence[str], ts: str, n: int) -> Column:
+    """The sum of the next ``n`` rows; NULL where there are fewer, or one is NULL."""
+    if n < 1:
+        raise ValueError(f"n must be 1 or more; got {n}")
+    w = Window.partitionBy(*group).orderBy(ts).rowsBetween(1, n)
+    return F.when(F.count(x).over(w) == n, F.sum(x).over(w))
+
+
 def active(x: Column, group: Sequence[str], ts: str, window: int) -> Column:
     """The feature is there in every row of a full window."""
     return F.count(x).over(rows(group, ts, window)) == window

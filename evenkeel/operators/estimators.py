@@ -163,16 +163,22 @@ class RollingKMeans(_Panel):
         return kept.select(*self.group, F.posexplode("centroids").alias("k", "centre"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Distances to each cluster's nearest remembered place: ``k, distance`` for every row."""
+        """Distances to each cluster's nearest remembered place: ``k, distance`` for every row, repeated ones too."""
+        found = self._far(df).select(*df.columns, F.inline("_far"))
+        return found.withColumnsRenamed({"_k": "k", "_d": "distance"})
+
+    def _far(self, df: DataFrame) -> DataFrame:
+        if clash := {"k", "distance", "label"} & set(df.columns):
+            raise ValueError(f"columns have names of results: {sorted(clash)}")
+        held = summaries.bank(self._bank(), self.group)  # a row per group: clusters times memory
+        joined = df.join(held, self.group) if self.group else df.crossJoin(F.broadcast(held))
         x = F.array(*(F.col(f).cast("double") for f in self.feature_names_in_))
-        bank = self._bank()
-        pairs = df.join(bank, self.group) if self.group else df.crossJoin(F.broadcast(bank))  # one group: clusters times memory
-        return pairs.groupBy(*df.columns, "k").agg(F.sqrt(F.min(summaries.squared(x, F.col("centre")))).alias("distance"))
+        return joined.withColumn("_far", summaries.distances(x, F.col("_held")))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``label`` of rows: the cluster of the nearest remembered place, the lowest of equals."""
-        far = self.transform(df)
-        return far.groupBy(*df.columns).agg(F.min(F.struct("distance", "k")).alias("_m")).select(*df.columns, F.col("_m.k").cast("long").alias("label"))
+        best = F.array_min(F.transform("_far", lambda f: F.struct(f["_d"].alias("d"), f["_k"].alias("k"))))
+        return self._far(df).select(*df.columns, best["k"].cast("long").alias("label"))
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).labels_
@@ -181,8 +187,7 @@ class RollingKMeans(_Panel):
         return summaries.labels_frame(self._fitted())
 
     def cluster_summary(self) -> DataFrame:
-        final = self._bank().groupBy(*self.group, F.col("k").cast("long").alias("label")).agg(F.first("centre").alias("centroid"))
-        return summaries.cluster_summary(self._fitted(), self.group).join(final, [*self.group, "label"], "left")
+        return summaries.cluster_summary(self._fitted(), self.group)
 
     @property
     def labels_(self) -> DataFrame:

@@ -70,7 +70,8 @@ class Scorecard:
             own = own.withColumn("aim", F.lit(None).cast("double"))
         aim = F.when(F.col("f.relative"), F.col("f.neutral")).otherwise(F.col("aim"))
         own = own.withColumn("target_value", aim)
-        spread = F.avg(F.abs("value")).over(Window.partitionBy("measure"))
+        sizes = own.groupBy("measure").agg(F.avg(F.abs("value")).alias("spread"))
+        own, spread = own.join(F.broadcast(sizes), "measure"), F.col("spread")  # a row per measure
         usable = F.col("target_value").isNotNull() & (F.abs("target_value") >= EPS) & (F.abs("target_value") < float("inf"))
         below = F.when(usable, F.abs("target_value")).otherwise(F.when(spread >= EPS, spread).otherwise(1.0))
         score = F.col("f.turn") * (F.col("value") - F.col("target_value")) / below
@@ -86,9 +87,11 @@ class Scorecard:
         apart = given.join(sums, "asset").groupBy("asset").agg(F.sqrt(F.sum(F.col("weight") * F.pow(F.col("score") - F.col("composite"), 2)) / nonzero(F.first("w"))).alias("dispersion"))
         everyone = values.select("asset").distinct()
         out = everyone.join(sums.drop("w"), "asset", "left").join(apart, "asset", "left")
-        return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("composite"), "asset")).cast("long"))
+        return ranked(out, "composite", "asset")
 
-    def compare(self, returns: DataFrame, target: DataFrame, **columns) -> tuple[DataFrame, DataFrame]:
+    def compare(self, returns: DataFrame, target: DataFrame, names: Sequence[str] | None = None, **columns) -> tuple[DataFrame, DataFrame]:
+        """Values and summary, once times (and ``names``, if given) are found to fit."""
+        checked(returns, target, columns.get("ts", "ts"), columns.get("series", "series"), names)
         values = self.values(returns, target, **columns)
         return values, self.summary(values)
 
@@ -97,6 +100,22 @@ class Scorecard:
         return pivoted(values, "asset", "measure", column, list(self.measures))
 
 
+#: Ranges of scores that are ranked apart.
+RANGES = 200
+
+
+def ranked(df: DataFrame, by: str, tie: str, into: str = "rank") -> DataFrame:
+    """Rows numbered from 1, the highest first, ties by name, nulls last. Ranges are ranked apart and their sizes added up."""
+    bounds = df.agg(F.percentile_approx(by, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_bounds"))
+    above = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b > F.col(by)))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.when(F.col(by).isNull(), RANGES).otherwise(above)).drop("_bounds")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc_nulls_last(by), tie))
+    return placed.join(F.broadcast(before), "_range").withColumn(into, (F.col("_before") + own).cast("long")).drop("_range", "_before")
+
+
 def checked(returns: DataFrame, target: DataFrame, ts: str = "ts", series: str = "series", names: Sequence[str] | None = None) -> None:
     """Raise where times of the target repeat, where a series has other times, or a named series is absent."""
     if not target.groupBy(ts).count().where("count > 1").isEmpty():

@@ -35,9 +35,17 @@ def select_n_regimes(df: DataFrame, ts: str, features: Sequence[str], candidates
     return _per_candidate(df, ts, features, candidates, fields, "n_regimes", lambda x, k: selection_row(x, k, reg_covar, p_switch, max_iter, tol))
 
 
+#: Differences that are held at a time.
+ENTRIES = 1 << 22
+
+
 def _silhouette(x: np.ndarray, label: np.ndarray, k: int) -> float:
     size = np.bincount(label, minlength=k)
-    sums = np.stack([np.sqrt(((x[:, None] - x[label == c][None]) ** 2).sum(axis=2)).sum(axis=1) for c in range(k)], axis=1)
+    sums, step = np.zeros((len(x), k)), max(1, ENTRIES // x.size)
+    for start in range(0, len(x), step):
+        far = np.sqrt(((x[start : start + step, None] - x[None]) ** 2).sum(axis=2))
+        for c in range(k):
+            sums[start : start + step, c] = far[:, label == c].sum(axis=1)
     own = size[label]
     a = sums[np.arange(len(x)), label] / np.maximum(own - 1, 1)
     means = np.where(size > 0, sums / np.maximum(size, 1), np.inf)

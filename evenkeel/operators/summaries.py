@@ -28,10 +28,23 @@ def nearest(points: DataFrame, centroids: DataFrame, features: str = "features",
 
 
 def centroid_distances(points: DataFrame, centroids: DataFrame, features: str = "features", k: str = "k", centre: str = "centre") -> DataFrame:
-    """A row per point and centroid number: the distance to the nearest of its remembered places."""
+    """A row per point and centroid number: the distance to the nearest of its remembered places. No point is exchanged."""
     keys = [c for c in points.columns if c != features]
-    pairs = points.crossJoin(F.broadcast(centroids.select(F.col(k).alias("k"), F.col(centre).alias("_c"))))
-    return pairs.groupBy(*keys, "k").agg(F.sqrt(F.min(squared(F.col(features), F.col("_c")))).alias("distance"))
+    held = bank(centroids, (), k, centre)
+    found = points.crossJoin(F.broadcast(held)).select(*keys, F.inline(distances(F.col(features), F.col("_held"))))
+    return found.withColumnsRenamed({"_k": "k", "_d": "distance"})
+
+
+def bank(centroids: DataFrame, group: Sequence[str] = (), k: str = "k", centre: str = "centre") -> DataFrame:
+    """``group, _held``: every centroid number with all its places, in one array."""
+    places = centroids.groupBy(*group, F.col(k).alias("_k")).agg(F.collect_list(centre).alias("_places"))
+    return places.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_k", "_places"))).alias("_held"))
+
+
+def distances(x: Column, held: Column) -> Column:
+    """``_k, _d`` of every centroid: the distance of ``x`` to the nearest of its places."""
+    far = lambda places: F.sqrt(F.array_min(F.transform(places, lambda c: squared(x, c))))
+    return F.transform(held, lambda h: F.struct(h["_k"].alias("_k"), far(h["_places"]).alias("_d")))
 
 
 def spells(labels: DataFrame, group: Sequence[str], ts: str, label: str = "label") -> DataFrame:
@@ -66,24 +79,33 @@ def moves(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def cluster_summary(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Per cluster: share of cells, members at the end, moves in (also from absence), switches per cell."""
-    rows = moves(labels, group)
-    last = F.max("number").over(Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
-    rows = rows.withColumn("_last", last)
+    """Per cluster: share of cells, members at the end, moves in (also from absence), switches per cell.
+
+    Where ``labels`` has the periods' ``centroids``, ``centroid`` is the last period's.
+    """
+    facts = [F.max("period").alias("_last")]
+    if "centroids" in labels.columns:
+        facts.append(F.max_by("centroids", "period").alias("_centroids"))
+    last = F.broadcast(labels.agg(*facts)) if not group else labels.groupBy(*group).agg(*facts)
+    with_last = lambda df: df.join(last, list(group)) if group else df.crossJoin(last)
+    rows = with_last(moves(labels.drop("centroids"), group))
     out = rows.groupBy(*group, "label").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("number") == F.col("_last")).alias("n_final"),
+        F.count_if(F.col("period") == F.col("_last")).alias("n_final"),
         F.count_if((F.col("number") > 1) & (F.col("before").isNull() | (F.col("before") != F.col("label")))).alias("moves_in"),
         F.count_if(F.col("before") != F.col("label")).alias("_switches"),
     )
     total = F.sum("_n").over(Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
-    return out.withColumn("share", F.col("_n") / total).withColumn("switch_rate", F.col("_switches") / F.col("_n")).drop("_n", "_switches")
+    out = out.withColumn("share", F.col("_n") / total).withColumn("switch_rate", F.col("_switches") / F.col("_n")).drop("_n", "_switches")
+    if "centroids" in labels.columns:
+        out = with_last(out).withColumn("centroid", F.get("_centroids", F.col("label").cast("int"))).drop("_last", "_centroids")
+    return out
 
 
 def labels_frame(labels: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
     """Periods by entities; -1 where an entity is absent."""
-    wide = labels.groupBy("period").pivot("entity", entities).agg(F.first("label"))
-    return wide.fillna(-1)
+    wide = labels.groupBy("period").pivot("entity", None if entities is None else list(entities)).agg(F.first("label"))
+    return wide.select("period", *(F.coalesce(F.col(f"`{c}`"), F.lit(-1)).alias(c) for c in wide.columns if c != "period"))
 
 
 #: Points in a side of the grid of distances.
@@ -153,5 +175,23 @@ def episodes(df: DataFrame, by: str, n: int = 10, ties: Sequence[str] = ()) -> D
     return df.where(F.col(by).isNotNull()).orderBy(by, *ties).limit(n)
 
 
+def crosstab(df: DataFrame, rows: str, columns: str, names: Sequence[str] | None = None) -> DataFrame:
+    """How many rows have each pair of values; zero where none has. Give the names to save a pass over the data."""
+    wide = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows).pivot(columns, None if names is None else list(names)).agg(F.count(F.lit(1)))
+    return wide.fillna(0, [c for c in wide.columns if c != rows])
+
+
+def conditioned(df: DataFrame, by: str, q: float, values: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """``group, high``: mean, deviation and count of values where ``by`` is above its quantile ``q``, and where not.
+
+    The quantile is interpolated and exact: its aggregation holds the distinct values of a group, so groups are series.
+    """
+    at = df.groupBy(*group).agg(F.percentile(by, q).alias("_q"))
+    joined = df.join(at, list(group)) if group else df.crossJoin(F.broadcast(at))
+    known = joined.where(F.col(by).isNotNull()).withColumn("high", F.col(by) > F.col("_q"))
+    facts = (x for v in values for x in (F.avg(v).alias(f"mean_{v}"), F.stddev_samp(v).alias(f"std_{v}"), F.count(v).alias(f"n_{v}")))
+    return known.groupBy(*group, "high").agg(*facts)
+
+
 def inertia(assigned: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return assigned.groupBy(*group).agg(F.sum("dist2").alias("inertia"))

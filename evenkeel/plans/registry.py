@@ -165,6 +165,37 @@ def simple_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market_returns(spark, sf_dir).select("series", "ts", "ret"), ["ret"])
 
 
+@query(
+    "rolling_low",
+    f"with {RETURNS} select series, ts, round(case when row_number() over (partition by series order by ts) >= 10 then min(r) over (partition by series order by ts rows 9 preceding) end, 6) + 0.0 as low from rr", dates=["ts"])
+def rolling_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir)
+    return rounded(rows.select("series", "ts", ro.rolling_min(F.col("ret"), ["series"], "ts", 10).alias("low")), ["low"])
+
+
+FORWARD = f"""with {RETURNS}, fw as (select series, ts, r, case when count(r) over w = 3 then sum(r) over w end as ahead from rr
+  window w as (partition by series order by ts rows between 1 following and 3 following))"""
+
+
+def ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flags(spark, sf_dir)
+    return rows.select("series", "ts", "ret", ro.forward_sum(F.col("ret"), ["series"], "ts", 3).alias("ahead"))
+
+
+@query("forward_returns", FORWARD + f" select series, ts, {r_sql('ahead', 'ahead')} from fw", dates=["ts"])
+def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ahead(spark, sf_dir).drop("ret"), ["ahead"])
+
+
+@query(
+    "conditioned_returns",
+    FORWARD + f""", q as (select series, quantile_cont(r, 0.8) as q from fw group by series)
+    select series, r > q as high, {r_sql("avg(ahead)", "mean_ahead")}, {r_sql("stddev_samp(ahead)", "std_ahead")}, count(ahead) as n_ahead from fw join q using (series) group by all""",
+)
+def conditioned_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.conditioned(ahead(spark, sf_dir), "ret", 0.8, ["ahead"], ["series"]), ["mean_ahead", "std_ahead"])
+
+
 # scorecard
 
 BATTERY_SQL = {
@@ -411,6 +442,20 @@ def kmeans_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.col("k").cast("long").alias("k"), (F.round("distance", 4) + 0.0).alias("distance"))
 
 
+@query(
+    "kmeans_memory",
+    """with c as (select label as k, list(v order by i) as c from (select label, vec_id % 2 as half, i, avg(embedding[i]::double) as v from embeddings, range(1, 65) t(i) group by all) group by label, half)
+    select vec_id, k::bigint as k, round(min(sqrt(list_sum(list_transform(list_zip(embedding::double[], c), lambda z: pow(z[1] - z[2], 2))))), 4) + 0.0 as distance from embeddings, c group by all""",
+)
+def kmeans_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to the nearer of two remembered places of each cluster."""
+    points = cross_section(spark, sf_dir)
+    items = points.select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode("features").alias("i", "v")).groupBy("label", "half", "i").agg(F.avg("v").alias("v"))
+    places = items.groupBy(F.col("label").alias("k"), "half").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centre"))
+    found = summaries.centroid_distances(points.drop("label"), places)
+    return found.select("vec_id", F.col("k").cast("long").alias("k"), (F.round("distance", 4) + 0.0).alias("distance"))
+
+
 @query(
     "silhouette",
     """with v as (select vec_id, label::bigint as label, embedding::double[] as e from embeddings),
@@ -474,6 +519,18 @@ def cluster_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
+@query(
+    "cluster_crosstab",
+    f"""with l as (select e.event_type, least(p.n, 3)::bigint as label from events e join ({EVENTS}) p on p.user_id = e.user_id and p.day = date_trunc('day', e.ts)::date)
+    select label, {", ".join(f"count(*) filter (where event_type = '{e}') as {e}" for e in EVENT_TYPES)} from l group by label""",
+)
+def cluster_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of users by day against the types of their events."""
+    labels = sized(spark, sf_dir).withColumnRenamed("period", "day")
+    events = _table(spark, sf_dir, "events").select("event_type", F.date_trunc("day", "ts").cast("date").alias("day"), F.col("user_id").cast("string").alias("entity"))
+    return summaries.crosstab(events.join(labels, ["day", "entity"]), "label", "event_type", EVENT_TYPES)
+
+
 @query(
     "labels_frame",
     "with l as (select date_trunc('day', ts)::date as period, event_type as entity, count(*) % 4 as label from events group by all) select period, "

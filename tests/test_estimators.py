@@ -45,3 +45,12 @@ def test_panel_models(spark):
     em = RollingEmbedding(["g"], "period", "entity", names, n_components=2).fit(rows)
     assert em.embeddings_.count() == 240 and em.disparity_.count() == 8 and em.displacement_.count() == 240
     assert em.trajectory("e0003").count() == 8 and em.embedding_frame(2).count() == 30
+
+
+def test_predictions_keep_repeated_rows(spark):
+    rows = simulate.drifting_blobs(spark, 3, 20, seed=3).withColumn("g", F.lit("x"))
+    km = RollingKMeans(["g"], "period", "entity", ["f0", "f1"], n_clusters=3, centroid_memory=2).fit(rows)
+    last = rows.where("period = 2").select("g", "entity", "f0", "f1")
+    assert km.predict(last.unionByName(last)).count() == 40 and km.transform(last.unionByName(last)).count() == 120
+    with pytest.raises(ValueError):
+        km.transform(last.withColumn("distance", F.lit(1)))

@@ -258,3 +258,22 @@ def test_selection_rows():
     assert rows[2]["bic"] < rows[1]["bic"] and rows[1]["n_params"] == 9
     with pytest.raises(ValueError):
         hmm.selection_row(x[:3], 2, 1e-6, 0.02, 10, 1e-8)
+
+
+@pytest.mark.parametrize("corr", [False, True])
+def test_subspace_windows_agree_with_exact_ones(corr):
+    random = np.random.default_rng(6)
+    x = random.normal(size=(260, 4)) @ random.normal(size=(4, 70)) * [3.0] + 0.3 * random.normal(size=(260, 70)) + 50
+    ends = np.r_[np.arange(99, 180), np.arange(200, 260)]  # with a gap
+    exact = moments.flat_windows(x[None], ends, 100, 3, corr, 1, refresh_every=7)
+    warm = moments.flat_windows(x[None], ends, 100, 3, corr, 1, refresh_every=50, tol=1e-9)
+    assert np.allclose(exact[0], warm[0], rtol=1e-6) and np.allclose(exact[3], warm[3]) and np.allclose(exact[2], warm[2])
+    cosines = np.abs(np.einsum("tdp,tdp->tp", exact[1], warm[1]))
+    assert cosines.min() > 1 - 1e-6
+    assert np.allclose(exact[0], moments.flat_windows(x[None], ends, 100, 3, corr, 1, refresh_every=1)[0])
+
+
+def test_pieces_hold_bounded_matrices():
+    runs = moments.pieces(np.r_[np.arange(10), np.arange(20, 30)], 1000, 1024)
+    assert max(map(len, runs)) == moments.ENTRIES // 1000**2 and sum(map(len, runs)) == 20
+    assert all((np.diff(np.r_[np.arange(10), np.arange(20, 30)][r]) == 1).all() for r in runs)

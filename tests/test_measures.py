@@ -165,3 +165,25 @@ def test_custom_measures(spark):
     own = {"median": ms.Measure(lambda: F.expr("percentile(r, 0.5)")), "cagr": ms.MEASURES["cagr"]}
     values = Scorecard(own, ppy=12).values(frame(spark, a=[0.1, 0.3, 0.2]), frame(spark, t=[0.1, 0.1, 0.1]).select("ts", "ret"))
     assert {r["measure"]: round(r["score"], 6) for r in values.collect()}["median"] == 1.0
+
+
+def test_ranks_over_ranges_are_those_of_one_window(spark):
+    from evenkeel.operators.scorecard import ranked
+
+    rows = [(f"a{i}", None if i % 11 == 0 else float(i * 37 % 50)) for i in range(700)]
+    got = {r["asset"]: r["rank"] for r in ranked(spark.createDataFrame(rows, "asset string, x double").repartition(3), "x", "asset").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {a: i + 1 for i, (a, _) in enumerate(want)}
+    assert ranked(spark.createDataFrame([], "asset string, x double"), "x", "asset").count() == 0
+    assert {r["rank"] for r in ranked(spark.createDataFrame([("b", None), ("a", None)], "asset string, x double"), "x", "asset").collect()} == {1, 2}
+
+
+def test_comparison_checks_its_times(spark):
+    from evenkeel.operators.scorecard import Scorecard
+
+    returns = spark.createDataFrame([("a", t, 0.01 * t) for t in range(1, 6)], "series string, ts int, ret double")
+    target = returns.select("ts", "ret")
+    Scorecard().compare(returns, target, names=["a"])
+    for bad in ({"target": target.where("ts < 4")}, {"target": target.unionByName(target)}, {"names": ["b"]}):
+        with pytest.raises(ValueError):
+            Scorecard().compare(**({"returns": returns, "target": target} | bad))
