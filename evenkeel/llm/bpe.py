@@ -2,7 +2,9 @@
 
 The rank file maps byte strings to ids. ``encoder`` turns it into a ``tokenizers`` model: bytes become printable
 characters by the byte table, and the merge list is recovered from the ranks (the two parts of a token are what is
-left of it when only lower ranks may merge). ``ByteDecoder`` reverses the byte table; characters whose bytes are
+left of it when only lower ranks may merge). Texts are cut into pre-tokens by the pattern; the library encodes each
+distinct one once, as long as ``Pieces`` remembers it. Where offsets are asked for, it encodes whole texts.
+``ByteDecoder`` reverses the byte table; characters whose bytes are
 split over tokens come out whole because bytes are joined before they are decoded.
 
 Defined cases: a null text is an empty text; no tokens give an empty list; a null id column stays null; repeated rows
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that one call of the library gets; bounds the memory of its results.
 SLICE_CHARS = 1 << 20
+#: Pre-tokens that are remembered, and the length up to which they are.
+REMEMBERED, LENGTH = 1 << 19, 64
 
 TYPES = {
     "n_tokens": T.LongType(),
@@ -86,6 +92,39 @@ def encoder(path: str, pattern: str):
     return out
 
 
+class Pieces:
+    """Texts to ids, pre-token by pre-token: a piece is encoded by the library's model without any further splitting."""
+
+    def __init__(self, model, pattern: str, most: int = REMEMBERED) -> None:
+        import regex
+
+        self.split, self.model = regex.compile(pattern).findall, model
+        self.shown = dict(enumerate(byte_characters()))
+        self.known: dict[str, bytes] = {}
+        self.most = most
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        cut = list(map(self.split, texts))
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set(chain.from_iterable(cut))
+        for piece in new:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+            self.known[piece] = array("I", [t.id for t in tokens]).tobytes()
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for piece in new:
+            if len(piece) > LENGTH:
+                del self.known[piece]
+        return out
+
+
+@lru_cache(maxsize=4)
+def pieces(path: str, pattern: str) -> Pieces:
+    return Pieces(encoder(path, pattern).model, pattern)
+
+
 class ByteDecoder:
     """ids → bytes by the model's own vocabulary, read through the reversed byte table."""
 
@@ -98,7 +137,7 @@ class ByteDecoder:
         self.tokens = tokens
 
     def bytes(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def pieces(self, ids) -> Iterator[str]:
         """Text as ids arrive; the bytes of a character that isn't complete wait for the next id."""
@@ -147,27 +186,30 @@ def encode(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, back = encoder(path, pattern), decoder(path, pattern)
+        model, cut, back = encoder(path, pattern), pieces(path, pattern), decoder(path, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for start, end in slices(texts):
                 found: dict[str, list] = {o: [] for o in outputs}
-                call = model.encode_batch if "offsets" in outputs else model.encode_batch_fast
-                for one in call(texts[start:end], add_special_tokens=False):
-                    ids = one.ids
+                if "offsets" in outputs:
+                    ones = model.encode_batch(texts[start:end], add_special_tokens=False)
+                    found["offsets"] = [[a for a, _ in one.offsets] for one in ones]
+                    packed = [array("I", one.ids).tobytes() for one in ones]
+                else:
+                    packed = cut.encoded(texts[start:end])
+                for data in packed:
+                    ids = np.frombuffer(data, "<u4")
                     whole = back.bytes(ids) if decodes else b""
                     for o, values in found.items():
                         if o == "n_tokens":
                             values.append(len(ids))
                         elif o == "ids":
                             values.append(ids)
-                        elif o == "offsets":
-                            values.append([a for a, _ in one.offsets])
                         elif o == "decoded":
                             values.append(whole)
                         elif o == "ids_sha256":
-                            values.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-                        else:
+                            values.append(hashlib.sha256(data).hexdigest())
+                        elif o == "decoded_sha256":
                             values.append(hashlib.sha256(whole).hexdigest())
                 arrays = [pa.array(found[o], kinds.get(o, pa.string())) for o in outputs]
                 yield pa.RecordBatch.from_arrays([keys.slice(start, end - start), *arrays], names=[id_col, *outputs])

@@ -131,3 +131,38 @@ def test_shards_hold_every_token_once_and_resume(spark, reference):
 def test_no_documents_no_shards(spark):
     _, manifest, total = training_order.materialise(table(spark, ["a"]).where("false"), "text", RANKS, PATTERN, length=8)
     assert total == 0 and manifest.count() == 0
+
+
+def test_every_code_point_is_cut_as_the_rank_library_cuts():
+    import numpy as np
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rank_library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}{c}1" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    own = bpe.Pieces(bpe.encoder(path, public_tokenizers.PATTERN).model, public_tokenizers.PATTERN)
+    for text, data in zip(texts, own.encoded(texts), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == rank_library.encode_ordinary(text)
+
+
+def test_pieces_forget_what_is_too_much_or_too_long():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    model = bpe.encoder(path, public_tokenizers.PATTERN).model
+    few, many = bpe.Pieces(model, public_tokenizers.PATTERN, 50), bpe.Pieces(model, public_tokenizers.PATTERN)
+    texts = [f"word{i} {i * i} " + "x" * (i % 90) for i in range(400)]
+    for i in range(0, 400, 7):
+        assert few.encoded(texts[i : i + 7]) == many.encoded(texts[i : i + 7])
+        assert len(few.known) <= 50 + 7 * 6 and max(map(len, many.known)) <= bpe.LENGTH
+
+
+def test_texts_longer_than_a_slice(spark):
+    import hashlib
+
+    text = "some words, and ümläuts 123  \n" * (bpe.SLICE_CHARS // 25)
+    df = spark.createDataFrame([(1, text), (2, text[:10]), (3, None)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = {r["doc_id"]: r for r in bpe.encode(df, "doc_id", "text", path, public_tokenizers.PATTERN, ("n_tokens", "decoded_sha256")).collect()}
+    assert found[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and found[3]["n_tokens"] == 0
+    counted = token_counts.count_tokens(df, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"]: r["n_bytes"] for r in counted} == {1: len(text.encode()), 2: 10, 3: 0}
