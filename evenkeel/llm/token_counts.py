@@ -6,6 +6,7 @@ follows such a place depends on the text after it only; and a chunk's own pre-to
 as its end is further away than any look-ahead and than the longest special string. If the overlap holds no common
 boundary, it is widened (in the end to the rest of the document), never guessed.
 
+Whole documents are counted by pre-tokens too: the library encodes each distinct one once, as long as it is remembered.
 The proof needs a byte-level pre-tokenizer without a normaliser. Other ``.json`` tokenizers and ``.model`` files encode
 every document whole.
 
@@ -24,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.llm.bpe import Pieces as Remembered
 from evenkeel.llm.bpe import slices
 
 #: Characters of a chunk, of the first overlap, and the look-ahead of the pre-token pattern (a contraction of three characters).
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_AHEAD = 1 << 15, 1 << 8, 4
+#: Fixed value: the pattern by which a byte-level pre-tokenizer cuts texts.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Json:
@@ -47,10 +51,15 @@ class Json:
             and not pre.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         )
+        self.special = [t["content"] for t in added]
+        self.cut = Remembered(self.model.model, BYTE_LEVEL) if self.splits and pre.get("use_regex", True) else None
         self.margin = LOOK_AHEAD + max((len(t["content"]) for t in added), default=0)
 
     def many(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self.cut is not None and not any(s in t for s in self.special) for t in texts]
+        own = iter(self.cut.encoded([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        rest = iter(self.model.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [len(next(own)) // 4 if p else len(next(rest).ids) for p in plain]
 
     def starts(self, text: str) -> tuple[list[int], list[int]]:
         """Where pre-tokens start, and how many tokens come before each. A special token starts one too."""
