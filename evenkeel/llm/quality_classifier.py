@@ -1,13 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network, calibrated.
 
 Random indexing: every word has a fixed sparse random index vector; a word's vector is the sum of the index vectors of
-its neighbours. Words are hashed to a table of fixed size, so the model is a few megabytes whatever the corpus is. A
+its neighbours, over all documents: tasks add up their own, Spark adds up the tasks'. Sums are whole numbers, so that the
+order doesn't matter. Words are hashed to a table of fixed size, so the model is a few megabytes whatever the corpus is. A
 document is the mean of its words' vectors, with a few shares of marks (capitals, repetitions, symbols) that are words
 of their own. The network's probabilities are calibrated by a temperature fitted on a part of the labelled sample that
 it didn't learn from.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` documents, the least hashes of their ids, and of
-those up to ``SAMPLE_CHARS`` characters of whole texts); every document is scored over its whole text.
+The network is fitted on a bounded sample of labelled rows: ``most`` documents with the least hashes of their ids, and of
+these, in that order, whole texts as long as they fit into ``most_chars`` characters together (a text that doesn't fit is
+left out, those after it are not). Every document is scored over its whole text.
 
 Defined cases: null and empty texts are documents without words and get a probability too; several labels of an id
 count as the highest; without labels of both classes every score is the share of label 1 (one half without any); other
@@ -23,15 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents and characters of the sample that the model is fitted on.
+#: Documents and characters of the sample that the network is fitted on, unless told otherwise.
 SAMPLE, SAMPLE_CHARS = 6000, 40_000_000
 #: Score from which a document counts as good.
 CUT = 0.3
 BUCKETS, SIZE, HIDDEN, NEAR, SEED = 1 << 14, 48, 24, 2, 20
+#: Tokens whose neighbours are added up at a time.
+TOKENS = 1 << 20
 MARKS = ("<capitals>", "<again>", "<symbols>", "<digits>", "<line>", "<long>")
 TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -61,55 +66,83 @@ class Buckets(dict):
 def indices(text: str, buckets: Buckets) -> np.ndarray:
     """Buckets of a text's words in order, marks after the word they belong to."""
     out: list[int] = []
-    last = None
+    extend, last = out.extend, None
     for token in TOKEN.findall(text):
-        out.extend(buckets[token])
+        extend(buckets[token])
         if token == last:
             out.append(1)
         last = token
     return np.array(out, np.int32)
 
 
+def index_entries(size: int = SIZE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the four entries of every sparse random vector."""
+    random = np.random.default_rng(seed)
+    drawn = [(random.integers(0, size, BUCKETS), random.choice(np.array([-1, 1], np.float32), BUCKETS)) for _ in range(4)]
+    return np.stack([at for at, _ in drawn], axis=1).astype(np.int32), np.stack([sign for _, sign in drawn], axis=1)
+
+
 def index_vectors(size: int = SIZE, seed: int = SEED) -> np.ndarray:
     """Sparse random vectors: four entries of +1 or -1 in each."""
-    random = np.random.default_rng(seed)
+    at, sign = index_entries(size, seed)
     out = np.zeros((BUCKETS, size), np.float32)
-    rows = np.arange(BUCKETS)
-    for _ in range(4):
-        out[rows, random.integers(0, size, BUCKETS)] += random.choice(np.array([-1, 1], np.float32), BUCKETS)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], at), sign)
     return out
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Sums of the neighbours' index vectors, on a logarithmic scale of counts and of unit length."""
-    index = index_vectors()
-    out = np.zeros_like(index)
-    pieces, held = [], 0
+class Contexts:
+    """Sums of the neighbours' index vectors of every bucket."""
+
+    def __init__(self) -> None:
+        self.at, self.sign = index_entries()
+        self.sums = np.zeros(BUCKETS * SIZE)  # whole numbers
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, at: np.ndarray) -> None:
+        self.held.append(at)
+        self.size += len(at)
+        if self.size > TOKENS:
+            self.reduce()
 
-    def learn(pieces: list[np.ndarray]) -> None:
-        seq = np.concatenate(pieces)
-        doc = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    def reduce(self) -> None:
+        if not self.size:
+            return
+        seq, doc = np.concatenate(self.held), np.repeat(np.arange(len(self.held)), [len(x) for x in self.held])
+        self.held, self.size = [], 0
         for off in range(1, NEAR + 1):
-            same = doc[off:] == doc[:-off]
-            for a, b in ((seq[:-off][same], seq[off:][same]), (seq[off:][same], seq[:-off][same])):
-                pair, times = np.unique(a.astype(np.int64) * BUCKETS + b, return_counts=True)
-                word, near = pair // BUCKETS, pair % BUCKETS
-                for i in range(0, len(pair), 1 << 18):
-                    at = slice(i, i + (1 << 18))
-                    starts = np.flatnonzero(np.r_[True, word[at][1:] != word[at][:-1]])
-                    out[word[at][starts]] += np.add.reduceat(index[near[at]] * times[at, None].astype(np.float32), starts)
-
-    for piece in texts:
-        pieces.append(piece)
-        held += len(piece)
-        if held > 1 << 21:
-            learn(pieces)
-            pieces, held = [], 0
-    if pieces:
-        learn(pieces)
-    length = np.linalg.norm(out, axis=1, keepdims=True)
+            together = np.flatnonzero(doc[off:] == doc[:-off])
+            left, right = seq[together], seq[together + off]
+            for word, near in ((left, right), (right, left)):
+                first = word * SIZE
+                for j in range(4):
+                    self.sums += np.bincount(first + self.at[near, j], self.sign[near, j], BUCKETS * SIZE)
+
+
+def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Vectors of unit length of all buckets, learnt from the texts of all ``docs``."""
+    names = [f"v{i}" for i in range(SIZE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, buckets = Contexts(), Buckets()
+        for batch in batches:
+            for text in batch.column(0):
+                contexts.add(indices(text.as_py(), buckets))
+        contexts.reduce()
+        sums = contexts.sums.reshape(BUCKETS, SIZE)
+        at = np.flatnonzero(sums.any(axis=1))
+        for i in range(0, len(at), 1024):
+            part = at[i : i + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, sums[part].astype(np.int64).T)], names=["bucket", *names])
+
+    texts = docs.select(F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    found = texts.mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    found = found.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # BUCKETS rows at most
+    sums = np.zeros((BUCKETS, SIZE))
+    sums[found["bucket"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
     # a bucket that was never seen is its index vector: still a fixed point of its own
-    return np.where(length > 0, out / np.maximum(length, 1e-9), index / 2).astype(np.float32)
+    return np.where(length > 0, sums / np.maximum(length, 1e-9), index_vectors() / 2).astype(np.float32)
 
 
 def pooled(at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -163,13 +196,12 @@ def _network(x: np.ndarray, y: np.ndarray, rounds: int = 60, batch: int = 128) -
     return p[0], p[1], p[2], float(p[3])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """The model of labelled texts, in an order that doesn't depend on how they came."""
+def fit(texts: list[str], labels: list[int], vectors: np.ndarray) -> Model:
+    """The model of labelled texts and word vectors, in an order that doesn't depend on how the texts came."""
     buckets = Buckets()
     rows = sorted(zip(texts, labels, strict=True), key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[1]))
     at = [indices(text, buckets) for text, _ in rows]
     y = np.array([label for _, label in rows], float)
-    vectors = word_vectors(at)
     x = np.stack([pooled(a, vectors) for a in at]) if rows else np.zeros((0, SIZE + len(MARKS) + 2), np.float32)
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
@@ -189,16 +221,17 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """Whole texts and labels of a bounded sample: the rows with the least hashes of their ids."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
     texts, found, held = [], [], 0
-    for row in rows.orderBy(F.xxhash64(id_col), id_col, "_text").limit(SAMPLE).select("_text", "_label").toLocalIterator():
+    rows = rows.where(F.length("_text") <= most_chars).orderBy(F.xxhash64(id_col), id_col, "_text").limit(most)
+    for row in rows.select("_text", "_label").toLocalIterator():
+        if held + len(row["_text"]) > most_chars:
+            continue
         held += len(row["_text"])
-        if held > SAMPLE_CHARS:
-            break
         texts.append(row["_text"])
         found.append(int(row["_label"]))
     return texts, found
@@ -225,5 +258,6 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return docs.select(F.col(id_col), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None) -> Model:
-    return fit(*sample(docs, labels, id_col, text_col, label_col, F.lit(True) if learn is None else learn))
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
+    found = sample(docs, labels, id_col, text_col, label_col, F.lit(True) if learn is None else learn, most, most_chars)
+    return fit(*found, word_vectors(docs, text_col))

@@ -312,3 +312,29 @@ def test_classifier_without_labels(spark):
     model = quality_classifier.trained(d, none)
     assert [r["score"] for r in quality_classifier.score(d, model, "doc_id", "text").collect()] == [0.5] * 5
     assert quality_classifier.score(d.where("false"), model, "doc_id", "text").count() == 0
+
+
+def test_word_vectors_are_sums_over_all_documents(spark):
+    texts = ["One two two three, four.", None, "", "five", "two one one one one", "a b\nc d e f g " * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    index = quality_classifier.index_vectors().astype(float)
+    sums = np.zeros_like(index)
+    for t in texts:
+        at = quality_classifier.indices(t or "", quality_classifier.Buckets())
+        for i, a in enumerate(at):
+            for j in range(max(0, i - quality_classifier.NEAR), min(len(at), i + quality_classifier.NEAR + 1)):
+                if j != i:
+                    sums[a] += index[at[j]]
+    got = quality_classifier.word_vectors(df, "text")
+    seen = sums.any(axis=1)
+    assert np.allclose(got[seen], sums[seen] / np.linalg.norm(sums[seen], axis=1, keepdims=True), atol=1e-6)
+    assert np.allclose(got[~seen], index[~seen] / 2)
+    assert quality_classifier.word_vectors(df.where("false"), "text").shape == index.shape
+
+
+def test_a_huge_text_does_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x " * (5000 if i == 3 else 20)) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    texts, found = quality_classifier.sample(docs, labels, "doc_id", "text", "quality", F.lit(True), most=6, most_chars=120)
+    assert len(texts) == 3 and all(len(t) == 40 for t in texts)
+    assert len(quality_classifier.sample(docs, labels, "doc_id", "text", "quality", F.lit(True), most_chars=400)[0]) == 7
