@@ -324,8 +324,10 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: in an order common to all,
     sets this similar share one of their first shingles, whatever the edit. Common shingles come last, so few texts
-    that are not similar meet. A sketch of each set tells what those that meet can have in common at most; most pairs
-    that are not similar go by that, the others are verified by their exact similarity: first neighbours, then all that
+    that are not similar meet. Of the smaller set fewer of the first shingles count, and what comes before a shingle in
+    both sets bounds what they can share from there on; both hold at the first shingle that two similar sets share. A
+    sketch of each set tells what those that meet can have in common at most; most pairs that are not similar go by that,
+    the others are verified by their exact similarity: first neighbours and what is central to a shingle, then all that
     meet and are not yet in one component. Equal sets are one node, named by its hash. Rows without an id are not linked;
     if no row of a component has one, its id is null.
     """
@@ -345,31 +347,46 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, rows_path = written(source.mapInArrow(run, schema), "prefixes")
     own = rows.where(F.col(id_col).isNotNull())
     nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    placed = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
-    by_size = Window.partitionBy("shingle").orderBy("n", "node")
-    placed = placed.select("shingle", "node", "n", F.lag("node").over(by_size).alias("before"), F.lag("n").over(by_size).alias("n_before"), F.lead("node").over(by_size).alias("after"))
-    shared, shared_path = written(placed.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    share = similarity / (1 + similarity)  # of both sizes together
+    placed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    placed = placed.withColumn("early", F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9))
+    by_shingle = Window.partitionBy("shingle")
+    by_size = by_shingle.orderBy("n", "node")
+    before = [F.lag(c).over(by_size).alias(f"{c}_before") for c in ("node", "n", "at", "early")]
+    placed = placed.select("shingle", "node", "n", "at", "early", *before, F.count(F.lit(1)).over(by_shingle).alias("meet"), F.max("early").over(by_shingle).alias("any"))
+    shared, shared_path = written(placed.where("meet > 1 and any").drop("meet", "any"), "shared-shingles")
     meeting = shared.select("node").distinct()
     sketches, sketches_path = written(own.join(meeting, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     rows, _ = written(rows.select(id_col, "node"), "node-ids")
     remove(spark, rows_path)
     release(spark)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
-    by_hash = Window.partitionBy("shingle").orderBy(F.xxhash64("node"), "node")
-    mixed = shared.select("node", "n", F.lag("node").over(by_hash).alias("before"), F.lag("n").over(by_hash).alias("n_before"))
-    neighbours = shared.select("node", "n", "before", "n_before").unionByName(mixed).where(F.col("before").isNotNull() & near_size("n", "n_before"))
-    pairs, pairs_path = written(neighbours.select(*pair("node", "before")).distinct(), "neighbours")
+
+    def may_share(one: str, other: str) -> Column:
+        """Whether two rows of a shingle, ``one`` of the set that isn't larger, can be those of the first that is shared."""
+        n, m, at, to = F.col(f"n{one}"), F.col(f"n{other}"), F.col(f"at{one}"), F.col(f"at{other}")
+        return F.col(f"early{one}") & (F.least(n - at, m - to) >= F.ceil(share * (n + m) - 1e-9))
+
+    by_hash = by_shingle.orderBy(F.xxhash64("node"), "node")
+    facts = ("node", "n", "at", "early")
+    mixed = shared.select(*facts, *(F.lag(c).over(by_hash).alias(f"{c}_before") for c in facts))
+    # the set with the least before the shingle: if the others are copies with changes, it is what they are copies of
+    centre = F.first(F.struct(*facts)).over(by_shingle.orderBy("at", "n", "node"))
+    central = shared.select(*facts, centre.alias("c")).select(*facts, *(F.col("c")[c].alias(f"{c}_before") for c in facts)).where("node <> node_before")
+    neighbours = shared.drop("shingle").unionByName(mixed).unionByName(central).where("node_before is not null")
+    smaller, larger = F.col("n_before") <= F.col("n"), F.col("n") <= F.col("n_before")
+    neighbours = neighbours.where(smaller & may_share("_before", "") | larger & may_share("", "_before"))
+    pairs, pairs_path = written(neighbours.select(*pair("node", "node_before")).distinct(), "neighbours")
     near = _verified(written(_possible(pairs, sketches, similarity), "possible")[0], source, shingle, similarity)
     roots = components(near)
     release(spark)
     # all others that meet, unless they are in one component already
-    at = shared.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    at = shared.select("shingle", "node", "n", "at", "early").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("any")).where("low < high and any").select("shingle")
     at, at_path = written(at.join(several, "shingle", "left_semi"), "open-shingles")
-    to = at.select("shingle", F.col("node").alias("to"), F.col("n").alias("n_to"), F.col("root").alias("root_to"))
-    others = at.join(to, "shingle").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("root_to")) & near_size("n", "n_to"))
-    others, others_path = written(others.select(*pair("node", "to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
+    to = at.select("shingle", *(F.col(c).alias(f"{c}_to") for c in ("node", "n", "at", "root")))
+    others = at.where("early").join(to, "shingle").where((F.col("n") <= F.col("n_to")) & (F.col("root") != F.col("root_to")) & may_share("", "_to"))
+    others, others_path = written(others.select(*pair("node", "node_to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
     more = _verified(written(_possible(others, sketches, similarity), "possible")[0], source, shingle, similarity)
     if not more.isEmpty():
         roots = components(near.unionByName(more))
