@@ -277,15 +277,6 @@ def period_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ends.select("user_id", "day", "mean"), ["mean"])
 
 
-def wide_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Days by event types: mean values. A dense feature matrix."""
-    events = _table(spark, sf_dir, "events")
-    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    days = events.groupBy(F.date_trunc("day", "ts").cast("date").alias("ts"), "event_type").agg(F.avg("value").alias("v"))
-    wide = pivoted(days, "ts", "event_type", "v", names)
-    return wide.select(F.lit("all").alias("g"), "ts", *(F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names))), [f"f{i}" for i in range(len(names))]
-
-
 @query("exposure", f"with {RETURNS} select series, ts, round(case when before is not null then least(greatest(0.35 + 0.65 * before, 0), 1) end, 6) + 0.0 as exposure from (select *, lag(abs(r)) over (partition by series order by ts) as before from rr)", dates=["ts"])
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flags(spark, sf_dir)
@@ -378,32 +369,80 @@ def pca_variable_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.rolling_pca(rows, ["g"], "ts", names, window=20, n_components=2).select("ts", "valid", "eigenvalues", "similarity", "projections", "n_flips", "n_reorders")
 
 
-@query("pca_steps")
+def day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's number of events and their mean value."""
+    days = _table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("date").alias("ts"))
+    return days.agg(F.count(F.lit(1)).cast("double").alias("a"), F.avg("value").alias("b")).withColumn("g", F.lit("all"))
+
+
+def flattened(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Steps of two components of two features as plain columns."""
+    one = lambda c, i: F.get(c, i)
+    found = {"e1": one("eigenvalues", 0), "e2": one("eigenvalues", 1), "share": one("explained_variance_ratio", 0), "s1": one("similarity", 0), "s2": one("similarity", 1)}
+    found |= {f"c{i + 1}{j + 1}": one(one("components", i), j) for i in range(2) for j in range(2)} | {"p1": one("projections", 0), "p2": one("projections", 1)}
+    return rounded(steps.select(*keys, *(v.alias(k) for k, v in found.items()), "n_reorders"), list(found))
+
+
+def aligned_sql(moments: str, first: int) -> str:
+    """Eigenpairs of two rows in closed form, and the chain of alignments; ``moments`` gives ``mo (k, ts, x, y, c)``."""
+    plus = lambda x, y: f"case when (case when abs({x}) >= abs({y}) then {x} else {y} end) < 0 then -1 else 1 end"
+    return f"""{moments},
+ev as (select *, (x + y) / 2 + sqrt(pow((x - y) / 2, 2) + c * c) as l1, (x + y) / 2 - sqrt(pow((x - y) / 2, 2) + c * c) as l2, cos(atan2(2 * c, x - y) / 2) as ux, sin(atan2(2 * c, x - y) / 2) as uy from mo where k >= {first}),
+al as (select k, ts, l1, l2, ux * {plus("ux", "uy")} as px, uy * {plus("ux", "uy")} as py, -uy * {plus("-uy", "ux")} as qx, ux * {plus("-uy", "ux")} as qy, null::double as s1, null::double as s2, 0::bigint as n_reorders from ev where k = {first}
+  union all select k, ts, case when keep then l1 else l2 end, case when keep then l2 else l1 end,
+    case when keep then ux * sign(au) else -uy * sign(aw) end, case when keep then uy * sign(au) else ux * sign(aw) end,
+    case when keep then -uy * sign(bw) else ux * sign(bu) end, case when keep then ux * sign(bw) else uy * sign(bu) end,
+    abs(case when keep then au else aw end), abs(case when keep then bw else bu end), case when keep then 0 else 2 end
+  from (select *, abs(au) + abs(bw) >= abs(aw) + abs(bu) as keep from (select ev.*, px * ux + py * uy as au, py * ux - px * uy as aw, qx * ux + qy * uy as bu, qy * ux - qx * uy as bw from al join ev on ev.k = al.k + 1)))
+"""
+
+
+ALIGNED = ", ".join(r_sql(e, n) for e, n in (("l1", "e1"), ("l2", "e2"), ("l1 / (l1 + l2)", "share"), ("s1", "s1"), ("s2", "s2"), ("px", "c11"), ("py", "c12"), ("qx", "c21"), ("qy", "c22")))
+SEEN = ", ".join(r_sql(f"(a - ma) * {c}x + (b - mb) * {c}y", n) for c, n in (("p", "p1"), ("q", "p2")))
+DAY_FEATURES = "d as (select date_trunc('day', ts)::date as ts, count(*)::double as a, avg(value) as b from events group by 1)"
+FLAT = f"""with recursive {DAY_FEATURES},
+mo as (select ts, a, b, row_number() over (order by ts) as k, avg(a) over w as ma, avg(b) over w as mb, var_samp(a) over w as x, var_samp(b) over w as y, covar_samp(a, b) over w as c from d window w as (order by ts rows 9 preceding))"""
+
+
+@query("pca_steps", aligned_sql(FLAT, 10) + f"select mo.ts, {ALIGNED}, {SEEN}, coalesce(n_reorders, 0) as n_reorders from mo left join al using (k)", dates=["ts"])
 def pca_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = wide_events(spark, sf_dir)
-    return models.rolling_pca(rows, ["g"], "ts", names, window=10, n_components=3).drop("g")
+    return flattened(models.rolling_pca(day_features(spark, sf_dir), ["g"], "ts", ["a", "b"], window=10, n_components=2), ["ts"])
 
 
-@query("pca_exponential")
+@query(
+    "pca_exponential",
+    aligned_sql(f"""with recursive {DAY_FEATURES}, n as (select *, row_number() over (order by ts) as k from d),
+    sm as (select i.k, i.ts, i.a, i.b, sum(w) as sw, sum(w * j.a) as sa, sum(w * j.b) as sb, sum(w * j.a * j.a) as saa, sum(w * j.b * j.b) as sbb, sum(w * j.a * j.b) as sab
+      from n i join n j on j.k <= i.k, lateral (select pow(0.5::double, (i.k - j.k) / 6.0::double) as w) group by all),
+    mo as (select k, ts, a, b, sa / sw as ma, sb / sw as mb, saa / sw - pow(sa / sw, 2) as x, sbb / sw - pow(sb / sw, 2) as y, sab / sw - sa / sw * sb / sw as c from sm)""", 8)
+    + f"select mo.ts, {ALIGNED}, {SEEN}, coalesce(n_reorders, 0) as n_reorders from mo left join al using (k)", dates=["ts"])
 def pca_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = wide_events(spark, sf_dir)
-    return models.rolling_pca(rows, ["g"], "ts", names, window=8, n_components=2, halflife=6.0).drop("g")
+    return flattened(models.rolling_pca(day_features(spark, sf_dir), ["g"], "ts", ["a", "b"], window=8, n_components=2, halflife=6.0), ["ts"])
 
 
-@query("pca_panel")
+@query(
+    "pca_panel",
+    aligned_sql("""with recursive d as (select event_type as item, date_trunc('day', ts)::date as ts, avg(value) as a, stddev_pop(value) as b from events group by all),
+    it as (select item, ts, a, b, row_number() over (partition by item order by ts) as k, avg(a) over w as ma, avg(b) over w as mb, var_samp(a) over w as vx, var_samp(b) over w as vy, covar_samp(a, b) over w as vc
+      from d window w as (partition by item order by ts rows 9 preceding)),
+    mo as (select k, ts, avg(vx) as x, avg(vy) as y, avg(vc) as c from it group by all)""", 10)
+    + f"select it.item, it.ts, {ALIGNED}, {SEEN}, n_reorders from it join al using (k)", dates=["ts"])
 def pca_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    rows = events.groupBy(F.lit("all").alias("g"), "event_type", F.date_trunc("day", "ts").cast("date").alias("ts")).agg(
-        F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.max("value").alias("c")
-    )
-    return models.panel_pca(rows, ["g"], "event_type", "ts", ["a", "b", "c"], window=10, n_components=2).drop("g")
+    rows = events.groupBy(F.lit("all").alias("g"), "event_type", F.date_trunc("day", "ts").cast("date").alias("ts")).agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"))
+    return flattened(models.panel_pca(rows, ["g"], "event_type", "ts", ["a", "b"], window=10, n_components=2), ["item", "ts"])
 
 
-@query("pca_project")
+@query(
+    "pca_project",
+    aligned_sql(FLAT, 10) + f""", la as (select px, py, qx, qy, ma, mb from al join mo using (k) order by k desc limit 1)
+    select ts, {SEEN} from d cross join la""", dates=["ts"])
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = wide_events(spark, sf_dir)
-    steps = models.rolling_pca(rows, ["g"], "ts", names, window=10, n_components=2)
-    return models.project(steps, rows, ["g"], names).select("ts", "projections")
+    """All days on the last day's basis."""
+    rows = day_features(spark, sf_dir)
+    steps = models.rolling_pca(rows, ["g"], "ts", ["a", "b"], window=10, n_components=2)
+    found = models.project(steps, rows, ["g"], ["a", "b"])
+    return rounded(found.select("ts", F.get("projections", 0).alias("p1"), F.get("projections", 1).alias("p2")), ["p1", "p2"])
 
 
 # clusters
