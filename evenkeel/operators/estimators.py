@@ -1,8 +1,8 @@
 """The models as objects: parameters, ``fit`` on a DataFrame, results as DataFrames.
 
-Results are lazy. ``update`` gives the steps of further rows as a continued fit has them, by running the kernels over
-history and new rows together; a service that must not keep history uses ``evenkeel.streaming.updates`` instead, which
-continues from state. ``cache`` the result where several accessors are read.
+Results are lazy, and kept by Spark once they are made, together with the state that each group is left in. ``update``
+goes on from there: its cost is that of the new rows, however long the history is (only exponentially weighted PCA is
+fitted again). ``release`` lets go of what is kept. A service uses ``evenkeel.streaming.updates``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ class _Model:
         self.group, self.feature_names_in_ = list(group), list(features)
         self._rows: DataFrame | None = None
         self._result: DataFrame | None = None
+        self._states: DataFrame | None = None
+        self._kept: list[DataFrame] = []
 
     def _fitted(self) -> DataFrame:
         if self._result is None:
@@ -33,19 +35,37 @@ class _Model:
             raise ValueError(f"columns are missing: {missing}")
         return df.select(*self._needed())
 
+    def _keep(self, steps: DataFrame) -> DataFrame:
+        steps = steps.persist()
+        self._kept.append(steps)
+        return steps
+
     def fit(self, df: DataFrame):
+        self.release()
         self._rows = self._columns(df)
-        self._result = self._run(self._rows)
+        steps = self._keep(self._run(self._rows, with_state=True))
+        self._result, self._states = steps.drop("state"), models.last_states(steps, self.group)
         return self
 
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
     def update(self, df: DataFrame) -> DataFrame:
         """The steps of rows that come after those fitted; the model then includes them."""
         self._fitted()
         new, key = self._columns(df), self._key()
-        last = self._rows.groupBy(*self.group).agg(F.max(key[0]).alias("_last"))
-        self.fit(self._rows.unionByName(new))
-        out = self._result.join(last, self.group, "left")
-        return out.where(F.col("_last").isNull() | (F.col(key[1]) > F.col("_last"))).drop("_last")
+        if self.settings.get("halflife") is not None:
+            last = self._rows.groupBy(*self.group).agg(F.max(key[0]).alias("_last"))
+            self.fit(self._rows.unionByName(new))
+            out = self._result.join(last, self.group, "left")
+            return out.where(F.col("_last").isNull() | (F.col(key[1]) > F.col("_last"))).drop("_last")
+        steps = self._keep(self._run(new, with_state=True, states=self._states))
+        newer = models.last_states(steps, self.group)
+        others = self._states.join(newer.select(*self.group), self.group, "left_anti")
+        self._states, self._rows = self._keep(others.unionByName(newer)), self._rows.unionByName(new)
+        self._result = self._result.unionByName(steps.drop("state"))
+        return steps.drop("state")
 
     @property
     def result_(self) -> DataFrame:
@@ -95,8 +115,8 @@ class RollingPCA(_Rows):
     def __init__(self, group: Sequence[str], ts: str, features: Sequence[str], n_components: int = 3, window: int = 252, **settings) -> None:
         super().__init__(group, ts, features, {"n_components": n_components, "window": window, **settings})
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return models.rolling_pca(df, self.group, self.ts, self.feature_names_in_, **self.settings)
+    def _run(self, df: DataFrame, **more) -> DataFrame:
+        return models.rolling_pca(df, self.group, self.ts, self.feature_names_in_, **self.settings, **more)
 
     def transform(self, df: DataFrame | None = None) -> DataFrame:
         """The projections of the rows fitted, or of others on the latest valid basis."""
@@ -119,8 +139,8 @@ class RollingRegimes(_Rows):
     def __init__(self, group: Sequence[str], ts: str, features: Sequence[str], n_regimes: int = 2, window: int = 1008, **settings) -> None:
         super().__init__(group, ts, features, {"n_regimes": n_regimes, "window": window, **settings})
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return models.rolling_regimes(df, self.group, self.ts, self.feature_names_in_, **self.settings)
+    def _run(self, df: DataFrame, **more) -> DataFrame:
+        return models.rolling_regimes(df, self.group, self.ts, self.feature_names_in_, **self.settings, **more)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``label`` and ``probs`` of rows under the latest parameters."""
@@ -150,8 +170,8 @@ class RollingKMeans(_Panel):
     def __init__(self, group: Sequence[str], period: str, entity: str, features: Sequence[str], n_clusters: int = 3, **settings) -> None:
         super().__init__(group, period, entity, features, {"n_clusters": n_clusters, **settings})
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return models.rolling_kmeans(df, self.group, self.period, self.entity, self.feature_names_in_, **self.settings)
+    def _run(self, df: DataFrame, **more) -> DataFrame:
+        return models.rolling_kmeans(df, self.group, self.period, self.entity, self.feature_names_in_, **self.settings, **more)
 
     def _bank(self) -> DataFrame:
         """The remembered centroids of the last periods, a row per group, cluster and period."""
@@ -210,8 +230,8 @@ class RollingEmbedding(_Panel):
     def __init__(self, group: Sequence[str], period: str, entity: str, features: Sequence[str], n_components: int = 2, **settings) -> None:
         super().__init__(group, period, entity, features, {"n_components": n_components, **settings})
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return models.rolling_embedding(df, self.group, self.period, self.entity, self.feature_names_in_, **self.settings)
+    def _run(self, df: DataFrame, **more) -> DataFrame:
+        return models.rolling_embedding(df, self.group, self.period, self.entity, self.feature_names_in_, **self.settings, **more)
 
     def embedding_frame(self, period) -> DataFrame:
         return models.embedding_frame(self._fitted(), period)

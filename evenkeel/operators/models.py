@@ -6,10 +6,15 @@ independent, so they are solved in blocks of time whose first rows are copies of
 only the alignment of what comes out, a few numbers per step, runs along the whole group.
 
 Rows of a group are ordered by time (then by entity); nothing depends on how they arrive.
+
+With ``states`` a model goes on from where it was: each group's state is what the last step left (a window of rows, the
+last parameters), pickled in the ``state`` column of the group's last row, so that new rows cost the same however long
+the history is. ``with_state`` asks for that column; it is NULL in all other rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -48,6 +53,35 @@ def _schema(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple[str, T.Da
     return T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
 
 
+STATE = ("state", T.BinaryType())
+
+
+def _stated(frame: pd.DataFrame, state, wanted: bool) -> pd.DataFrame:
+    """``frame`` with the state at its last row."""
+    if wanted:
+        frame = frame.assign(state=None)
+        if len(frame):
+            frame.iat[len(frame) - 1, frame.columns.get_loc("state")] = pickle.dumps(state)
+    return frame
+
+
+def _by_group(rows: DataFrame, group: Sequence[str], run: Callable, schema: T.StructType, states: DataFrame | None) -> DataFrame:
+    """``run(rows, state)`` for each group; the state is None where there is none."""
+    if states is None:
+        return rows.groupBy(*group).applyInPandas(lambda pdf: run(pdf, None), schema)
+    empty = pd.DataFrame(columns=schema.fieldNames())
+
+    def go_on(new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return run(new, pickle.loads(held["state"].iloc[0]) if len(held) else None) if len(new) else empty
+
+    return rows.groupBy(*group).cogroup(states.select(*group, "state").groupBy(*group)).applyInPandas(go_on, schema)
+
+
+def last_states(steps: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``group, state``: where each group's model is."""
+    return steps.where("state is not null").select(*group, "state")
+
+
 PCA_FIELDS = (
     ("step", T.IntegerType()), ("valid", T.BooleanType()), ("components", MATRIX), ("eigenvalues", VECTOR), ("explained_variance_ratio", VECTOR),
     ("similarity", VECTOR), ("means", VECTOR), ("total_variance", T.DoubleType()), ("projections", VECTOR), ("n_flips", T.LongType()), ("n_reorders", T.LongType()),
@@ -57,7 +91,7 @@ PCA_FIELDS = (
 def rolling_pca(
     df: DataFrame, group: Sequence[str], ts: str, features: Sequence[str], window: int = 252, n_components: int = 3, *, matching: str = "hungarian",
     corr: bool = False, ddof: int = 1, halflife: float | None = None, align: bool = True, block: int = BLOCK, solver: str = "auto", solver_tol: float = 1e-8,
-    refresh_every: int = 1024,
+    refresh_every: int = 1024, with_state: bool = False, states: DataFrame | None = None,
 ) -> DataFrame:
     """A row per group and time: aligned components (rows), eigenvalues, shares, similarity, means, projections.
 
@@ -89,9 +123,48 @@ def rolling_pca(
     rows = with_step(rows, group, "ts")
     raw = _schema(rows, [*group, "ts", "step", "x"], [("values", VECTOR), ("vectors", VECTOR), ("means", VECTOR), ("total", T.DoubleType())])
 
+    out = _schema(rows, [*group, "ts"], (*PCA_FIELDS, STATE) if with_state else PCA_FIELDS)
+
     def matrix(pdf: pd.DataFrame) -> np.ndarray:
         return unlisted(pdf["x"], d)
 
+    def aligned(pdf: pd.DataFrame, found: tuple, steps: np.ndarray, aligner: Chain) -> pd.DataFrame:
+        made = []
+        for step, values, vectors, means, total, x in zip(steps.tolist(), *found, matrix(pdf), strict=True):
+            valid, total = not np.isnan(values[0]), float(total)
+            similarity, flips, moves, shares, seen = np.full(p, np.nan), 0, 0, np.full(p, np.nan), np.full(p, np.nan)
+            if valid:
+                if align:
+                    values, vectors, similarity, flips, moves = aligner.step(values, vectors)
+                shares = values / total if total else np.full(p, np.nan)
+                seen = np.where(np.isfinite(means), x - means, 0.0) @ np.nan_to_num(vectors)
+            made.append((step, valid, listed(vectors.T), listed(values), listed(shares), listed(similarity), listed(means), total, listed(seen), flips, moves))
+        frame = pd.concat([pdf[[*group, "ts"]].reset_index(drop=True), pd.DataFrame(made, columns=[n for n, _ in PCA_FIELDS])], axis=1)
+        return frame
+
+    def state(x: np.ndarray, step: int, aligner: Chain) -> dict:
+        return {"tail": x[-(window - 1) :], "step": step, "chain": aligner}
+
+    if states is not None:
+        if halflife is not None:
+            raise NotImplementedError("exponential weights go on in evenkeel.streaming.updates")
+
+        def go_on(pdf: pd.DataFrame, held: dict | None) -> pd.DataFrame:
+            pdf = pdf.sort_values("ts", kind="stable")
+            held = held or {"tail": np.empty((0, d)), "step": -1, "chain": Chain(matching)}
+            tail, n = held["tail"], len(pdf)
+            x = np.concatenate([tail, matrix(pdf)])
+            found = np.full((n, p), np.nan), np.full((n, d, p), np.nan), np.full((n, d), np.nan), np.full(n, np.nan)
+            ends = np.arange(max(window - 1, len(tail)), len(x))
+            if len(ends):
+                values, vectors, means, total = moments.flat_windows(x[None], ends, window, p, corr, ddof, refresh_every, tol)
+                for kept, new in zip(found, (values, vectors, means[0], total), strict=True):
+                    kept[ends - len(tail)] = new
+            steps = held["step"] + 1 + np.arange(n)
+            return _stated(aligned(pdf, found, steps, held["chain"]), state(x, int(steps[-1]), held["chain"]), with_state)
+
+        return _by_group(rows.drop("step"), group, go_on, out, states)
+
     def emitted(pdf: pd.DataFrame, values, vectors, means, total) -> pd.DataFrame:
         flat = vectors.reshape(len(pdf), d * p)
         lists = lambda rows: pd.Series(list(rows), index=pdf.index, dtype=object)
@@ -138,25 +211,13 @@ def rolling_pca(
             return emitted(pdf, values, vectors, means, total)
 
         solved = rows.groupBy(*group).applyInPandas(decay, raw)
-    out = _schema(rows, [*group, "ts"], PCA_FIELDS)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step", kind="stable")
-        aligner, made = Chain(matching), []
-        all_values, all_vectors = unlisted(pdf["values"], p), unlisted(pdf["vectors"], d * p).reshape(-1, d, p)
-        all_means, all_x = unlisted(pdf["means"], d), unlisted(pdf["x"], d)
-        for t, row in enumerate(pdf[["step", "total"]].itertuples(index=False)):
-            values, vectors, means, x = all_values[t], all_vectors[t], all_means[t], all_x[t]
-            valid = not np.isnan(values[0])
-            similarity, flips, moves, shares, seen = np.full(p, np.nan), 0, 0, np.full(p, np.nan), np.full(p, np.nan)
-            if valid:
-                if align:
-                    values, vectors, similarity, flips, moves = aligner.step(values, vectors)
-                shares = values / row.total if row.total else np.full(p, np.nan)
-                seen = np.where(np.isfinite(means), x - means, 0.0) @ np.nan_to_num(vectors)
-            made.append((row.step, valid, listed(vectors.T), listed(values), listed(shares), listed(similarity), listed(means), row.total, listed(seen), flips, moves))
-        names = [n for n, _ in PCA_FIELDS]
-        return pd.concat([pdf[[*group, "ts"]].reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
+        aligner = Chain(matching)
+        found = unlisted(pdf["values"], p), unlisted(pdf["vectors"], d * p).reshape(-1, d, p), unlisted(pdf["means"], d), pdf["total"].to_numpy(float)
+        frame = aligned(pdf, found, pdf["step"].to_numpy(), aligner)
+        return _stated(frame, state(matrix(pdf), len(pdf) - 1, aligner), with_state)
 
     return solved.groupBy(*group).applyInPandas(chain, out)
 
@@ -235,22 +296,24 @@ def regime_row(found: dict | None, k: int, d: int) -> tuple:
     return found["label"], *arrays, found["log_likelihood"], found["n_relabels"], found["switched"]
 
 
-def rolling_regimes(df: DataFrame, group: Sequence[str], ts: str, features: Sequence[str], **settings) -> DataFrame:
+def rolling_regimes(
+    df: DataFrame, group: Sequence[str], ts: str, features: Sequence[str], *, with_state: bool = False, states: DataFrame | None = None, **settings
+) -> DataFrame:
     """Regimes of a Gaussian hidden Markov model, refitted along time with anchored identities. Features must be there."""
     probe, group, d = RegimeStepper(**settings), list(group), len(features)
     rows = df.select(*group, F.col(ts).alias("ts"), *(F.col(f).cast("double") for f in features))
-    out = _schema(rows, [*group, "ts"], REGIME_FIELDS)
+    out = _schema(rows, [*group, "ts"], (*REGIME_FIELDS, STATE) if with_state else REGIME_FIELDS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, held: RegimeStepper | None) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
         x = pdf[list(features)].to_numpy(float)
         if not np.isfinite(x).all():
             raise ValueError("features must be finite")
-        stepper = RegimeStepper(**settings)
+        stepper = held or RegimeStepper(**settings)
         made = [regime_row(stepper.add(row), probe.k, d) for row in x]
-        return pd.concat([pdf[[*group, "ts"]], pd.DataFrame(made, columns=[n for n, _ in REGIME_FIELDS])], axis=1)
+        return _stated(pd.concat([pdf[[*group, "ts"]], pd.DataFrame(made, columns=[n for n, _ in REGIME_FIELDS])], axis=1), stepper, with_state)
 
-    return rows.groupBy(*group).applyInPandas(run, out)
+    return _by_group(rows, group, run, out, states)
 
 
 def predict_regimes(steps: DataFrame, rows: DataFrame, group: Sequence[str], features: Sequence[str], reg_covar: float = 1e-6) -> DataFrame:
@@ -303,7 +366,9 @@ CLUSTER_FIELDS = (
 )
 
 
-def rolling_kmeans(df: DataFrame, group: Sequence[str], period: str, entity: str, features: Sequence[str], **settings) -> DataFrame:
+def rolling_kmeans(
+    df: DataFrame, group: Sequence[str], period: str, entity: str, features: Sequence[str], *, with_state: bool = False, states: DataFrame | None = None, **settings
+) -> DataFrame:
     """A row per group, period and entity: label, switch, distance; the period's centroids, inertia and counts beside.
 
     Panels may be unbalanced; an entity switches only between neighbouring periods that both have it.
@@ -311,18 +376,18 @@ def rolling_kmeans(df: DataFrame, group: Sequence[str], period: str, entity: str
     KMeansStepper(**settings)
     group = list(group)
     rows = df.select(*group, F.col(period).alias("period"), F.col(entity).cast("string").alias("entity"), *(F.col(f).cast("double") for f in features))
-    out = _schema(rows, [*group, "period", "entity"], CLUSTER_FIELDS)
+    out = _schema(rows, [*group, "period", "entity"], (*CLUSTER_FIELDS, STATE) if with_state else CLUSTER_FIELDS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stepper, made = KMeansStepper(**settings), []
+    def run(pdf: pd.DataFrame, held: KMeansStepper | None) -> pd.DataFrame:
+        stepper, made = held or KMeansStepper(**settings), []
         for _, part, x in _periods(pdf, features):
             f = stepper.step(part["entity"].tolist(), x)
             c = listed(f["centroids"])
             own = {"label": f["label"], "switched": f["switched"], "dist2": f["dist2"], "centroids": [c] * len(part)}
             made.append(part[[*group, "period", "entity"]].assign(**own, inertia=f["inertia"], n_relabels=f["n_relabels"], n_iter=f["n_iter"]))
-        return pd.concat(made, ignore_index=True)
+        return _stated(pd.concat(made, ignore_index=True), stepper, with_state)
 
-    return rows.groupBy(*group).applyInPandas(run, out)
+    return _by_group(rows, group, run, out, states)
 
 
 def kmeans_steps(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -336,7 +401,8 @@ EMBEDDING_FIELDS = (("coords", VECTOR), ("displacement", T.DoubleType()), ("disp
 
 def rolling_embedding(
     df: DataFrame, group: Sequence[str], period: str, entity: str, features: Sequence[str], n_components: int = 2, *,
-    backend: str | Callable = "pca", scale: bool = False, seed: int = 0, backend_kwargs: dict | None = None,
+    backend: str | Callable = "pca", scale: bool = False, seed: int = 0, backend_kwargs: dict | None = None, with_state: bool = False,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Low-dimensional coordinates per period, each aligned with the one before: coordinates, how far an entity moved,
 
@@ -348,18 +414,22 @@ def rolling_embedding(
         raise ValueError(f"n_components must be 1 to {len(features)}; got {n_components}")
     group = list(group)
     rows = df.select(*group, F.col(period).alias("period"), F.col(entity).cast("string").alias("entity"), *(F.col(f).cast("double") for f in features))
-    out = _schema(rows, [*group, "period", "entity"], EMBEDDING_FIELDS)
+    out = _schema(rows, [*group, "period", "entity"], (*EMBEDDING_FIELDS, STATE) if with_state else EMBEDDING_FIELDS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stepper, made = EmbeddingStepper(**settings), []
-        null = lambda v: None if v != v else float(v)
+    def run(pdf: pd.DataFrame, held: EmbeddingStepper | None) -> pd.DataFrame:
+        stepper, made = held or EmbeddingStepper(**settings), []
         for _, part, x in _periods(pdf, features):
             f = stepper.step(part["entity"].tolist(), x)
-            own = {"coords": [listed(c) for c in f["coords"]], "displacement": [null(v) for v in f["displacement"]], "disparity": null(f["disparity"])}
-            made.append(part[[*group, "period", "entity"]].assign(**own))
-        return pd.concat(made, ignore_index=True)
-
-    return rows.groupBy(*group).applyInPandas(run, out)
+            made.append((part, f))
+        frame = pd.concat([part[[*group, "period", "entity"]] for part, _ in made], ignore_index=True)
+        own = {"coords": [listed(c) for _, f in made for c in f["coords"]], "displacement": np.concatenate([f["displacement"] for _, f in made])}
+        own["disparity"] = np.repeat([float(f["disparity"]) for _, f in made], [len(part) for part, _ in made])
+        frame = frame.assign(**own)
+        nulls = frame[["displacement", "disparity"]].astype(object)
+        frame[["displacement", "disparity"]] = nulls.where(nulls.notna(), None)
+        return _stated(frame, stepper, with_state)
+
+    return _by_group(rows, group, run, out, states)
 
 
 def trajectory(coords: DataFrame, entity: str) -> DataFrame:
