@@ -14,7 +14,7 @@ def log_densities(x: np.ndarray, means: np.ndarray, covs: np.ndarray, reg: float
     """``(n, K)`` log densities; ``reg`` is added to each covariance's diagonal here too, besides the fit."""
     d = x.shape[1]
     lower = np.linalg.cholesky(covs + reg * np.eye(d))
-    z = np.linalg.solve(lower, (x[None] - means[:, None]).swapaxes(1, 2))
+    z = np.linalg.inv(lower) @ (x.T - means[:, :, None])
     logdet = 2 * np.log(np.einsum("kii->ki", lower)).sum(axis=1)
     return -0.5 * (d * np.log(2 * np.pi) + logdet[:, None] + (z**2).sum(axis=1)).T
 
@@ -26,35 +26,64 @@ def posterior(x: np.ndarray, means: np.ndarray, covs: np.ndarray, weights: np.nd
 
 
 def _products(m: np.ndarray) -> np.ndarray:
-    """Running products of matrices ``(K, K, n)``, each up to a factor: doubling steps instead of a loop over time."""
-    k, _, n = m.shape
-    out, reach = m, 1
+    """Running products of matrices ``(K, K, …, n)``, each up to a factor: doubling steps instead of a loop over time."""
+    k, n = len(m), m.shape[-1]
+    out, reach, level = m / m.max(axis=(0, 1)), 1, 0
     while reach < n:
-        out = np.concatenate([out[:, :, :reach], np.einsum("ijn,jkn->ikn", out[:, :, :-reach], out[:, :, reach:])], axis=2)
-        out /= out.reshape(k * k, n).max(axis=0)
+        left, right = out[..., :-reach], out[..., reach:]
+        new = np.empty_like(left)
+        for i in range(k):
+            for j in range(k):
+                cell = np.multiply(left[i, 0], right[0, j], out=new[i, j])
+                for between in range(1, k):
+                    cell += left[i, between] * right[between, j]
+        level += 1
+        if level % 2 == 0 or k > 4:  # no entry falls below the floor of transitions to the fourth power in between
+            new /= new.max(axis=(0, 1))
+        out[..., reach:] = new
         reach *= 2
     return out
 
 
+def _moves(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return a[:, :, None] * np.ascontiguousarray(b[1:].T)[None]
+
+
+def _filtered(first: np.ndarray, products: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.empty((products.shape[2] + 1, len(first)))
+    rows[0], rows[1:] = first, sum(f * p for f, p in zip(first, products, strict=True)).T
+    alpha = rows / rows.sum(axis=1, keepdims=True)
+    out = moves.sum(axis=1)
+    scale = sum(alpha[:-1, i] * out[i] for i in range(len(first)))
+    return alpha, np.concatenate([[first.sum()], scale])
+
+
 def forward(b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered probabilities, scale factors, and the steps ``a * b[t]`` between them, time last."""
-    first = pi * b[0]
-    moves = a[:, :, None] * np.ascontiguousarray(b[1:].T)[None]
-    rows = np.concatenate([first[None], np.einsum("i,ijn->nj", first, _products(moves))]) if len(b) > 1 else first[None]
-    alpha = rows / rows.sum(axis=1, keepdims=True)
-    scale = np.concatenate([[first.sum()], np.einsum("ni,ijn->n", alpha[:-1], moves)])
-    return alpha, scale, moves
+    moves = _moves(b, a)
+    return *_filtered(pi * b[0], _products(moves) if moves.size else moves, moves), moves
+
+
+def _scaled(alpha: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    beta = np.ones_like(alpha)
+    beta[:-1] = tail.sum(axis=0)[:, ::-1].T
+    return beta / (alpha * beta).sum(axis=1, keepdims=True)
 
 
 def backward(alpha: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Backward factors, scaled so that they average to one under ``alpha``."""
-    beta = np.ones_like(alpha)
-    if moves.shape[2]:
-        # products from the end: transposed and turned round, they run forward
-        tail = _products(np.ascontiguousarray(moves.swapaxes(0, 1)[:, :, ::-1]))
-        beta[:-1] = tail.sum(axis=0)[:, ::-1].T
-        beta /= (alpha * beta).sum(axis=1, keepdims=True)
-    return beta
+    # products from the end: transposed and turned round, they run forward
+    turned = np.ascontiguousarray(moves.swapaxes(0, 1)[:, :, ::-1])
+    return _scaled(alpha, _products(turned) if moves.size else turned)
+
+
+def both_ways(b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``forward`` and ``backward`` in one scan."""
+    moves = _moves(b, a)
+    both = np.stack([moves, moves.swapaxes(0, 1)[:, :, ::-1]], axis=2)
+    both = _products(both) if moves.size else both
+    alpha, scale = _filtered(pi * b[0], both[:, :, 0], moves)
+    return alpha, scale, moves, _scaled(alpha, both[:, :, 1])
 
 
 def fit(x, means, covs, a, pi, *, iterations, tol, reg, pseudo, least_mass, a_prior, prior_means, prior_covs, strength):
@@ -65,11 +94,11 @@ def fit(x, means, covs, a, pi, *, iterations, tol, reg, pseudo, least_mass, a_pr
     for i in range(1, iterations + 1):
         logs = log_densities(x, means, covs, reg)
         shift = logs.max(axis=1)
-        alpha, scale, moves = forward(np.exp(logs - shift[:, None]), a, pi)
+        alpha, scale, moves, beta = both_ways(np.exp(logs - shift[:, None]), a, pi)
         mean_log = float((np.log(scale) + shift).sum() / n)
-        beta = backward(alpha, moves)
         gamma = alpha * beta * (1 - SMOOTH) + SMOOTH / k
-        xi = np.einsum("ni,ijn,nj->ij", alpha[:-1], moves, beta[1:] / scale[1:, None]) + SMOOTH + pseudo * a_prior
+        ahead = (beta[1:] / scale[1:, None]).T
+        xi = np.stack([(m * ahead) @ alpha[:-1, i] for i, m in enumerate(moves)]) + SMOOTH + pseudo * a_prior
         a = xi / xi.sum(axis=1, keepdims=True)
         a = np.maximum(a, FLOOR)
         a = a / a.sum(axis=1, keepdims=True)
