@@ -1,12 +1,14 @@
 """Written intermediate tables in the folder that the whole cluster shares.
 
-Lineage is cut with Parquet tables below ``spark.checkpoint.dir`` (read from the session). Only where that
-setting is absent, as in unit tests, a folder of this process is made and set.
+Lineage is cut with Parquet tables below ``spark.checkpoint.dir`` (read from the session). Only in local mode, as in unit
+tests, a folder of this process is made where that setting is absent; on a cluster that is an error, because executors
+would not see each other's files.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("evenkeel.scratch.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="evenkeel-")
             spark.conf.set("evenkeel.scratch.dir", root)
     return root.rstrip("/")
@@ -29,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/evenkeel/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark itself reads it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/+", "file:///", found)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """Write ``df`` once and read it back: a restart point that survives lost executors. ``by``: columns of folders."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)

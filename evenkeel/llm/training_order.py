@@ -5,9 +5,11 @@
 2. Counts per partition give every sequence a global number below N. A keyed Feistel network on the next even number
    of bits, walked along its cycle until it is below N, is a permutation: the sequence's slot. Nothing is sorted or
    drawn to get it, and it can be inverted.
-3. Sequences are exchanged by shard (a range of slots), in compressed pieces, and put in order in a buffer of one
-   shard's size: a header, then one sequence after another, so that slot s is at a known byte. A shard gets its name
-   when it is complete; a task that is run again writes the same bytes.
+3. Sequences are exchanged in compressed pieces by ranges of slots, so that each task has some successive shards, one
+   after another, and puts them in order in a buffer of one shard's size: a header, then one sequence after another, so
+   that slot s is at a known byte. A shard gets its name when it is complete; a task that is run again writes the same
+   bytes. Numbers follow the rows of each input partition and the partitions' order, so an input that is dealt out
+   otherwise has another order.
 
 ``read`` starts at any slot, without reading shards before it.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm.bpe import load_ranks
-from evenkeel.llm.storage import new_path, release, remove, written
+from evenkeel.llm.storage import new_path, qualified, release, remove, written
 
 MAGIC, HEADER = b"TORDER01", "<8sIIQQ"  # magic, bytes of an id, ids of a sequence, first slot, sequences
 ROUNDS = 6
@@ -135,7 +137,9 @@ def materialise(
     for part, n in counts.items():
         offsets[part], total = total, total + n
     order = Permutation(total, key)
-    folder = new_path(spark, "shards")
+    folder = qualified(spark, new_path(spark, "shards"))
+    shards = -(-total // per_shard)
+    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -157,37 +161,49 @@ def materialise(
                     }
                 )
 
-    def write(key: tuple, table: pa.Table) -> pa.Table:
-        import zstandard
+    def written_shard(shard: int, whole: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        shard = key[0].as_py()
-        first = shard * per_shard
-        n = min(per_shard, total - first)
-        whole = np.empty((n, length), dtype)
-        seen = np.zeros(n, bool)
-        unpacker = zstandard.ZstdDecompressor()
-        for at, data in zip(table.column("slots"), table.column("data"), strict=True):
-            own = np.frombuffer(at.as_py(), "<i8") - first
-            whole[own] = np.frombuffer(unpacker.decompress(data.as_py()), dtype).reshape(len(own), length)
-            if seen[own].any():
-                raise ValueError(f"a slot of shard {shard} is taken twice")
-            seen[own] = True
+        first, n = shard * per_shard, len(whole)
         if not seen.all():
             raise ValueError(f"shard {shard} lacks {int((~seen).sum())} sequences")
-        files, base = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         name = f"shard-{shard:08d}.bin"
         hidden = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(hidden) as stream:
             stream.write(struct.pack(HEADER, MAGIC, dtype.itemsize, length, first, n))
             stream.write(memoryview(whole).cast("B"))
+        if files.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of a task that was run before
+            files.delete_file(f"{base}/{name}")
         files.move(hidden, f"{base}/{name}")
-        return pa.table({"shard": [shard], "first_slot": [first], "n": [n], "file": [name]})
+        return pa.RecordBatch.from_pydict({"shard": [shard], "first_slot": [first], "n": [n], "file": [name]})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards one after another, from pieces in their order."""
+        import zstandard
+
+        unpacker, shard, whole, seen = zstandard.ZstdDecompressor(), -1, np.empty((0, length), dtype), np.ones(0, bool)
+        for batch in batches:
+            for at, slots, data in zip(*(batch.column(c) for c in ("shard", "slots", "data")), strict=True):
+                if at.as_py() != shard:
+                    if shard >= 0:
+                        yield written_shard(shard, whole, seen)
+                    shard = at.as_py()
+                    n = min(per_shard, total - shard * per_shard)
+                    whole, seen = np.empty((n, length), dtype), np.zeros(n, bool)
+                own = np.frombuffer(slots.as_py(), "<i8") - shard * per_shard
+                whole[own] = np.frombuffer(unpacker.decompress(data.as_py()), dtype).reshape(len(own), length)
+                if seen[own].any():
+                    raise ValueError(f"a slot of shard {shard} is taken twice")
+                seen[own] = True
+        if shard >= 0:
+            yield written_shard(shard, whole, seen)
 
     pieces = held.mapInArrow(placed, "shard long, slots binary, data binary")
-    manifest = pieces.groupBy("shard").applyInArrow(write, "shard long, first_slot long, n long, file string")
+    ranges = pieces.repartitionById(tasks, F.floor(F.col("shard") * tasks / max(shards, 1)).cast("int"))
+    manifest = ranges.sortWithinPartitions("shard").mapInArrow(write, "shard long, first_slot long, n long, file string")
     manifest, _ = written(manifest, "shard-manifest")
     remove(spark, held_path)
     release(spark)
