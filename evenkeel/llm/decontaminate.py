@@ -10,8 +10,9 @@ Words are lower-cased and compared without anything but letters and digits. With
 that one is left whole. Items with fewer words than a mask's span match whole and unchanged only; less than that
 can't be told from chance. Without it, items below the span never match.
 
-Defined cases: null texts have no words; repeated rows of documents give one pair, the best; null ids are kept as ids;
-empty tables give empty results; other columns are not carried along.
+Defined cases: null texts have no words; null ids are ids like others, on both sides; rows of documents or items that
+share an id are told apart by their words, and give one pair of ids, the best; empty tables give empty results; other
+columns are not carried along.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ def hashed(df: DataFrame, id_col: str, text_col: str, names: tuple[str, str], le
     return rows.where(F.size(names[1]) >= least)
 
 
+def _rows_of(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a key of id and words, each once."""
+    return rows.withColumn(f"{name}_row", F.xxhash64(name, f"{name}_hashes")).dropDuplicates([f"{name}_row"])
+
+
 def seeds(rows: DataFrame, array: str, at: str) -> DataFrame:
     """A row per window and mask: ``at`` and ``seed``."""
     placed = rows.withColumn(at, F.explode(F.sequence(F.lit(0), F.size(array) - SPAN)))
@@ -55,12 +61,12 @@ def pieces(n: int, share: float) -> list[tuple[int, int]]:
 
 
 def _piece_hits(own: DataFrame, items: DataFrame, sizes: list[int], share: float) -> DataFrame:
-    """``doc, doc_hashes, item, doc_at, item_at, item_words`` where a piece of an item of one of ``sizes`` stands."""
+    """``doc, doc_hashes, item_row, doc_at, item_at, item_words`` where a piece of an item of one of ``sizes`` stands."""
     seed = lambda array, at, n: F.xxhash64(F.lit(-n), *(F.get(array, at + i) for i in range(n))).alias("seed")
     known = None
     for n in sizes:
         each = [F.struct(F.lit(a).alias("item_at"), seed("item_hashes", F.lit(a), k)) for a, k in pieces(n, share)]
-        part = items.where(F.size("item_hashes") == n).select("item", F.lit(n).alias("item_words"), F.inline(F.array(*each)))
+        part = items.where(F.size("item_hashes") == n).select("item_row", F.lit(n).alias("item_words"), F.inline(F.array(*each)))
         known = part if known is None else known.unionByName(part)
     none = F.array().cast("array<struct<doc_at:int,seed:bigint>>")
     size = F.size("doc_hashes")
@@ -91,8 +97,8 @@ def leaks(
 
     ``n_matched``: equal words over the whole item on the best diagonal; ``best_window``: in its best window.
     """
-    items = hashed(benchmark, item_id, item_text, ("item", "item_hashes"))
-    known = seeds(items, "item_hashes", "item_at").select("seed", "item", "item_at", F.size("item_hashes").alias("item_words"))
+    items = _rows_of(hashed(benchmark, item_id, item_text, ("item", "item_hashes")), "item")
+    known = seeds(items, "item_hashes", "item_at").select("seed", "item_row", "item_at", F.size("item_hashes").alias("item_words"))
     size = items.agg(F.coalesce(F.sum(F.size("item_hashes")), F.lit(0)).alias("n")).first()["n"]
     own = hashed(docs, doc_id, doc_text, ("doc", "doc_hashes"))
     at = seeds(own, "doc_hashes", "doc_at")
@@ -102,21 +108,22 @@ def leaks(
     if size <= BROADCAST_WORDS:
         # no exchange between a document and its hits: its words are at hand
         items = F.broadcast(items)
-        hits = at.join(F.broadcast(known), "seed").select("doc", "item", diagonal, "item_words", "doc_hashes")
-        hits = hits.select("doc", "item", "diagonal", passage).distinct()
+        hits = at.join(F.broadcast(known), "seed").select("doc", "item_row", diagonal, "item_words", "doc_hashes")
+        hits = hits.select("doc", "item_row", "diagonal", passage).distinct()
     else:
         # seeds are exchanged alone; the words of documents with hits are fetched afterwards
-        hits = at.select("doc", "doc_at", "seed").join(known, "seed").select("doc", "item", diagonal, "item_words").distinct()
-        hits = hits.join(own.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "item", "diagonal", passage)
+        own = _rows_of(own, "doc")
+        hits = seeds(own, "doc_hashes", "doc_at").select("doc_row", "doc_at", "seed").join(known, "seed").select("doc_row", "item_row", diagonal, "item_words").distinct()
+        hits = hits.join(own, "doc_row").select("doc", "item_row", "diagonal", passage).distinct()
     if short_items:
-        every = hashed(benchmark, item_id, item_text, ("item", "item_hashes"), 1)
+        every = _rows_of(hashed(benchmark, item_id, item_text, ("item", "item_hashes"), 1), "item")
         sizes = sorted(r["n"] for r in every.select(F.size("item_hashes").alias("n")).where(F.col("n") < window).distinct().collect())
         if sizes:
             every_own = hashed(docs, doc_id, doc_text, ("doc", "doc_hashes"), 1)
             short = _piece_hits(every_own, every.where(F.size("item_hashes") < window), sizes, share)
-            short = short.select("doc", "item", diagonal, "item_words", "doc_hashes").select("doc", "item", "diagonal", passage)
+            short = short.select("doc", "item_row", diagonal, "item_words", "doc_hashes").select("doc", "item_row", "diagonal", passage)
             hits, items = hits.unionByName(short).distinct(), every
-    found = hits.join(items, "item")
+    found = hits.join(items, "item_row")
     # the item's words before the document's start, or after its end, are not there
     padded = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("diagonal"), F.lit(0))), F.col("passage"))
     found = found.withColumn(

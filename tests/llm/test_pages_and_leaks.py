@@ -176,3 +176,19 @@ def test_short_items_equal_brute_force_without_seeds(spark):
             decontaminate.BROADCAST_WORDS = held
     missed = want - {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
     print(f"{len(want)} pairs, without short items {len(missed)} missed")
+
+
+def test_ids_that_are_null_or_repeated(spark, monkeypatch):
+    """Both ways of joining give the same: items without an id are found, rows of one id don't lend each other words."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(None, say(20)), (1, say(20)), (1, say(25)), (2, "four short words here"), (3, None), (1, None)]
+    docs = [(None, f"{say(30)} {items[0][1]}"), (7, f"{say(5)} {items[1][1]} {say(9)}"), (7, say(40)), (7, items[2][1]), (8, f"x {items[3][1]} y"), (9, say(50)), (8, None)]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int")
+    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
+    for most in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
+        found = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["item_words"]) for r in decontaminate.leaks(d, b, short_items=True).collect()}
+        assert found == {(None, None): (20, 20), (7, 1): (25, 25), (8, 2): (4, 4)}
+        kept = decontaminate.clean(d.select("doc_id", "text"), b, short_items=True)
+        assert [r["doc_id"] for r in kept.collect()] == [9]
