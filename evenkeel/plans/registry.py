@@ -521,14 +521,55 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.rolling_kmeans(rows, ["g"], "day", "user_id", ["n", "mean", "top"], n_clusters=3, centroid_memory=2)
 
 
-@query("kmeans_labels")
+def far(x: str, y: str) -> str:
+    return " + ".join(f"pow({x}[{i}] - {y}[{i}], 2)" for i in (1, 2, 3))
+
+
+#: Lloyd's iterations day by day as one recursion: a row is an iteration, or a day's start from the centres before.
+NEAREST = f"list_transform(xs, lambda x: list_position(list_transform(c, lambda y: {far('x', 'y')}), list_min(list_transform(c, lambda y: {far('x', 'y')}))))"
+PERMS = "[[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]"
+COST = " + ".join(f"({far(f'p[{i}]', f'c[q[{i}]]')})" for i in (1, 2, 3))
+PERM = f"case when p is null then [1, 2, 3] else {PERMS}[list_position(list_transform({PERMS}, lambda q: {COST}), list_min(list_transform({PERMS}, lambda q: {COST})))] end"
+ALIGNED = f"case when p is null then list_sort(c) else list_transform({PERM}, lambda i: c[i]) end"
+LLOYD = f"""with recursive pe as ({EVENTS}),
+pt as (select day, row_number() over (order by day) as k, list([n, mean, top] order by user_id::varchar) as xs from pe group by day),
+f1 as (select *, [list_avg(list_transform(xs, lambda x: x[1])), list_avg(list_transform(xs, lambda x: x[2])), list_avg(list_transform(xs, lambda x: x[3]))] as m from pt where k = 1),
+f2 as (select *, list_transform(xs, lambda x: {far('x', 'm')}) as d from f1),
+f3 as (select xs, xs[list_position(d, list_min(d))] as c1 from f2),
+f4 as (select *, list_transform(xs, lambda x: {far('x', 'c1')}) as d from f3),
+f5 as (select *, xs[list_position(d, list_max(d))] as c2 from f4),
+f6 as (select *, list_transform(xs, lambda x: least({far('x', 'c1')}, {far('x', 'c2')})) as e from f5),
+st as (select 1::bigint as k, 0 as it, [c1, c2, xs[list_position(e, list_max(e))]] as c, null::double[][] as p, false as done from f6
+  union all select case when done then k + 1 else k end, case when done then 0 else it + 1 end,
+    case when done then {ALIGNED} else nc end, case when done then {ALIGNED} else p end,
+    not done and (list_max(list_transform([1, 2, 3], lambda j: {far('nc[j]', 'c[j]')})) <= 1e-16 or it + 1 >= case when p is null then 300 else 100 end)
+  from (select st.*, list_transform([1, 2, 3], lambda j: list_transform([1, 2, 3], lambda i: list_avg(list_transform(list_filter(list_zip(xs, near), lambda z: z[2] = j), lambda z: z[1][i])))) as nc
+    from (select st.*, xs, {NEAREST} as near from st join pt on pt.k = st.k where not (done and st.k = (select max(k) from pt))) st)),
+ce as (select k, it, p is null as first, {ALIGNED} as centres, {PERM} as perm from st where done),
+me as (select a.*, case when b.k is null then [a.centres] else [a.centres, b.centres] end as memory from ce a left join ce b on b.k = a.k - 1),
+fa as (select pe.day, me.k, pe.user_id::varchar as entity, list_transform([1, 2, 3], lambda j: list_min(list_transform(memory, lambda g: {far('[n, mean, top]', 'g[j]')}))) as d
+  from pe join pt using (day) join me using (k)),
+la as (select day, k, entity, list_position(d, list_min(d)) - 1 as label, list_min(d) as dist2 from fa)
+"""
+
+
+@query(
+    "kmeans_labels",
+    LLOYD + f"""select a.day as period, a.entity, a.label::bigint as label, coalesce(b.label <> a.label, false) as switched, {r_sql("a.dist2", "dist2")}
+    from la a left join la b on b.entity = a.entity and b.k = a.k - 1""", dates=["period"])
 def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(spark, sf_dir).select("period", "entity", "label", "switched", "dist2")
+    return rounded(clustered(spark, sf_dir).select("period", "entity", "label", "switched", "dist2"), ["dist2"])
 
 
-@query("kmeans_steps")
+@query(
+    "kmeans_steps",
+    LLOYD + f"""select day as period, {", ".join(r_sql(f"centres[{j}][{i}]", f"c{j}{i}") for j in (1, 2, 3) for i in (1, 2, 3))}, {r_sql("inertia", "inertia")},
+    len(list_filter([1, 2, 3], lambda i: perm[i] <> i))::bigint as n_relabels, case when first then 0 else it end::bigint as n_iter
+    from ce join (select day, k, sum(dist2) as inertia from la group by all) using (k)""", dates=["period"])
 def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.kmeans_steps(clustered(spark, sf_dir))
+    steps = models.kmeans_steps(clustered(spark, sf_dir))
+    centres = {f"c{j + 1}{i + 1}": F.get(F.get("centroids", j), i) for j in range(3) for i in range(3)}
+    return rounded(steps.select("period", *(c.alias(n) for n, c in centres.items()), "inertia", "n_relabels", "n_iter"), [*centres, "inertia"])
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
