@@ -632,10 +632,43 @@ def select_n_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # embeddings and regimes
 
 
-@query("embedding_coords")
+def mean_of(items: str, i: int) -> str:
+    return f"list_avg(list_transform(known, lambda j: {items}[j][{i}]))"
+
+
+def cross(i: int, j: int) -> str:
+    return f"list_sum(list_transform(known, lambda j: (xs[j][{i}] - c{i}) * (old[j][{j}] - r{j})))"
+
+
+#: A day's points, centred on its principal axes on the first day, then turned (or mirrored) onto the day before.
+EMBEDDED = f"""with recursive pe as ({EVENTS}),
+pt as (select day, row_number() over (order by day) as k, list(user_id::varchar order by user_id::varchar) as names, list([n, mean] order by user_id::varchar) as xs,
+  avg(n) as mn, avg(mean) as mm, atan2(2 * covar_samp(n, mean), var_samp(n) - var_samp(mean)) / 2 as phi from pe group by day),
+em as (select k, names, list_transform(xs, lambda x: [
+    ((x[1] - mn) * cos(phi) + (x[2] - mm) * sin(phi)) * case when (case when abs(cos(phi)) >= abs(sin(phi)) then cos(phi) else sin(phi) end) < 0 then -1 else 1 end,
+    (-(x[1] - mn) * sin(phi) + (x[2] - mm) * cos(phi)) * case when (case when abs(sin(phi)) >= abs(cos(phi)) then -sin(phi) else cos(phi) end) < 0 then -1 else 1 end]) as xy,
+    null::double[][] as old, null::double as disparity from pt where k = 1
+  union all select k, names, xy, old, sqrt(list_avg(list_transform(known, lambda j: pow(xy[j][1] - old[j][1], 2) + pow(xy[j][2] - old[j][2], 2))))
+  from (select *, list_transform(xs, lambda x: [(x[1] - c1) * ta + (x[2] - c2) * case when turn then -tb else tb end + r1, (x[1] - c1) * tb + (x[2] - c2) * case when turn then ta else -ta end + r2]) as xy
+    from (select *, case when turn then m11 + m22 else m11 - m22 end / size as ta, case when turn then m12 - m21 else m12 + m21 end / size as tb
+      from (select *, m11 * m22 - m12 * m21 >= 0 as turn, greatest(sqrt(pow(m11 + m22, 2) + pow(m12 - m21, 2)), sqrt(pow(m11 - m22, 2) + pow(m12 + m21, 2))) as size
+        from (select *, {", ".join(f"{cross(i, j)} as m{i}{j}" for i in (1, 2) for j in (1, 2))}
+          from (select *, {", ".join(f"{mean_of('xs', i)} as c{i}, {mean_of('old', i)} as r{i}" for i in (1, 2))}
+            from (select *, list_filter(range(1, len(xs) + 1), lambda j: old[j] is not null) as known
+              from (select pt.k, pt.names, pt.xs, list_transform(pt.names, lambda e: em.xy[list_position(em.names, e)]) as old from em join pt on pt.k = em.k + 1))))))))
+"""
+
+
+@query(
+    "embedding_coords",
+    EMBEDDED + f"""select day as period, names[i] as entity, {r_sql("xy[i][1]", "x")}, {r_sql("xy[i][2]", "y")},
+    {r_sql("sqrt(pow(xy[i][1] - old[i][1], 2) + pow(xy[i][2] - old[i][2], 2))", "displacement")}, {r_sql("disparity", "disparity")}
+    from (select em.*, pt.day, unnest(range(1, len(em.names) + 1)) as i from em join pt using (k))""", dates=["period"])
 def embedding_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_days(spark, sf_dir).select(F.lit("all").alias("g"), "day", "user_id", "n", "mean", "top")
-    return models.rolling_embedding(rows, ["g"], "day", "user_id", ["n", "mean", "top"], n_components=2).drop("g")
+    rows = user_days(spark, sf_dir).select(F.lit("all").alias("g"), "day", "user_id", "n", "mean")
+    found = models.rolling_embedding(rows, ["g"], "day", "user_id", ["n", "mean"], n_components=2)
+    found = found.select("period", "entity", F.get("coords", 0).alias("x"), F.get("coords", 1).alias("y"), "displacement", "disparity")
+    return rounded(found, ["x", "y", "displacement", "disparity"])
 
 
 @query("regime_steps")
