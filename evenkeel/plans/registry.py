@@ -527,6 +527,7 @@ def far(x: str, y: str) -> str:
 
 #: Lloyd's iterations day by day as one recursion: a row is an iteration, or a day's start from the centres before.
 NEAREST = f"list_transform(xs, lambda x: list_position(list_transform(c, lambda y: {far('x', 'y')}), list_min(list_transform(c, lambda y: {far('x', 'y')}))))"
+FARTHEST = f"list_sort(list_transform(list_zip(xs, range(1, len(xs) + 1)), lambda z: [-list_min(list_transform(c, lambda y: {far('z[1]', 'y')})), z[2]::double]))"
 PERMS = "[[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]"
 COST = " + ".join(f"({far(f'p[{i}]', f'c[q[{i}]]')})" for i in (1, 2, 3))
 PERM = f"case when p is null then [1, 2, 3] else {PERMS}[list_position(list_transform({PERMS}, lambda q: {COST}), list_min(list_transform({PERMS}, lambda q: {COST})))] end"
@@ -543,8 +544,9 @@ st as (select 1::bigint as k, 0 as it, [c1, c2, xs[list_position(e, list_max(e))
   union all select case when done then k + 1 else k end, case when done then 0 else it + 1 end,
     case when done then {ALIGNED} else nc end, case when done then {ALIGNED} else p end,
     not done and (list_max(list_transform([1, 2, 3], lambda j: {far('nc[j]', 'c[j]')})) <= 1e-16 or it + 1 >= case when p is null then 300 else 100 end)
-  from (select st.*, list_transform([1, 2, 3], lambda j: list_transform([1, 2, 3], lambda i: list_avg(list_transform(list_filter(list_zip(xs, near), lambda z: z[2] = j), lambda z: z[1][i])))) as nc
-    from (select st.*, xs, {NEAREST} as near from st join pt on pt.k = st.k where not (done and st.k = (select max(k) from pt))) st)),
+  from (select st.*, list_transform([1, 2, 3], lambda j: case when list_contains(near, j) then list_transform([1, 2, 3], lambda i: list_avg(list_transform(list_filter(list_zip(xs, near), lambda z: z[2] = j), lambda z: z[1][i])))
+      else xs[far[list_position(list_filter([1, 2, 3], lambda i: not list_contains(near, i)), j)][2]::bigint] end) as nc
+    from (select st.*, xs, {NEAREST} as near, {FARTHEST} as far from st join pt on pt.k = st.k where not (done and st.k = (select max(k) from pt))) st)),
 ce as (select k, it, p is null as first, {ALIGNED} as centres, {PERM} as perm from st where done),
 me as (select a.*, case when b.k is null then [a.centres] else [a.centres, b.centres] end as memory from ce a left join ce b on b.k = a.k - 1),
 fa as (select pe.day, me.k, pe.user_id::varchar as entity, list_transform([1, 2, 3], lambda j: list_min(list_transform(memory, lambda g: {far('[n, mean, top]', 'g[j]')}))) as d
