@@ -36,7 +36,7 @@ SAMPLE, SAMPLE_CHARS = 6000, 40_000_000
 CUT = 0.3
 BUCKETS, SIZE, HIDDEN, NEAR, SEED = 1 << 14, 48, 24, 2, 20
 #: Tokens whose neighbours are added up at a time.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 MARKS = ("<capitals>", "<again>", "<symbols>", "<digits>", "<line>", "<long>")
 TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -44,7 +44,7 @@ TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|[^\w\s]+|_+")
 class Buckets(dict):
     """Token → its buckets (the word's, then those of its marks). Forgets all when it is full."""
 
-    most = 400_000
+    most = 1 << 17
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= self.most:
