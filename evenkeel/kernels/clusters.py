@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -101,14 +101,19 @@ class KMeansStepper:
         return {"label": label, "switched": switched, "dist2": dist, "centroids": self.centres, "inertia": float(dist.sum()), "n_relabels": relabels, "n_iter": iterations}
 
 
+def procrustes_fit(reference: np.ndarray, current: np.ndarray, r0: np.ndarray, c0: np.ndarray, scale: bool = False):
+    """(turn, shift, scale) that move ``current`` onto ``reference``, both centred, their means beside them."""
+    u, s, vt = np.linalg.svd(current.T @ reference)
+    turn = u @ vt
+    size = (current**2).sum()
+    factor = float(s.sum() / size) if scale and size > 0 else 1.0
+    return turn, r0 - c0 @ turn * factor, factor
+
+
 def procrustes_align(reference: np.ndarray, current: np.ndarray, scale: bool = False):
     """``current`` turned, mirrored if need be, and moved onto ``reference``: aligned, disparity, (turn, shift, scale)."""
     r0, c0 = reference.mean(axis=0), current.mean(axis=0)
-    u, s, vt = np.linalg.svd((current - c0).T @ (reference - r0))
-    turn = u @ vt
-    size = ((current - c0) ** 2).sum()
-    factor = float(s.sum() / size) if scale and size > 0 else 1.0
-    shift = r0 - c0 @ turn * factor
+    turn, shift, factor = procrustes_fit(reference - r0, current - c0, r0, c0, scale)
     aligned = current @ turn * factor + shift
     return aligned, float(np.sqrt(((aligned - reference) ** 2).sum(axis=1).mean())), (turn, shift, factor)
 
@@ -116,8 +121,44 @@ def procrustes_align(reference: np.ndarray, current: np.ndarray, scale: bool = F
 def principal_axes(x: np.ndarray, start: np.ndarray | None, k: int) -> np.ndarray:
     """Coordinates on the leading axes of a cross-section."""
     z = x - x.mean(axis=0)
-    values, vectors = np.linalg.eigh(z.T @ z / max(1, len(x) - 1))
-    return z @ canonical_signs(vectors[:, ::-1][:, :k])
+    return z @ leading_axes(z.T @ z / max(1, len(x) - 1), k)
+
+
+def leading_axes(covariance: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` principal axes as columns."""
+    values, vectors = np.linalg.eigh(covariance)
+    return canonical_signs(vectors[:, ::-1][:, :k])
+
+
+def factored(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows as their number, their mean and a factor: of the centred rows, with no more rows than columns."""
+    mean = x.mean(axis=0)
+    return len(x), mean, np.linalg.qr(x - mean, mode="r")
+
+
+def pooled(n: np.ndarray, means: np.ndarray, factors: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """What ``factored`` gives for all rows, from what it gave for parts of them."""
+    total = n.sum()
+    mean = means[0] + (n / total) @ (means - means[0])
+    between = np.sqrt(n)[:, None] * (means - mean)
+    return int(total), mean, np.linalg.qr(np.concatenate([between, *factors]), mode="r")
+
+
+def turned(steps: Iterable[tuple[int, np.ndarray, np.ndarray] | None], k: int, scale: bool = False) -> Iterator[tuple]:
+    """Each step's turn, shift and disparity, as ``EmbeddingStepper`` finds them, from what ``factored`` gives for the
+    rows of entities that the step before has too: their raw coordinates there, then those of the step. None: no such rows."""
+    turn, shift = np.eye(k), np.zeros(k)
+    for found in steps:
+        if found is None or found[0] < max(k + 1, 3):
+            turn, shift, disparity = np.eye(k), np.zeros(k), np.nan
+        else:
+            n, mean, r = found
+            reference, current = r[:, :k] @ turn, r[:, k:]
+            r0, c0 = mean[:k] @ turn + shift, mean[k:]
+            turn, shift, factor = procrustes_fit(reference, current, r0, c0, scale)
+            turn = turn * factor
+            disparity = float(np.sqrt(((current @ turn - reference) ** 2).sum() / n))
+        yield turn, shift, disparity
 
 
 def backend(which: str | Callable, k: int, seed: int = 0, settings: dict | None = None) -> Callable:

@@ -19,12 +19,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evenkeel.kernels import moments
-from evenkeel.kernels.clusters import EmbeddingStepper, KMeansStepper
+from evenkeel.kernels.clusters import EmbeddingStepper, KMeansStepper, factored, leading_axes, pooled, turned
 from evenkeel.kernels.hmm import RegimeStepper
 from evenkeel.kernels.matching import Chain
 from evenkeel.sources.panels import number, with_step
@@ -399,6 +401,102 @@ def kmeans_steps(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 EMBEDDING_FIELDS = (("coords", VECTOR), ("displacement", T.DoubleType()), ("disparity", T.DoubleType()))
 
 
+FACTORED = (("_n", T.LongType()), ("_mean", VECTOR), ("_r", VECTOR))
+
+
+def _with(table: pa.Table, values: Sequence[list], fields: Sequence[tuple[str, T.DataType]]) -> pa.Table:
+    """``table`` with these columns after its own."""
+    for column, (name, kind) in zip(values, fields, strict=True):
+        table = table.append_column(name, pa.array(column, to_arrow_type(kind)))
+    return table
+
+
+def _factored(rows: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """What ``clusters.factored`` gives for the vectors ``_x`` of each key: made of each batch, then pooled by key."""
+    schema = _schema(rows, keys, FACTORED)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            if not np.isfinite(x).all():
+                raise ValueError("features must be finite")
+            key = np.zeros(batch.num_rows, np.int64)
+            for name in keys:  # nulls are a key's value
+                code = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                key = np.unique(key * (int(code.max()) + 1) + code, return_inverse=True)[1]
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+            n, means, factors = zip(*(factored(x[at]) for at in np.split(order, starts[1:])), strict=True)
+            arrays = [batch.column(name).take(pa.array(order[starts])) for name in keys]
+            arrays += [pa.array(n, pa.int64()), *(pa.array([v.ravel() for v in vs], pa.list_(pa.float64())) for vs in (means, factors))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    def pool(table: pa.Table) -> pa.Table:
+        factors = [np.reshape(v, (-1, width)) for v in table["_r"].to_pylist()]
+        n, mean, r = pooled(table["_n"].to_numpy(), np.array(table["_mean"].to_pylist()), factors)
+        return _with(table.slice(0, 1).select(keys), [[n], [mean.tolist()], [r.ravel().tolist()]], FACTORED)
+
+    return rows.select(*keys, "_x").mapInArrow(parts, schema).groupBy(*keys).applyInArrow(pool, schema)
+
+
+def _beside(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``other``, which has a row per key; nulls are a key's value."""
+    other = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(other, on).drop(*(f"_of_{k}" for k in keys))
+
+
+def _mapped(x: Column, centre: Column, axes: Column) -> Column:
+    """``axes`` (rows) times a vector less its centre."""
+    z = F.zip_with(x, centre, lambda a, b: a - b)
+    return F.transform(axes, lambda axis: F.aggregate(F.zip_with(axis, z, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
+def _linear_embedding(rows: DataFrame, group: list[str], features: Sequence[str], k: int, scale: bool) -> DataFrame:
+    """``rolling_embedding`` by principal axes. Rows are joined with their period's axes, then with its turn."""
+    rows = rows.select(*group, "period", "entity", F.array(*features).alias("_x")).where("period is not null")
+    if isinstance(rows.schema["period"].dataType, (T.FloatType, T.DoubleType)):
+        rows = rows.where(~F.isnan("period"))
+    keys, d = [*group, "period"], len(features)
+
+    axes = (("_mean", VECTOR), ("_axes", MATRIX))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            factors = [np.reshape(v, (-1, d)) for v in batch.column("_r").to_pylist()]
+            own = [leading_axes(r.T @ r / max(1, n - 1), k).T.tolist() for r, n in zip(factors, batch.column("_n").to_pylist(), strict=True)]
+            yield from _with(pa.Table.from_batches([batch]).select(keys), [batch.column("_mean").to_pylist(), own], axes).to_batches()
+
+    found = _factored(rows, keys, d).mapInArrow(solve, _schema(rows, keys, axes))
+    found = found.withColumn("_step", F.row_number().over(Window.partitionBy(*group).orderBy("period")).cast("long"))
+    raw = _beside(rows, found, keys).select(*keys, "entity", "_step", _mapped(F.col("_x"), F.col("_mean"), F.col("_axes")).alias("_raw"))
+    before = Window.partitionBy(*group, "entity").orderBy("_step").rangeBetween(-1, -1)
+    raw = raw.withColumn("_old", F.max("_raw").over(before))
+
+    pairs = _factored(raw.where("_old is not null").select(*group, "_step", F.concat("_old", "_raw").alias("_x")), [*group, "_step"], 2 * k)
+    steps = pairs.unionByName(found.select(*group, "_step"), allowMissingColumns=True)
+
+    fields = (("_turn", MATRIX), ("_shift", VECTOR), ("_turn_old", MATRIX), ("_shift_old", VECTOR), ("disparity", T.DoubleType()))
+
+    def chain(table: pa.Table) -> pa.Table:
+        held = {}  # a step without pairs has a row of nulls only
+        for step, n, mean, r in zip(*(table[c].to_pylist() for c in ("_step", "_n", "_mean", "_r")), strict=True):
+            held[step] = held.get(step) if n is None else (n, np.array(mean), np.reshape(r, (-1, 2 * k)))
+        made = list(turned((held[step] for step in sorted(held)), k, scale))
+        turns, shifts = [turn.T.tolist() for turn, _, _ in made], [shift.tolist() for _, shift, _ in made]
+        own = table.slice(0, 1).select(group).take(pa.array([0] * len(held))).append_column("_step", pa.array(sorted(held), pa.int64()))
+        return _with(own, [turns, shifts, turns[:1] + turns[:-1], shifts[:1] + shifts[:-1], [None if x != x else x for *_, x in made]], fields)
+
+    turns = steps.groupBy(*group).applyInArrow(chain, _schema(steps, [*group, "_step"], fields))
+    none = F.array_repeat(F.lit(0.0), k)
+    moved = lambda x, at: F.zip_with(_mapped(F.col(x), none, F.col(f"_turn{at}")), F.col(f"_shift{at}"), lambda a, b: a + b)
+    out = _beside(raw, turns, [*group, "_step"]).select(*keys, "entity", moved("_raw", "").alias("coords"), moved("_old", "_old").alias("_old"), "disparity")
+    apart = F.aggregate(F.zip_with("coords", "_old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return out.select(*keys, "entity", "coords", F.when(F.col("disparity").isNotNull(), F.sqrt(apart)).alias("displacement"), "disparity")
+
+
 def rolling_embedding(
     df: DataFrame, group: Sequence[str], period: str, entity: str, features: Sequence[str], n_components: int = 2, *,
     backend: str | Callable = "pca", scale: bool = False, seed: int = 0, backend_kwargs: dict | None = None, with_state: bool = False,
@@ -407,6 +505,9 @@ def rolling_embedding(
     """Low-dimensional coordinates per period, each aligned with the one before: coordinates, how far an entity moved,
 
     and the period's disparity. ``backend``: "pca", "umap" where installed, or a function ``(x, start) -> coordinates``.
+
+    With "pca" a period's coordinates are a linear map of its rows, so only these maps run along the group: rows stay
+    spread over the cluster, however large the cross-section. Other backends, and states, take a group in one task.
     """
     settings = {"n_components": n_components, "backend_name": backend, "scale": scale, "seed": seed, "backend_kwargs": backend_kwargs}
     EmbeddingStepper(**settings)
@@ -414,6 +515,8 @@ def rolling_embedding(
         raise ValueError(f"n_components must be 1 to {len(features)}; got {n_components}")
     group = list(group)
     rows = df.select(*group, F.col(period).alias("period"), F.col(entity).cast("string").alias("entity"), *(F.col(f).cast("double") for f in features))
+    if backend == "pca" and not with_state and states is None:
+        return _linear_embedding(rows, group, features, n_components, scale)
     out = _schema(rows, [*group, "period", "entity"], (*EMBEDDING_FIELDS, STATE) if with_state else EMBEDDING_FIELDS)
 
     def run(pdf: pd.DataFrame, held: EmbeddingStepper | None) -> pd.DataFrame:

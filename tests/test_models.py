@@ -138,6 +138,27 @@ def test_unbalanced_panels(spark):
     assert models.embedding_frame(coords, 0).count() == 29
 
 
+def test_linear_embedding_keeps_rows_apart_and_agrees_with_the_stepper(spark):
+    random = np.random.default_rng(7)
+    rows = [(g, t, f"e{e}", *map(float, random.normal(size=3) * [5, 2, 1] + e % 7)) for g in ("a", None) for t in (0, 1, 3, 4, 9) for e in range(90 if t != 4 else 3) if random.random() < 0.8 or t == 4]
+    rows += [("b", 0, "one", 1.0, 2.0, 3.0), ("b", 1, "one", 2.0, 2.0, 3.0), ("a", None, "e1", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, t int, e string, x double, y double, z double").repartition(4)
+    for scale in (False, True):
+        found = models.rolling_embedding(df, ["g"], "t", "e", ["x", "y", "z"], 2, scale=scale)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan  # rows of a group never meet in one task
+        got = {(r["g"], r["period"], r["entity"]): r for r in found.collect()}
+        want = models.rolling_embedding(df, ["g"], "t", "e", ["x", "y", "z"], 2, scale=scale, with_state=True).collect()
+        assert len(got) == len(want) == len(rows) - 1
+        for w in want:
+            r = got[w["g"], w["period"], w["entity"]]
+            assert np.allclose(r["coords"], w["coords"], atol=1e-9)
+            for c in ("displacement", "disparity"):
+                assert (r[c] is None) == (w[c] is None) and (w[c] is None or abs(r[c] - w[c]) < 1e-9)
+    with pytest.raises(Exception, match="features must be finite"):
+        models.rolling_embedding(df.withColumn("x", F.lit(None).cast("double")), ["g"], "t", "e", ["x", "y"], 2).collect()
+
+
 def test_selection(spark):
     rows = simulate.drifting_blobs(spark, 1, 60, seed=1)
     best = select.select_n_clusters(rows, "entity", ["f0", "f1"], (2, 3, 4)).orderBy(F.desc("silhouette")).first()
