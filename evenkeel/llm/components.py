@@ -33,6 +33,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links that join the same components without loops: fewer than nodes, each as it was given."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    label, chosen, open_ = np.arange(len(nodes)), [np.empty(0, np.int64)], np.flatnonzero(x != y)
+    while len(open_):
+        first = np.full(len(nodes), len(a))  # each component's first link to another one
+        np.minimum.at(first, label[x[open_]], open_)
+        np.minimum.at(first, label[y[open_]], open_)
+        chosen.append(np.unique(first[first < len(a)]))
+        moved, to = forest(label[x[chosen[-1]]], label[y[chosen[-1]]])
+        ahead = np.arange(len(nodes))
+        ahead[moved] = to
+        label = ahead[label]
+        open_ = open_[label[x[open_]] != label[y[open_]]]
+    chosen = np.concatenate(chosen)
+    return a[chosen], b[chosen]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links (a, b)``; root is the smallest node of its component.
 

@@ -17,7 +17,7 @@ kept; null ids are never a component's id unless it has no other; other input co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.llm.components import components, forest
+from evenkeel.llm.components import components, forest, spanning
 from evenkeel.llm.storage import release, remove, written
 
 BITS, HALF, CODE = 64, 32, 31
@@ -36,6 +36,15 @@ THRESHOLD = 3
 HASHES, LINKS = 1 << 15, 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), HASHES):
+        part = hashes[i : i + HASHES].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     import xxhash
 
@@ -46,12 +55,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), HASHES):
-        part = hashes[i : i + HASHES].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -97,11 +101,12 @@ def anchored(fps: DataFrame) -> DataFrame:
 class Comparer:
     """Links among rows sorted by anchor with homes first. Holds the homes of one anchor between batches.
 
-    ``fps`` has a row of 64-bit words per fingerprint; distances are over all of them.
+    ``fps`` has a row of 64-bit words per fingerprint; distances are over all of them. ``reduced`` keeps fewer links of
+    the same components.
     """
 
-    def __init__(self, threshold: int) -> None:
-        self.threshold = threshold
+    def __init__(self, threshold: int, reduced: Callable = forest) -> None:
+        self.threshold, self.reduced = threshold, reduced
         self.anchor = self.homes = self.home_ids = None
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -112,7 +117,7 @@ class Comparer:
             self.links.append((ids[near], to_ids[near]))
             self.held += int(near.sum())
             if self.held > LINKS:
-                self.links = [forest(*(np.concatenate(x) for x in zip(*self.links, strict=True)))]
+                self.links = [self.reduced(*(np.concatenate(x) for x in zip(*self.links, strict=True)))]
                 self.held = len(self.links[0][0])
 
     def _against(self, ids: np.ndarray, fps: np.ndarray) -> None:
@@ -159,15 +164,15 @@ class Comparer:
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.links:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return forest(*(np.concatenate(x) for x in zip(*self.links, strict=True)))
+        return self.reduced(*(np.concatenate(x) for x in zip(*self.links, strict=True)))
 
 
-def compared(rows: DataFrame, threshold: int) -> DataFrame:
+def compared(rows: DataFrame, threshold: int, reduced: Callable = forest) -> DataFrame:
     """Links ``a, b`` among ``rows (anchor, home, id, fp…)`` that meet at an anchor: a forest per task."""
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer = Comparer(threshold)
+        comparer = Comparer(threshold, reduced)
         for batch in batches:
             if batch.num_rows:
                 anchor, home, ids, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -179,12 +184,15 @@ def compared(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links ``a, b`` that join what is within ``threshold`` bits among distinct ``fps (fp)``: a forest per task."""
+def links(fps: DataFrame, threshold: int = THRESHOLD, reduced: Callable = forest) -> DataFrame:
+    """Links ``a, b`` that join what is within ``threshold`` bits among distinct ``fps (fp)``: a forest per task.
+
+    With ``spanning`` as ``reduced`` both ends of each link are within the threshold of one another.
+    """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the covering is for thresholds up to {THRESHOLD}")
     rows = anchored(fps)
-    return compared(rows.select("anchor", "home", F.col("fp").alias("id"), "fp"), threshold)
+    return compared(rows.select("anchor", "home", F.col("fp").alias("id"), "fp"), threshold, reduced)
 
 
 def near_duplicates(
@@ -297,8 +305,22 @@ def _counts(source: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, b)`` of nodes whose shingle sets have this Jaccard similarity, computed in full."""
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes whose SimHash fingerprints link, of ``prints (node, fp)``: equal ones, and those that meet
+    at an anchor of the covering code and differ in three bits at most; fewer than nodes and tasks' fingerprints."""
+    first = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = prints.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}"))
+    near = links(first.select("fp"), reduced=spanning).distinct().join(side("a"), "a").join(side("b"), "b")
+    near = near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` of nodes whose shingle sets have this Jaccard similarity, computed in full.
+
+    ``prints`` has the hash of a text of each node, so that only such texts are read into sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,9 +328,11 @@ def _verified(pairs: DataFrame, source: DataFrame, shingle: int, similarity: flo
             arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "shingles"])
 
-    wanted, wanted_path = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    sets = source.select("text_to_hash").mapInArrow(run, "node long, shingles array<long>").join(wanted, "node", "left_semi")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "text_hash"), "node")
+    wanted, wanted_path = written(wanted, "wanted")
+    sent = F.broadcast if wanted.count() <= BROADCAST_NODES else lambda x: x
+    texts = source.withColumn("text_hash", F.xxhash64("text_to_hash")).join(sent(wanted.select("text_hash")), "text_hash", "left_semi")
+    sets = texts.select("text_to_hash").mapInArrow(run, "node long, shingles array<long>").join(sent(wanted.select("node")), "node", "left_semi")
     sets, path = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -322,8 +346,10 @@ def _verified(pairs: DataFrame, source: DataFrame, shingle: int, similarity: flo
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col, component_id`` of every row: components of texts whose shingle sets have this Jaccard similarity.
 
-    Texts of that similarity are too far apart for three bits in 64. So they meet elsewhere: in an order common to all,
-    sets this similar share one of their first shingles, whatever the edit. Common shingles come last, so few texts
+    SimHash comes first: sets whose fingerprints (of the distinct shingles) are equal or meet at an anchor and differ in
+    three bits at most are linked if their exact similarity holds. At the least similarity about ten bits in 64 differ, so
+    an exact path follows for texts that these links do not join: in an order common to all, sets this similar share one of
+    their first shingles, whatever the edit. Common shingles come last, so few texts
     that are not similar meet. Of the smaller set fewer of the first shingles count, and what comes before a shingle in
     both sets bounds what they can share from there on; both hold at the first shingle that two similar sets share. A
     sketch of each set tells what those that meet can have in common at most; most pairs that are not similar go by that,
@@ -333,19 +359,26 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_to_hash"))
+    hashed = source.withColumn("text_hash", F.xxhash64("text_to_hash"))
     counts = spark.sparkContext.broadcast(_counts(source, shingle))
-    schema = T.StructType([source.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema[id_col], T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             prefixes = [_prefix(x, counts.value, similarity).view(np.int64) for x in found]
             arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+            arrays += [pa.array(np.fromiter(map(majority, found), np.uint64, len(found)).view(np.int64))]
             arrays += [pa.array([_sketch(x) for x in found], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "node", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=schema.fieldNames())
 
-    rows, rows_path = written(source.mapInArrow(run, schema), "prefixes")
+    rows, rows_path = written(hashed.mapInArrow(run, schema), "prefixes")
     own = rows.where(F.col(id_col).isNotNull())
+    prints, prints_path = written(own.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp")), "fingerprints")
+    linked, linked_path = written(_near_prints(prints), "linked")
+    near = _verified(linked, prints, source, shingle, similarity)
+    roots = components(near)
+    release(spark)
     nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     share = similarity / (1 + similarity)  # of both sizes together
     placed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -376,8 +409,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neighbours = shared.drop("shingle").unionByName(mixed).unionByName(central).where("node_before is not null")
     smaller, larger = F.col("n_before") <= F.col("n"), F.col("n") <= F.col("n_before")
     neighbours = neighbours.where(smaller & may_share("_before", "") | larger & may_share("", "_before"))
-    pairs, pairs_path = written(neighbours.select(*pair("node", "node_before")).distinct(), "neighbours")
-    near = _verified(written(_possible(pairs, sketches, similarity), "possible")[0], source, shingle, similarity)
+    apart = neighbours.select(*pair("node", "node_before")).distinct()
+    for end in ("a", "b"):
+        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = apart.where("not root_a <=> root_b or root_a is null").select("a", "b")  # the others are in one component already
+    pairs, pairs_path = written(apart, "neighbours")
+    near = near.unionByName(_verified(written(_possible(pairs, sketches, similarity), "possible")[0], prints, source, shingle, similarity))
     roots = components(near)
     release(spark)
     # all others that meet, unless they are in one component already
@@ -387,14 +424,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to = at.select("shingle", *(F.col(c).alias(f"{c}_to") for c in ("node", "n", "at", "root")))
     others = at.where("early").join(to, "shingle").where((F.col("n") <= F.col("n_to")) & (F.col("root") != F.col("root_to")) & may_share("", "_to"))
     others, others_path = written(others.select(*pair("node", "node_to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
-    more = _verified(written(_possible(others, sketches, similarity), "possible")[0], source, shingle, similarity)
+    more = _verified(written(_possible(others, sketches, similarity), "possible")[0], prints, source, shingle, similarity)
     if not more.isEmpty():
         roots = components(near.unionByName(more))
     release(spark)
     nodes = rows.groupBy("node").agg(F.min(id_col).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     found, _ = written(nodes.join(ids, "root").select("node", "component_id"), "classes")
-    remove(spark, shared_path, sketches_path, pairs_path, at_path, others_path)
+    remove(spark, shared_path, sketches_path, prints_path, linked_path, pairs_path, at_path, others_path)
     return rows.select(id_col, "node").join(found, "node").select(id_col, "component_id")
 
 

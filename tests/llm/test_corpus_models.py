@@ -268,6 +268,44 @@ def test_documents_below_the_similarity_are_not_linked(spark):
     assert linked(spark, edited_pairs(22, 0.6, 0.8, 60)) == {"appended": 0, "replaced": 0, "scattered": 0}
 
 
+def test_spanning_links_are_given_ones():
+    rng = np.random.default_rng(31)
+    a, b = rng.integers(0, 400, (2, 500)) * 3 - 300
+    x, y = components.spanning(a, b)
+    assert {*zip(x.tolist(), y.tolist(), strict=True)} <= {*zip(a.tolist(), b.tolist(), strict=True)}
+    assert [v.tolist() for v in components.forest(x, y)] == [v.tolist() for v in components.forest(a, b)]
+    assert len(x) == len(components.forest(a, b)[0])
+
+
+def test_similar_documents_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """SimHash links at anchors, and its exact check, come before the exact path, which leaves alone what they joined."""
+    rng = random.Random(32)
+    texts = []
+    for _ in range(30):
+        words = [f"v{rng.randrange(9000)}" for _ in range(1200)]
+        changed = list(words)
+        changed[rng.randrange(1200)] = "changed"
+        texts += [" ".join(words), " ".join(changed), " ".join(words[:1100])]
+    asked, verified = [], simhash._verified
+
+    def watched(pairs, *rest):
+        found = verified(pairs, *rest)
+        asked.append(({(r["a"], r["b"]) for r in pairs.collect()}, {(r["a"], r["b"]) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(simhash, "_verified", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert all(found[i] == i - i % 3 for i in found)
+    sets = [simhash.shingle_set(t) for t in texts]
+    prints = {simhash._node(x): simhash.majority(x) for x in sets}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert len(near) > 20 and asked[0][0] <= near
+    ends = lambda pairs: components.forest(*(np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)))
+    assert [x.tolist() for x in ends(asked[0][0])] == [x.tolist() for x in ends(near)] and asked[0][1] == asked[0][0]
+    assert asked[1][1] and not any(pairs & asked[0][1] for pairs, _ in asked[1:])
+
+
 def test_repeated_and_missing_ids_lose_no_text(spark):
     rng = random.Random(23)
     a, b, c, d = (" ".join(f"v{rng.randrange(5000)}" for _ in range(100)) for _ in range(4))
