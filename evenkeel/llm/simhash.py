@@ -218,6 +218,12 @@ def near_duplicates(
 COUNTERS, COUNTED = 1 << 20, 8
 #: Nodes up to which those to be verified are broadcast, so that no other set is exchanged; beyond, the join shuffles.
 BROADCAST_NODES = 2_000_000
+#: Texts whose shingle sets are held at a time.
+SETS = 1024
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SETS) for batch in batches for i in range(0, batch.num_rows, SETS))
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -323,7 +329,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, source: DataFrame, shingle: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingle_set(x.as_py(), shingle) for x in batch.column("text_to_hash")]
             arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "shingles"])
@@ -348,7 +354,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     SimHash comes first: sets whose fingerprints (of the distinct shingles) are equal or meet at an anchor and differ in
     three bits at most are linked if their exact similarity holds. At the least similarity about ten bits in 64 differ, so
-    an exact path follows for texts that these links do not join: in an order common to all, sets this similar share one of
+    an exact path follows for pairs that these links are not: in an order common to all, sets this similar share one of
     their first shingles, whatever the edit. Common shingles come last, so few texts
     that are not similar meet. Of the smaller set fewer of the first shingles count, and what comes before a shingle in
     both sets bounds what they can share from there on; both hold at the first shingle that two similar sets share. A
@@ -364,7 +370,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([source.schema[id_col], T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             prefixes = [_prefix(x, counts.value, similarity).view(np.int64) for x in found]
             arrays = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
@@ -377,7 +383,6 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints, prints_path = written(own.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp")), "fingerprints")
     linked, linked_path = written(_near_prints(prints), "linked")
     near = _verified(linked, prints, source, shingle, similarity)
-    roots = components(near)
     release(spark)
     nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     share = similarity / (1 + similarity)  # of both sizes together
@@ -409,11 +414,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neighbours = shared.drop("shingle").unionByName(mixed).unionByName(central).where("node_before is not null")
     smaller, larger = F.col("n_before") <= F.col("n"), F.col("n") <= F.col("n_before")
     neighbours = neighbours.where(smaller & may_share("_before", "") | larger & may_share("", "_before"))
-    apart = neighbours.select(*pair("node", "node_before")).distinct()
-    for end in ("a", "b"):
-        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = apart.where("not root_a <=> root_b or root_a is null").select("a", "b")  # the others are in one component already
-    pairs, pairs_path = written(apart, "neighbours")
+    pairs, pairs_path = written(neighbours.select(*pair("node", "node_before")).distinct().join(linked, ["a", "b"], "left_anti"), "neighbours")
     near = near.unionByName(_verified(written(_possible(pairs, sketches, similarity), "possible")[0], prints, source, shingle, similarity))
     roots = components(near)
     release(spark)
@@ -423,7 +424,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, at_path = written(at.join(several, "shingle", "left_semi"), "open-shingles")
     to = at.select("shingle", *(F.col(c).alias(f"{c}_to") for c in ("node", "n", "at", "root")))
     others = at.where("early").join(to, "shingle").where((F.col("n") <= F.col("n_to")) & (F.col("root") != F.col("root_to")) & may_share("", "_to"))
-    others, others_path = written(others.select(*pair("node", "node_to")).distinct().join(pairs, ["a", "b"], "left_anti"), "others")
+    others, others_path = written(others.select(*pair("node", "node_to")).distinct().join(pairs.unionByName(linked), ["a", "b"], "left_anti"), "others")
     more = _verified(written(_possible(others, sketches, similarity), "possible")[0], prints, source, shingle, similarity)
     if not more.isEmpty():
         roots = components(near.unionByName(more))
