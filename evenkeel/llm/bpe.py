@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.llm.storage import lean
+
 #: Characters of text that one call of the library gets; bounds the memory of its results.
 SLICE_CHARS = 1 << 20
 #: Pre-tokens that are remembered, and the length up to which they are.
@@ -214,7 +216,7 @@ def encode(
                 arrays = [pa.array(found[o], kinds.get(o, pa.string())) for o in outputs]
                 yield pa.RecordBatch.from_arrays([keys.slice(start, end - start), *arrays], names=[id_col, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str, pattern: str) -> DataFrame:

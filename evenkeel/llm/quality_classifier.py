@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.llm.storage import lean
+
 #: Documents and characters of the sample that the network is fitted on, unless told otherwise.
 SAMPLE, SAMPLE_CHARS = 6000, 40_000_000
 #: Score from which a document counts as good.
@@ -136,7 +138,7 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, sums[part].astype(np.int64).T)], names=["bucket", *names])
 
     texts = docs.select(F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    found = texts.mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    found = texts.mapInArrow(lean(run), "bucket long, " + ", ".join(f"{n} long" for n in names))
     found = found.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # BUCKETS rows at most
     sums = np.zeros((BUCKETS, SIZE))
     sums[found["bucket"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
@@ -241,8 +243,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function from a column of texts to their probabilities."""
     held = spark.sparkContext.broadcast(model)  # BUCKETS * SIZE numbers, whatever the corpus
 
-    @F.pandas_udf(T.DoubleType())
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, buckets = held.value, Buckets()
         for texts in parts:
             if len(texts):
@@ -250,6 +251,10 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             else:
                 yield pd.Series([], dtype=float)
 
+    @F.pandas_udf(T.DoubleType())
+    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(run)(parts)
+
     return lambda text: probability(F.coalesce(text, F.lit("")))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.llm.components import components, forest, spanning
-from evenkeel.llm.storage import release, remove, written
+from evenkeel.llm.storage import lean, release, remove, written
 
 BITS, HALF, CODE = 64, 32, 31
 #: Bits that linked fingerprints may differ in. The covering is made for this threshold.
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, se
             found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _patterns() -> list[list[int]]:
@@ -181,7 +181,7 @@ def compared(rows: DataFrame, threshold: int, reduced: Callable = forest) -> Dat
         for i in range(0, len(a), HASHES):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HASHES]) for x in (a, b)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, reduced: Callable = forest) -> DataFrame:
@@ -283,7 +283,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
 
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _counts(source: DataFrame, shingle: int) -> np.ndarray:
@@ -299,7 +299,7 @@ def _counts(source: DataFrame, shingle: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + HASHES]), pa.array(counts[at[i : i + HASHES]])], names=["at", "n"])
 
     texts = source.select("text_to_hash").where(F.pmod(F.xxhash64("text_to_hash"), F.lit(COUNTED)) == 0)
-    found = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -332,7 +332,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, source: DataFrame, shingle: i
     wanted, wanted_path = written(wanted, "wanted")
     sent = F.broadcast if wanted.count() <= BROADCAST_NODES else lambda x: x
     texts = source.withColumn("text_hash", F.xxhash64("text_to_hash")).join(sent(wanted.select("text_hash")), "text_hash", "left_semi")
-    sets = texts.select("text_to_hash").mapInArrow(run, "node long, shingles array<long>").join(sent(wanted.select("node")), "node", "left_semi")
+    sets = texts.select("text_to_hash").mapInArrow(lean(run), "node long, shingles array<long>").join(sent(wanted.select("node")), "node", "left_semi")
     sets, path = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -372,7 +372,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             arrays += [pa.array([_sketch(x) for x in found], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=schema.fieldNames())
 
-    rows, rows_path = written(hashed.mapInArrow(run, schema), "prefixes")
+    rows, rows_path = written(hashed.mapInArrow(lean(run), schema), "prefixes")
     own = rows.where(F.col(id_col).isNotNull())
     prints, prints_path = written(own.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp")), "fingerprints")
     linked, linked_path = written(_near_prints(prints), "linked")

@@ -7,14 +7,21 @@ would not see each other's files.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a Python worker is sent at a time; a longer row is sent alone.
+SENT = 2 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared scratch folder."""
@@ -60,3 +67,30 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.4)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Send workers ``SENT`` bytes of rows at a time, unless the session says less.
+
+    Spark counts rows only (10,000). A batch is held several times over, outside the executor's heap and in each worker,
+    and long texts would set the size of both. The setting stays, as frames are run when they are written.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > SENT:
+        spark.conf.set(name, str(SENT))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` in a worker that gives freed memory back when the task's rows end: workers stay beside later tasks."""
+
+    @wraps(run)
+    def then_free(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # not glibc
+            pass
+
+    return then_free

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+from pathlib import Path
+
+import pyarrow as pa
 
 import corpus_pipeline
-from evenkeel.llm import quality_rules
+from evenkeel.llm import quality_rules, storage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,6 +62,40 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_workers_are_sent_bounded_batches(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    none, name = spark.read.parquet(f"{tmp_path}/documents.parquet"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(5000, numPartitions=1).selectExpr("repeat(cast(id % 10 as string), 2000) as text")
+    sizes = lambda: [r["n"] for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    try:
+        for stage in (corpus_pipeline.classified, corpus_pipeline.deduplicated, corpus_pipeline.encoded):
+            spark.conf.unset(name)
+            stage(spark, none, str(tmp_path))
+            got = sizes()
+            assert max(got) <= storage.SENT + 10_000 and sum(got) >= 10_000_000
+        spark.conf.set(name, "100k")
+        storage.bounded(spark)
+        assert max(sizes()) <= 110_000
+    finally:
+        spark.conf.unset(name)
+
+
+def test_workers_give_freed_memory_back():
+    held = []
+
+    def run(batches):
+        parts = [bytes(50_000) for _ in range(4000)]
+        held.append(bytes(50_000))  # stands above what is freed
+        yield from batches
+        del parts
+
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    before = resident()
+    assert list(storage.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 50_000_000
+
+
 def test_stages(spark, tmp_path):
     docs, labels, items = corpus()
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
